@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_features, q_lexical, q_psych, q_similarity  # noqa: F401
+from . import q_features, q_lexical, q_psych, q_similarity, q_timing  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

@@ -136,3 +136,10 @@ def round6(c) -> Column:
 def safe_div(a, b) -> Column:
     """Division that yields null for a zero or null denominator (ANSI-safe)."""
     return F.try_divide(col(a).cast("double"), col(b).cast("double"))
+
+
+def attach_scalar(df, one_row):
+    """Attach the columns of a one-row aggregate to every row: an equi-join on
+    a constant key against a broadcast side whose size is exactly one row."""
+    return df.withColumn("_one", F.lit(1)).join(
+        F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one")

@@ -86,7 +86,7 @@ def frequency_lexicon(spark: SparkSession, source: DataFrame, text_col: str = "t
     w = source.select(F.explode(tx.tokens(text_col)).alias("t")).filter(tx.is_word("t"))
     c = w.groupBy(F.lower("t").alias("word")).agg(F.count("*").alias("n"))
     total = w.agg(F.count("*").alias("total"))
-    return c.crossJoin(F.broadcast(total)).select(
+    return tx.attach_scalar(c, total).select(
         "word", (F.col("n") * 1e6 / F.col("total")).alias("subtlwf"),
         F.log10(F.col("n") + 1).alias("lg10wf"))
 

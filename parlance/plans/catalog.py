@@ -1,8 +1,16 @@
-"""All registered queries (importing the modules fills the registry)."""
+"""All registered queries (importing the modules fills the registry).
+
+Order matters: later modules compose the oracle SQL of earlier ones.
+"""
 
 from __future__ import annotations
 
-from . import q_features, q_lexical, q_psych, q_similarity, q_timing  # noqa: F401
+from . import q_lexical  # noqa: F401  isort: skip
+from . import q_features  # noqa: F401  isort: skip
+from . import q_psych  # noqa: F401  isort: skip
+from . import q_similarity  # noqa: F401  isort: skip
+from . import q_timing  # noqa: F401  isort: skip
+from . import q_assemble  # noqa: F401  isort: skip
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

@@ -329,9 +329,10 @@ def training_side_welch(long_df: DataFrame, fold_col: str = "fold", feature_col=
     v = F.col(value_col)
     s = long_df.groupBy(fold_col, feature_col, label_col).agg(
         F.count(v).alias("n"), F.sum(v).alias("s1"), F.sum(v * v).alias("s2"))
+    # Everything below reads only the small per-(fold, feature, label) table.
     tot = s.groupBy(feature_col, label_col).agg(F.sum("n").alias("tn"), F.sum("s1").alias("ts1"),
                                                 F.sum("s2").alias("ts2"))
-    folds = long_df.select(fold_col).distinct()
+    folds = s.select(fold_col).distinct()
     keys = tot.select(feature_col, label_col)
     # every (fold, feature, label) cell: k folds × features × classes, all small.
     grid = tx.attach_scalar(keys, folds.agg(F.collect_list(fold_col).alias("_folds"))).select(

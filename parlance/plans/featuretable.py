@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
+from ..functions.frames import cut_lineage
 from ..operators import assemble as asm
 from ..operators import lexical as lex
 from ..operators import prep
@@ -26,7 +27,7 @@ FEATURES = (["n_tokens", "n_unique_tokens", "ttr", "mean_token_length"] + SHARES
 def doc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four feature families joined on the transcript key."""
     utts = T.doc_utterances(spark, sf_dir)
-    toks = prep.token_table(utts)
+    toks = cut_lineage(prep.token_table(utts))
     tagged = prep.tag_tokens(spark, toks)
     f1 = lex.token_counts(toks)
     f2 = lex.pos_shares(tagged).drop("n_tokens")
@@ -48,7 +49,7 @@ def labelled_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = t.withColumn("label", F.col("toxic").cast("int"))
     t = asm.group_key(t, "column", column="source")
     t = asm.domain_flag(t, F.col("lang") != "en")
-    return asm.coerce_numeric(t, FEATURES)
+    return cut_lineage(asm.coerce_numeric(t, FEATURES))
 
 
 def _oracle(name):

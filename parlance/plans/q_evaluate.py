@@ -220,11 +220,11 @@ LONG = "lg AS (UNPIVOT (SELECT filename, label, domain, " + ", ".join(FT.FEATURE
        " FROM lt) ON " + ", ".join(FT.FEATURES) + " INTO NAME feature VALUE value)"
 
 
-def long_features(spark, sf_dir):
-    t = FT.labelled_table(spark, sf_dir)
+def long_features(spark, sf_dir, table=None, keep=()):
+    t = FT.labelled_table(spark, sf_dir) if table is None else table
     stack = "stack({}, {}) AS (feature, value)".format(
         len(FT.FEATURES), ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in FT.FEATURES))
-    return t.select("filename", "label", "domain", F.expr(stack))
+    return t.select("filename", "label", "domain", *keep, F.expr(stack))
 
 
 def _welch_sql(src, where="TRUE"):
@@ -299,9 +299,8 @@ def m08(spark, sf_dir):
     """Per fold k, the Welch t of each feature on the training side (fold != k),
     then averaged over folds. The training sides are expressed as totals
     minus the held-out fold's sums, so rows are never replicated per fold."""
-    lf = long_features(spark, sf_dir).join(
-        ev.group_kfold(FT.labelled_table(spark, sf_dir).select("filename", "group_id"), K).select("filename", "fold"),
-        "filename")
+    folded_table = ev.group_kfold(FT.labelled_table(spark, sf_dir), K)
+    lf = long_features(spark, sf_dir, folded_table, keep=("fold",))
     weights = ev.training_side_welch(lf, "fold").withColumn("block", F.lit("joint"))
     return ev.averaged_weights(weights.select("fold", "block", "feature", F.coalesce("t", F.lit(0.0)).alias("weight")))
 

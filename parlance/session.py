@@ -22,6 +22,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Checkpoint files of hub tables are removed once no longer referenced.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Lexicons and keyword tables are a few hundred rows; anything above this
     # threshold is shuffled, never broadcast.
     "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),

@@ -148,3 +148,81 @@ def entity_mentions(spark: SparkSession, toks: DataFrame) -> DataFrame:
         Window.partitionBy("filename", "utt_idx").orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, -1))
     return best.withColumn("covered", F.coalesce(reach, F.lit(-1))).filter(
         F.col("tok_idx") > F.col("covered")).drop("r", "covered")
+
+
+# --- CHAT files, repeat markers, transcript assembly -------------------------
+
+def chat_lines(files: DataFrame, text_col: str = "text", key: str = "filename") -> DataFrame:
+    """(filename, line_no, line) from whole CHAT files."""
+    return files.select(key, F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
+
+
+def chat_tiers(lines: DataFrame, key: str = "filename") -> DataFrame:
+    """B01 (Quirk 1 fixed, built from the tier rules): a ``*XXX:`` line opens
+    an utterance group that collects the following ``%mor`` and ``%gra``
+    tiers and tab-indented continuation lines until the next speaker or
+    ``@End``. One row per utterance: speaker, text, mor, gra.
+
+    Group ids are a running sum of group starts over each file's lines; the
+    per-group strings are ordered (line_no, text) lists — bounded by one
+    utterance.
+    """
+    w = Window.partitionBy(key).orderBy("line_no")
+    ln = F.col("line")
+    speaker = ln.rlike(r"^\*[A-Za-z]+:")
+    end = ln.startswith("@End")
+    t = lines.withColumn("start", (speaker | end).cast("int"))
+    t = t.withColumn("grp", F.sum("start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    kind = (F.when(speaker, "text").when(ln.startswith("%mor:"), "mor").when(ln.startswith("%gra:"), "gra")
+            .when(end, "end").when(ln.startswith("@") | ln.startswith("%"), "other"))
+    t = t.withColumn("kind0", kind)
+    t = t.withColumn("kind", F.coalesce("kind0", F.last("kind0", ignorenulls=True).over(
+        w.rowsBetween(Window.unboundedPreceding, 0))))
+    body = F.regexp_replace(F.regexp_replace(ln, r"^[*%][A-Za-z]+:", ""), r"^\s+|\s+$", "")
+    t = t.withColumn("body", body).withColumn("spk", F.regexp_extract(ln, r"^\*([A-Za-z]+):", 1))
+    t = t.filter(F.col("grp") > 0)
+
+    def joined(k):
+        parts = F.collect_list(F.when(F.col("kind") == k, F.struct("line_no", "body")))
+        return F.array_join(F.transform(F.array_sort(parts), lambda s: s["body"]), " ")
+
+    g = t.groupBy(key, "grp").agg(F.max(F.when(F.col("spk") != "", F.col("spk"))).alias("speaker"),
+                                  joined("text").alias("text"), joined("mor").alias("mor"),
+                                  joined("gra").alias("gra"))
+    return g.filter(F.col("speaker").isNotNull()).withColumnRenamed("grp", "utt_idx")
+
+
+REPEAT_RE = r"\[x ?\d+\]|\S+"
+
+
+def resolve_repeats(text) -> "F.Column":
+    """``word [x N]`` → the word N times (Quirk 1: the reference's helper
+    is undefined; this is the documented meaning)."""
+    toks = F.regexp_extract_all(tx.col(text), F.lit(REPEAT_RE), 0)
+    n = F.size(toks)
+
+    def piece(t, i):
+        nxt = F.when(i + 1 < n, F.element_at(toks, i + 2))
+        times = F.regexp_extract(nxt, r"^\[x ?(\d+)\]$", 1)
+        is_marker = t.rlike(r"^\[x ?\d+\]$")
+        return (F.when(is_marker, F.array().cast("array<string>"))
+                .when(F.coalesce(times, F.lit("")) != "", F.array_repeat(t, times.cast("int")))
+                .otherwise(F.array(t)))
+
+    return F.array_join(F.flatten(F.transform(toks, piece)), " ")
+
+
+def assemble_transcripts(pages: DataFrame, cohort: DataFrame, must_contain=("example", "page=")) -> DataFrame:
+    """B07 (Quirk 2 fixed): pages whose name holds every token, the first
+    page per transcript id, a label from the path (language ≠ en), and a
+    diagnosis look-up by id (first match) in the cohort table."""
+    p = pages
+    for tok in must_contain:
+        p = p.filter(F.col("url").contains(tok))
+    p = p.select("page_id", F.regexp_extract("url", r"/([a-z]{2})/\d+", 1).alias("lang"),
+                 F.regexp_extract("url", r"/[a-z]{2}/(\d+)", 1).try_cast("bigint").alias("id"))
+    p = p.filter(F.col("id").isNotNull())
+    first = p.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("page_id"))).filter("_r = 1")
+    coh = cohort.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("source"))).filter("_r = 1")
+    return first.select("id", "page_id", (F.col("lang") != "en").cast("int").alias("label")).join(
+        coh.select("id", "source"), "id", "left")

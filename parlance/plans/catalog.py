@@ -14,6 +14,7 @@ from . import q_assemble  # noqa: F401  isort: skip
 from . import q_evaluate  # noqa: F401  isort: skip
 from . import q_adapt  # noqa: F401  isort: skip
 from . import q_trees  # noqa: F401  isort: skip
+from . import q_sources  # noqa: F401  isort: skip
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

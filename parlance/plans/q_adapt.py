@@ -330,3 +330,32 @@ def n09(spark, sf_dir):
     """Fréchet distance after CORAL alignment, sign-flipped."""
     e = emb(spark, sf_dir)
     return _scalar(spark, "score", dist.adapted_score(ad.Coral(), dist.frechet_distance, e))
+
+
+# --- L08–L10: experiment grid ----------------------------------------------
+
+def _grid_table(spark, sf_dir):
+    t = ev.group_kfold(FT.labelled_table(spark, sf_dir), 5)
+    return t.withColumn("features", F.array(*[F.col(c) for c in FT.FEATURES]))
+
+
+@query("l08_l09_cv_grid")
+def l08(spark, sf_dir):
+    """Four training-set methods × logistic regression × 5 target folds."""
+    from ..operators import experiment as xp
+    return xp.run_grid(spark, _grid_table(spark, sf_dir), len(FT.FEATURES))
+
+
+@query("l10_bias_settings")
+def l10(spark, sf_dir):
+    """Joint training under two cohort mixes of the source (J13 biased
+    sampling: equal and positive-heavy), summarised across folds."""
+    from ..operators import assemble as asm
+    from ..operators import experiment as xp
+    t = _grid_table(spark, sf_dir)
+    src, tgt = t.filter("domain = 0"), t.filter("domain = 1")
+    out = []
+    for name, pos, neg in (("equal", 20, 20), ("consistent", 30, 10)):
+        mix = asm.biased_cohort(src, "label", pos, neg).unionByName(tgt)
+        out.append(xp.run_grid(spark, mix, len(FT.FEATURES), methods=["joint"]).withColumn("setting", F.lit(name)))
+    return xp.bias_summary(out[0].unionByName(out[1]))

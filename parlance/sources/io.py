@@ -104,7 +104,9 @@ def _wav_fields(b: bytes):
 
 def parse_list_literal(col) -> "F.Column":
     """A Python list literal of strings (``['a', "b's"]``) → array<string>."""
-    return F.from_json(col, "array<string>", {"allowSingleQuotes": "true"})
+    return F.from_json(col, "array<string>", {"allowSingleQuotes": "true",
+                                              "allowBackslashEscapingAnyCharacter": "true",
+                                              "allowUnquotedControlChars": "true"})
 
 
 def read_glob(spark: SparkSession, paths: list[str], fmt: str = "csv", **options) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Correlation, Summarizer
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -293,14 +294,16 @@ class TrAdaBoost:
         cur = df.withColumn("_w", F.lit(1.0 / n))
         beta_s = 1.0 / (1.0 + math.sqrt(2.0 * math.log(max(ns, 1)) / self.n_estimators))
         self.models_, self.errors_ = [], []
+        held = []
         for i in range(self.n_estimators):
-            mean_w = cur.agg(F.avg("_w")).first()[0]
-            train = cur.withColumn("_sw", F.col("_w") / mean_w)
+            # Weights sum to 1 after every round, so their mean is 1/n: the
+            # rescaled weights are w·n (no extra pass).
+            train = cur.withColumn("_sw", F.col("_w") * n).persist(StorageLevel.MEMORY_AND_DISK)
             model = self.make_estimator(n, "_sw").fit(train)
             pred = model.transform(train)
             if self.regression:
                 pred = pred.withColumnRenamed("prediction", "_pred")
-            pred = self._errors(pred)
+            pred = self._errors(pred).select(*df.columns, "_w", "_err").persist(StorageLevel.MEMORY_AND_DISK)
             if self.regression:
                 emax = pred.agg(F.max("_err")).first()[0] + EPS
                 pred = pred.withColumn("_err", F.col("_err") / emax)
@@ -309,6 +312,9 @@ class TrAdaBoost:
             err = float(e["num"] / e["den"]) if e["den"] else 0.0
             self.models_.append(model)
             self.errors_.append(err)
+            for h in held:
+                h.unpersist()
+            held = [train, pred]
             if i == self.n_estimators - 1:
                 break
             beta_t = err / (2.0 - err)
@@ -319,6 +325,7 @@ class TrAdaBoost:
             cur = nxt.withColumn("_w", F.col("_w") / total)
             if self.checkpoint_every and (i + 1) % self.checkpoint_every == 0:
                 cur = cut_lineage(cur)
+        self._held = held
         self.weights_ = cur  # K17: final sample weights per row
         self.estimator_weights_ = [-math.log(e / (2.0 - e) + EPS) + 2 * EPS for e in self.errors_]
         return self

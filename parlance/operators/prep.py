@@ -130,17 +130,17 @@ def entity_mentions(spark: SparkSession, toks: DataFrame) -> DataFrame:
                     F.lead("token", 1).over(w).isNotNull().alias("has2"),
                     F.lead("token", 2).over(w).isNotNull().alias("has3"))
     gaz = lx.table(spark, lx.GAZETTEER, ["gram", "label"])
-    cands = []
-    for n in (3, 2, 1):
-        side = g if n == 1 else g.filter(F.col(f"has{n}"))
-        m = side.join(gaz, side[f"g{n}"] == gaz["gram"], "inner").select(
-            "filename", "utt_idx", "tok_idx", F.col("gram").alias("entity"), "label",
-            F.lit(n).alias("n"))
-        cands.append(m)
-    num = g.filter(F.col("token").rlike(r"^\p{N}+$")).select(
-        "filename", "utt_idx", "tok_idx", F.col("g1").alias("entity"), F.lit("CARDINAL").alias("label"),
-        F.lit(1).alias("n"))
-    allc = cands[0].unionByName(cands[1]).unionByName(cands[2]).unionByName(num)
+    # One row per (start token, n-gram length): a single broadcast join for
+    # all three lengths instead of one join per length.
+    grams = g.select("filename", "utt_idx", "tok_idx", "token", F.explode(F.array(
+        F.struct(F.lit(1).alias("n"), F.col("g1").alias("gram")),
+        F.struct(F.lit(2).alias("n"), F.when(F.col("has2"), F.col("g2")).alias("gram")),
+        F.struct(F.lit(3).alias("n"), F.when(F.col("has3"), F.col("g3")).alias("gram")))).alias("c"))
+    grams = grams.select("filename", "utt_idx", "tok_idx", "token", "c.n", "c.gram").filter(F.col("gram").isNotNull())
+    hit = grams.join(gaz, "gram", "left")
+    label = F.coalesce(F.col("label"), F.when((F.col("n") == 1) & F.col("token").rlike(r"^\p{N}+$"), "CARDINAL"))
+    allc = hit.select("filename", "utt_idx", "tok_idx", F.col("gram").alias("entity"), label.alias("label"),
+                      "n").filter(F.col("label").isNotNull())
     # Longest match per start token.
     best = allc.withColumn("r", F.row_number().over(
         Window.partitionBy("filename", "utt_idx", "tok_idx").orderBy(F.desc("n"), "label"))).filter("r = 1")

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
@@ -45,8 +45,12 @@ def utterance_terms(spark: SparkSession, utts: DataFrame) -> DataFrame:
 def pair_cosine(terms: DataFrame) -> DataFrame:
     """H01 for every pair (a < b) of one transcript sharing at least one term."""
     q = terms.groupBy("filename", "utt_idx").agg(F.sum(F.col("tf") * F.col("tf")).alias("q"))
-    a = terms.select("filename", "term", F.col("utt_idx").alias("utt_a"), F.col("tf").alias("tf_a"))
-    b = terms.select("filename", "term", F.col("utt_idx").alias("utt_b"), F.col("tf").alias("tf_b"))
+    # Only terms used by two or more utterances of a transcript can pair up;
+    # the others contribute to the norms (q) only and stay out of the join.
+    df_t = F.count("*").over(Window.partitionBy("filename", "term"))
+    shared_terms = terms.withColumn("_df", df_t).filter(F.col("_df") > 1)
+    a = shared_terms.select("filename", "term", F.col("utt_idx").alias("utt_a"), F.col("tf").alias("tf_a"))
+    b = shared_terms.select("filename", "term", F.col("utt_idx").alias("utt_b"), F.col("tf").alias("tf_b"))
     shared = a.join(b, ["filename", "term"]).filter(F.col("utt_a") < F.col("utt_b"))
     p = shared.groupBy("filename", "utt_a", "utt_b").agg(
         F.sum(F.col("tf_a") * F.col("tf_b")).alias("dot"),

@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from ..functions.frames import cut_lineage
 from ..operators import adapt as ad
 from ..operators import distance as dist
 from ..operators import evaluate as ev
@@ -152,6 +153,8 @@ def _doc_split(spark, sf_dir):
     t = FT.labelled_table(spark, sf_dir)
     t = ev.group_kfold(t, 5)
     t = t.withColumn("features", array_to_vector(F.array(*[F.col(c) for c in FT.FEATURES])))
+    # Checkpointed once: every boosting round and every model fit reads it.
+    t = cut_lineage(t)
     train = t.filter((F.col("domain") == 0) | (F.col("fold") != 0))
     test = t.filter((F.col("domain") == 1) & (F.col("fold") == 0))
     return train, test

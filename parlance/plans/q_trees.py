@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
+from ..functions.frames import cut_lineage
 from ..operators import prep
 from ..operators import trees as tr
 from . import sqlparts as S
@@ -72,6 +73,11 @@ def _nodes(spark, sf_dir):
     return tr.tree_nodes(_trees(spark, sf_dir))
 
 
+def _hub_nodes(tagged):
+    """Node table read by several branches of one plan: checkpointed once."""
+    return cut_lineage(tr.tree_nodes(tr.build_trees(tagged)))
+
+
 @query("f00_build_trees", BASE + "SELECT filename, utt_idx, tree FROM trees")
 def f00(spark, sf_dir):
     return _trees(spark, sf_dir)
@@ -110,7 +116,7 @@ rules AS (SELECT b.filename, b.utt_idx, {', '.join(f'coalesce({n}, 0) AS {n}' fo
 
 @query("f04_f06_named_rules", BASE_NODES + ", " + _rules_sql() + " SELECT * FROM rules")
 def f04(spark, sf_dir):
-    return tr.named_rules(_nodes(spark, sf_dir))
+    return tr.named_rules(_hub_nodes(T.conv_tagged(spark, sf_dir)))
 
 
 AUX_SQL = f"""auxw AS (SELECT DISTINCT filename, utt_idx, token AS word FROM deps WHERE dep IN {S.in_list(lx.AUX_DEPENDENCIES)}),
@@ -131,7 +137,7 @@ aux AS (SELECT b.filename, b.utt_idx, coalesce(na.VP_to_AUX, 0) AS VP_to_AUX,
 
 def _aux(spark, sf_dir):
     tagged = T.conv_tagged(spark, sf_dir)
-    nodes = tr.tree_nodes(tr.build_trees(tagged))
+    nodes = _hub_nodes(tagged)
     return nodes, tr.vp_aux(nodes, tr.aux_dependencies(tagged))
 
 
@@ -148,8 +154,8 @@ ROLL_COLS = ["height"] + [r[0] for r in lx.TREE_RULES] + ["VP_to_AUX", "VP_to_AU
 SELECT filename, """ + ", ".join(f"{r6(f'sum({c}) / nullif(sum(n_nodes), 0)')} AS {c if c != 'height' else 'tree_height'}"
                                 for c in ROLL_COLS) + " FROM pt GROUP BY filename")
 def f09(spark, sf_dir):
-    tagged = T.conv_tagged(spark, sf_dir)
-    nodes = tr.tree_nodes(tr.build_trees(tagged))
+    tagged = cut_lineage(T.conv_tagged(spark, sf_dir))
+    nodes = _hub_nodes(tagged)
     return tr.tree_rollup(nodes, tr.named_rules(nodes), tr.vp_aux(nodes, tr.aux_dependencies(tagged)))
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
 from ..functions import text as tx
+from ..functions.frames import cut_lineage
 
 C_ONE_SIDED = 1.0 + math.log(1.5)  # idf of a term present in one text of the pair
 
@@ -42,8 +43,14 @@ def utterance_terms(spark: SparkSession, utts: DataFrame) -> DataFrame:
     return t.groupBy("filename", "utt_idx", F.col("word").alias("term")).agg(F.count("*").alias("tf"))
 
 
-def pair_cosine(terms: DataFrame) -> DataFrame:
-    """H01 for every pair (a < b) of one transcript sharing at least one term."""
+def pair_cosine(terms: DataFrame, materialize: bool = True) -> DataFrame:
+    """H01 for every pair (a < b) of one transcript sharing at least one term.
+
+    The term table feeds both join sides and both norm look-ups, so it is
+    checkpointed once (``materialize``) instead of re-tokenising per branch.
+    """
+    if materialize:
+        terms = cut_lineage(terms)
     q = terms.groupBy("filename", "utt_idx").agg(F.sum(F.col("tf") * F.col("tf")).alias("q"))
     # Only terms used by two or more utterances of a transcript can pair up;
     # the others contribute to the norms (q) only and stay out of the join.

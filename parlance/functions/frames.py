@@ -2,19 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder named by
+    """Write ``df`` as a parquet table in the shared folder named by
     ``spark.checkpoint.dir`` and return a DataFrame reading it back.
 
-    Used for hub tables (tokens, the labelled feature table) that feed many
-    branches of one plan: without it every branch re-runs the tokeniser, and
-    a lost executor would re-run the whole chain. The checkpoint is reliable
-    (shared storage), so later stages survive executor loss.
+    Used for hub tables (tokens, terms, tree nodes, the labelled feature
+    table) that feed several branches of one plan: without it every branch
+    re-runs the tokeniser, and a lost executor would re-run the whole chain.
+    The table lives on the shared file system, so later stages survive
+    executor loss; reads are columnar and column-pruned. Tables written by
+    this process are removed when it exits.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/parlance-hub-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    _WRITTEN.append((spark, path))
+    return spark.read.parquet(path)
+
+
+@atexit.register
+def _drop_written() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            jvm = spark.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001 - the JVM may already be gone at exit
+            pass

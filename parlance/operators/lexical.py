@@ -35,12 +35,18 @@ def rich_tokens(toks: DataFrame) -> DataFrame:
 
 
 def token_counts(toks: DataFrame) -> DataFrame:
-    """C01, C02, D01-style TTR and D10 mean token length per transcript."""
-    return toks.groupBy("filename").agg(
-        F.count("*").alias("n_tokens"),
-        F.count_distinct("token").alias("n_unique_tokens"),
-        tx.round6(F.try_divide(F.count_distinct("token").cast("double"), F.count("*"))).alias("ttr"),
-        tx.round6(F.avg(F.length("token"))).alias("mean_token_length"))
+    """C01, C02, D01-style TTR and D10 mean token length per transcript.
+
+    Two-level aggregate: per (filename, token) first, then per filename — no
+    distinct-aggregate row expansion, and a very long transcript is spread
+    over many tasks by the first level.
+    """
+    per_type = toks.groupBy("filename", "token").agg(F.count("*").alias("f"))
+    g = per_type.groupBy("filename").agg(F.sum("f").alias("n_tokens"), F.count("*").alias("n_unique_tokens"),
+                                         F.sum(F.col("f") * F.length("token")).alias("chars"))
+    return g.select("filename", "n_tokens", "n_unique_tokens",
+                    tx.round6(F.try_divide(F.col("n_unique_tokens").cast("double"), F.col("n_tokens"))).alias("ttr"),
+                    tx.round6(F.try_divide(F.col("chars").cast("double"), F.col("n_tokens"))).alias("mean_token_length"))
 
 
 def whitespace_ttr(utts: DataFrame) -> DataFrame:

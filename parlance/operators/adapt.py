@@ -441,12 +441,12 @@ def error_histogram(df: DataFrame, weight_col: str, err_col: str, buckets: int =
 
 def target_slices(df: DataFrame, n_slices: int, key: str = "filename", domain_col: str = "domain") -> DataFrame:
     """Consecutive target slices (by key order) as a ``slice`` column;
-    source rows get null (they are in every training set)."""
+    source rows get null (they are in every training set). The key rank is
+    exact and distributed (``global_rank``), not a one-task window."""
+    from ..functions.frames import global_rank
     tgt = df.filter(F.col(domain_col) != 0)
     cnt = tgt.agg(F.count("*").alias("_n"))
-    # rank within the target rows: rank-based, reproducible.
-    r = F.row_number().over(Window.partitionBy(domain_col).orderBy(key)) - 1
-    t = tx.attach_scalar(tgt.withColumn("_r", r), cnt)
+    t = tx.attach_scalar(global_rank(tgt, key, out_col="_r"), cnt)
     t = t.withColumn("slice", F.floor(F.col("_r") * n_slices / F.col("_n")).cast("int")).drop("_r", "_n")
     return df.filter(F.col(domain_col) == 0).withColumn("slice", F.lit(None).cast("int")).unionByName(t)
 

@@ -27,13 +27,28 @@ def kind_expr(col="event_type"):
     return e
 
 
-def segments(events: DataFrame, rec_col="user_id", ts_col="ts", type_col="event_type") -> DataFrame:
-    """(filename, start, seconds, kind); the last event of a recording has no
-    end and yields no segment."""
-    w = Window.partitionBy(rec_col).orderBy(ts_col, "event_id")
+def segments(events: DataFrame, rec_col="user_id", ts_col="ts", type_col="event_type",
+             bucket: str = "hour") -> DataFrame:
+    """(filename, start, seconds, kind); each event lasts until the next event
+    of its recording, the last event yields no segment.
+
+    Skew-safe ``lead``: events are windowed per (recording, time bucket), so a
+    recording holding a third of all events still spreads over many tasks;
+    the last event of a bucket takes the first event of the recording's next
+    non-empty bucket from a per-bucket table (one row per recording and
+    bucket).
+    """
     us = F.unix_micros(F.col(ts_col).cast("timestamp"))  # naive timestamps read as UTC
-    seg = events.select(F.col(rec_col).alias("filename"), F.col(ts_col).alias("start"),
-                        ((F.lead(us).over(w) - us) / 1e6).alias("seconds"), kind_expr(type_col).alias("kind"))
+    e = events.select(F.col(rec_col).alias("filename"), F.col(ts_col).alias("start"), us.alias("us"),
+                      F.col("event_id").alias("eid"), kind_expr(type_col).alias("kind"),
+                      F.date_trunc(bucket, F.col(ts_col).cast("timestamp")).alias("bk"))
+    w = Window.partitionBy("filename", "bk").orderBy("us", "eid")
+    e = e.withColumn("nxt", F.lead("us").over(w))
+    firsts = e.groupBy("filename", "bk").agg(F.min(F.struct("us", "eid"))["us"].alias("first_us"))
+    firsts = firsts.withColumn("next_first", F.lead("first_us").over(Window.partitionBy("filename").orderBy("bk")))
+    e = e.join(firsts.select("filename", "bk", "next_first"), ["filename", "bk"])
+    seg = e.select("filename", "start", ((F.coalesce("nxt", "next_first") - F.col("us")) / 1e6).alias("seconds"),
+                   "kind")
     return seg.filter(F.col("seconds").isNotNull() & F.col("kind").isNotNull())
 
 

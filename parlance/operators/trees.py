@@ -28,6 +28,10 @@ PHRASE_OF_TAG = {
     "INTJ": ["UH"],
 }
 PHRASE_TYPES = ["NP", "VP", "PP"]
+# Words per parsed chunk (the reference hands the parser at most 50 words at
+# a time); bounds every tree, and so the per-tree array fold, by a constant.
+TREE_WORDS = 50
+TREE_KEYS = ("filename", "utt_idx", "tree_idx")
 BRACKET_RE = r"\([^\s()]+(?: [^\s()]+)?|\)"
 
 
@@ -44,18 +48,22 @@ def _escape(c):
 
 
 def build_trees(tagged: DataFrame) -> DataFrame:
-    """(filename, utt_idx, tree) from tagged tokens (see module doc)."""
-    w = Window.partitionBy("filename", "utt_idx").orderBy("tok_idx")
-    t = tagged.select("filename", "utt_idx", "tok_idx", phrase_class().alias("cls"),
+    """(filename, utt_idx, tree_idx, tree) from tagged tokens (see module
+    doc); one tree per consecutive ``TREE_WORDS``-token chunk of an
+    utterance."""
+    k = list(TREE_KEYS)
+    tagged = tagged.withColumn("tree_idx", F.floor(F.col("tok_idx") / TREE_WORDS))
+    w = Window.partitionBy(*k).orderBy("tok_idx")
+    t = tagged.select(*k, "tok_idx", phrase_class().alias("cls"),
                       F.concat(F.lit("("), _escape(F.col("pos")), F.lit(" "), _escape(F.col("token")),
                                F.lit(")")).alias("leaf"))
     new = (F.col("cls").isNull() | F.lag("cls").over(w).isNull() | (F.lag("cls").over(w) != F.col("cls")))
     t = t.withColumn("chunk", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ch = t.groupBy("filename", "utt_idx", "chunk").agg(
+    ch = t.groupBy(*k, "chunk").agg(
         F.first("cls").alias("cls"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_idx", "leaf"))),
                                  lambda s: s["leaf"]), " ").alias("leaves"))
-    wc = Window.partitionBy("filename", "utt_idx").orderBy("chunk")
+    wc = Window.partitionBy(*k).orderBy("chunk")
     ch = ch.withColumn("next_cls", F.lead("cls").over(wc)).withColumn("prev_cls", F.lag("cls").over(wc))
     ch = ch.withColumn("next_str", F.lead(F.concat(F.lit("(NP "), F.col("leaves"), F.lit(")"))).over(wc))
     absorbed = (F.col("cls") == "NP") & (F.col("prev_cls") == "PP")
@@ -63,14 +71,14 @@ def build_trees(tagged: DataFrame) -> DataFrame:
          .when((F.col("cls") == "PP") & (F.col("next_cls") == "NP"),
                F.concat(F.lit("(PP "), F.col("leaves"), F.lit(" "), F.col("next_str"), F.lit(")")))
          .otherwise(F.concat(F.lit("("), F.col("cls"), F.lit(" "), F.col("leaves"), F.lit(")"))))
-    ch = ch.filter(~F.coalesce(absorbed, F.lit(False))).select("filename", "utt_idx", "chunk", s.alias("s"))
-    tr = ch.groupBy("filename", "utt_idx").agg(
+    ch = ch.filter(~F.coalesce(absorbed, F.lit(False))).select(*k, "chunk", s.alias("s"))
+    tr = ch.groupBy(*k).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "s"))), lambda x: x["s"]),
                      " ").alias("body"))
-    return tr.select("filename", "utt_idx", F.concat(F.lit("(ROOT (S "), F.col("body"), F.lit("))")).alias("tree"))
+    return tr.select(*k, F.concat(F.lit("(ROOT (S "), F.col("body"), F.lit("))")).alias("tree"))
 
 
-def tree_nodes(trees: DataFrame, tree_col: str = "tree", keys=("filename", "utt_idx")) -> DataFrame:
+def tree_nodes(trees: DataFrame, tree_col: str = "tree", keys=TREE_KEYS) -> DataFrame:
     """one row per node — (keys, node_id, parent_id, depth, label, word,
     anc) with ``anc`` the ancestor labels root-first; leaves carry the word.
     Unbalanced closing brackets are ignored (the stack never goes below 0)."""
@@ -101,12 +109,12 @@ def tree_nodes(trees: DataFrame, tree_col: str = "tree", keys=("filename", "utt_
         "id", "node_id").withColumnRenamed("parent", "parent_id")
 
 
-def tree_size(nodes: DataFrame, keys=("filename", "utt_idx")) -> DataFrame:
+def tree_size(nodes: DataFrame, keys=TREE_KEYS) -> DataFrame:
     """F02 node count and F03 height (longest root-to-leaf path, in nodes)."""
     return nodes.groupBy(*keys).agg(F.count("*").alias("n_nodes"), (F.max("depth") + 1).alias("height"))
 
 
-def children_labels(nodes: DataFrame, keys=("filename", "utt_idx")) -> DataFrame:
+def children_labels(nodes: DataFrame, keys=TREE_KEYS) -> DataFrame:
     """Per parent node: label and the set of child labels (self equi-join on
     (tree, parent_id = node_id), then one grouped collect per parent — a
     node's children, bounded by the tree)."""
@@ -116,7 +124,7 @@ def children_labels(nodes: DataFrame, keys=("filename", "utt_idx")) -> DataFrame
         F.collect_set("child").alias("children"), F.count("*").alias("n_children"))
 
 
-def named_rules(nodes: DataFrame, keys=("filename", "utt_idx")) -> DataFrame:
+def named_rules(nodes: DataFrame, keys=TREE_KEYS) -> DataFrame:
     """Per tree, number of parents of type P whose child labels
     include the rule's children (one child: an edge count, F04; several: a
     set test, F05). Quirk 13 fixed: ADVP→RB, two-child rules by set test."""
@@ -149,10 +157,11 @@ def aux_dependencies(tagged: DataFrame) -> DataFrame:
            .when(be & (nxt == "VBN"), "auxpass")
            .when((F.col("upos") == "AUX") & nxt.isin(lx.VERB_TAGS), "aux")
            .when((F.col("pos") == "VB") & (prv == "to"), "xcomp"))
-    return tagged.select("filename", "utt_idx", "tok_idx", "token", dep.alias("dep"))
+    return tagged.select("filename", "utt_idx", F.floor(F.col("tok_idx") / TREE_WORDS).alias("tree_idx"),
+                         "tok_idx", "token", dep.alias("dep"))
 
 
-def vp_aux(nodes: DataFrame, deps: DataFrame, keys=("filename", "utt_idx")) -> DataFrame:
+def vp_aux(nodes: DataFrame, deps: DataFrame, keys=TREE_KEYS) -> DataFrame:
     """F07 count of auxiliary relations and F08 VP→AUX VP / VP→AUX ADJP: VP
     nodes with a leaf child whose word is an auxiliary dependent of the same
     utterance and a child labelled VP / ADJP."""
@@ -175,7 +184,7 @@ def tree_rollup(nodes: DataFrame, rules: DataFrame, aux: DataFrame) -> DataFrame
     """per transcript, sums over its trees of height, named rules and
     auxiliary counts, each ÷ total nodes (Quirk 14 fixed: per-tree pairing)."""
     size = tree_size(nodes)
-    per_tree = size.join(rules, ["filename", "utt_idx"]).join(aux, ["filename", "utt_idx"])
+    per_tree = size.join(rules, list(TREE_KEYS)).join(aux, list(TREE_KEYS))
     cols = ["height"] + [r[0] for r in lx.TREE_RULES] + ["VP_to_AUX", "VP_to_AUX_VP", "VP_to_AUX_ADJP"]
     g = per_tree.groupBy("filename").agg(F.sum("n_nodes").alias("nodes"), *[F.sum(c).alias(c) for c in cols])
     return g.select("filename", *[tx.round6(tx.safe_div(c, "nodes")).alias(c if c != "height" else "tree_height")
@@ -189,7 +198,7 @@ def constituent_shares(nodes: DataFrame) -> DataFrame:
                                            for l in lx.CFG_LABELS])
 
 
-def phrase_features(nodes: DataFrame, keys=("filename", "utt_idx")) -> DataFrame:
+def phrase_features(nodes: DataFrame, keys=TREE_KEYS) -> DataFrame:
     """F11–F17 per tree: phrase length (words × enclosing phrases of the type,
     Quirk 16 fixed), embedded and outermost counts, proportions, average
     lengths (Quirk 18 fixed) and type rates."""

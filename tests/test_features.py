@@ -109,8 +109,8 @@ def test_pair_cosine_brute_force(spark):
 
 
 def test_tree_nodes_and_phrases(spark):
-    t = spark.createDataFrame([(1, 0, "(ROOT (S (NP (DT the) (NN boy)) (VP (VBD fell) (PP (IN off) (NP (DT the) (NN stool))))))")],
-                              "filename long, utt_idx long, tree string")
+    t = spark.createDataFrame([(1, 0, 0, "(ROOT (S (NP (DT the) (NN boy)) (VP (VBD fell) (PP (IN off) (NP (DT the) (NN stool))))))")],
+                              "filename long, utt_idx long, tree_idx long, tree string")
     nodes = tr.tree_nodes(t)
     rows = sorted((r["node_id"], r["parent_id"], r["depth"], r["label"], r["word"]) for r in nodes.collect())
     assert rows[0] == (0, -1, 0, "ROOT", None)

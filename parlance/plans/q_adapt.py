@@ -227,7 +227,9 @@ def k18(spark, sf_dir):
     return b.groupBy("label").agg(F.count("*").alias("n_drawn"))
 
 
-@query("k19_check_sample_weight")
+@query("k19_check_sample_weight", "SELECT label, sum(w) AS weight_sum, count(*) AS n FROM (SELECT label, "
+       "count(*) OVER () / (count(DISTINCT label) OVER () * count(*) OVER (PARTITION BY label)) AS w FROM ("
+       + FT.labelled_sql() + ")) GROUP BY label")
 def k19(spark, sf_dir):
     t = ad.class_balance_weights(FT.labelled_table(spark, sf_dir).select("filename", "label"))
     t = ad.check_sample_weight(t, "cw")

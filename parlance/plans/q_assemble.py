@@ -160,3 +160,20 @@ SELECT domain, count(*) AS n, {r6('count(*) / (SELECT count(*) FROM lt)')} AS ro
   {r6('avg(label)')} AS positive_share FROM lt GROUP BY domain""")
 def j20(spark, sf_dir):
     return asm.composition_shares(FT.labelled_table(spark, sf_dir))
+
+
+# The 25 timing columns chosen by name (not by position, Quirk 22).
+TIMING_COLS = (["Vrate"] + [f"{s}dur{k}" for k in ("voiced", "unvoiced", "pause")
+                            for s in ("avg", "std", "skw", "kurtosis", "max", "min")]
+               + ["PVU", "PU", "UVU", "VVU", "VP", "UP"])
+
+
+def _j09_sql():
+    from .registry import ORACLE
+    return f"SELECT filename, {', '.join(TIMING_COLS)} FROM ({ORACLE['i04_attach_ids']})"
+
+
+@query("j09_named_column_slice", _j09_sql())
+def j09(spark, sf_dir):
+    from . import q_timing
+    return q_timing.i04(spark, sf_dir).select("filename", *TIMING_COLS)

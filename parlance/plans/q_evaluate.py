@@ -312,3 +312,13 @@ def m13(spark, sf_dir):
     w = w.filter("block = 'joint'").select("feature", "weight")
     p = m09p(spark, sf_dir).select("feature", "p_value")
     return ev.ranked_significance(w, p)
+
+
+@query("j16_top_k_features", "SELECT feature, abs(t) AS weight FROM (" + S.with_(LT, LONG) + _welch_sql("lg")
+       + ") WHERE t IS NOT NULL ORDER BY abs(t) DESC, feature LIMIT 10")
+def j16(spark, sf_dir):
+    """The 10 features with the largest |Welch t| between labels — a
+    ranked weight table cut at k (a top-k report)."""
+    from ..operators import assemble as asm
+    w = m09(spark, sf_dir).filter(F.col("t").isNotNull()).select("feature", F.abs("t").alias("weight"))
+    return asm.top_k_features(w, 10)

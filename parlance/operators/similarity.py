@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
@@ -54,8 +54,10 @@ def pair_cosine(terms: DataFrame, materialize: bool = True) -> DataFrame:
     q = terms.groupBy("filename", "utt_idx").agg(F.sum(F.col("tf") * F.col("tf")).alias("q"))
     # Only terms used by two or more utterances of a transcript can pair up;
     # the others contribute to the norms (q) only and stay out of the join.
-    df_t = F.count("*").over(Window.partitionBy("filename", "term"))
-    shared_terms = terms.withColumn("_df", df_t).filter(F.col("_df") > 1)
+    # (A partial-aggregated count + semi join, not a window: a hot term is
+    # never gathered into one task just to be counted.)
+    multi = terms.groupBy("filename", "term").agg(F.count("*").alias("_df")).filter(F.col("_df") > 1)
+    shared_terms = terms.join(multi.select("filename", "term"), ["filename", "term"], "left_semi")
     a = shared_terms.select("filename", "term", F.col("utt_idx").alias("utt_a"), F.col("tf").alias("tf_a"))
     b = shared_terms.select("filename", "term", F.col("utt_idx").alias("utt_b"), F.col("tf").alias("tf_b"))
     shared = a.join(b, ["filename", "term"]).filter(F.col("utt_a") < F.col("utt_b"))

@@ -180,22 +180,36 @@ def msttr(rich: DataFrame, window: int = 3) -> DataFrame:
         tx.round6(F.avg(F.col("v") / F.lit(window))).alias("msttr"))
 
 
+MATTR_BUCKET = 4096  # positions per window partition (look-ahead rows are copied across edges)
+
+
 def mattr(rich: DataFrame, window: int = 3, pad_short: bool = False) -> DataFrame:
     """Moving-average TTR over every window of ``window`` tokens.
 
     Distinct types in a window = positions whose next occurrence of the same
     term lies beyond the window's end, so each token contributes to the
-    windows i in [max(p, w-1), min(p+w-1, next-1, N-1)]. One ``lead`` over
-    (filename, term) and two sums — no per-transcript sequential pass.
-    With ``pad_short`` (D04 form) a transcript shorter than the window gives
-    V / window (the reference divides by the window size regardless).
+    windows i in [max(p, w-1), min(p+w-1, next-1, N-1)]. Only an occurrence
+    within the next w-1 positions matters, so ``next`` is found by looking
+    ahead w-1 rows inside (transcript, position bucket) partitions; the first
+    w-1 rows of each bucket are also copied into the previous bucket. Every
+    partition is bounded (bucket + w-1 rows) however long the transcript or
+    frequent the term. With ``pad_short`` (D04 form) a transcript shorter
+    than the window gives V / window (the reference divides by the window
+    size regardless).
     """
-    nxt = F.lead("pos").over(Window.partitionBy("filename", "term").orderBy("pos"))
-    r = rich.withColumn("nxt", nxt)
+    w1 = window - 1
+    b = F.floor(F.col("pos") / MATTR_BUCKET)
+    own = rich.select("filename", "pos", "term", b.alias("bk"), F.lit(True).alias("own"))
+    ahead = (rich.filter((F.col("pos") % MATTR_BUCKET) < w1)
+             .select("filename", "pos", "term", (b - 1).alias("bk"), F.lit(False).alias("own")))
+    rows = own.unionByName(ahead)
+    look = F.collect_list("term").over(Window.partitionBy("filename", "bk").orderBy("pos").rowsBetween(1, w1))
+    r = rows.withColumn("nxt_off", F.array_position(look, F.col("term"))).filter("own")
     n = rich.groupBy("filename").agg(F.count("*").alias("N"), F.count_distinct("term").alias("V"))
     r = r.join(n, "filename")
-    lo = F.greatest(F.col("pos"), F.lit(window - 1))
-    hi = F.least(F.col("pos") + window - 1, F.coalesce(F.col("nxt") - 1, F.col("N") - 1), F.col("N") - 1)
+    nxt = F.when(F.col("nxt_off") > 0, F.col("pos") + F.col("nxt_off"))
+    lo = F.greatest(F.col("pos"), F.lit(w1))
+    hi = F.least(F.col("pos") + w1, F.coalesce(nxt - 1, F.col("N") - 1), F.col("N") - 1)
     contrib = F.greatest(hi - lo + 1, F.lit(0))
     s = r.groupBy("filename", "N", "V").agg(F.sum(contrib).alias("s"))
     windows = F.col("N") - window + 1

@@ -151,3 +151,13 @@ def test_clean_and_apostrophes(spark):
 def test_repeat_markers(spark):
     df = spark.createDataFrame([("the dog [x 3] ran",)], "text string")
     assert df.select(prep.resolve_repeats("text")).first()[0] == "the dog dog dog ran"
+
+
+def test_mattr_across_bucket_edges(spark, monkeypatch):
+    monkeypatch.setattr(lex, "MATTR_BUCKET", 4)
+    rich = lex.rich_tokens(prep.token_table(_utts(spark)))
+    for w in (3, 5):
+        got = {r["filename"]: r[f"mattr_{w}"] for r in lex.mattr(rich, w).collect()}
+        for f, ws in _seq(None).items():
+            want = mattr_ref(ws, w)
+            assert (got[f] is None) if want is None else got[f] == pytest.approx(want, abs=1e-6)

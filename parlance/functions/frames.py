@@ -42,19 +42,20 @@ def _drop_written() -> None:
             pass
 
 
-def global_rank(df: DataFrame, key: str, partitions: int | None = None, out_col: str = "rank") -> DataFrame:
+def global_rank(df: DataFrame, key, partitions: int | None = None, out_col: str = "rank") -> DataFrame:
     """Exact 0-based rank of every row by ``key`` without a single-task
     window: range-partition by the key, count rows per partition (one row
     per partition comes back as offsets), then number rows inside each
     partition."""
     from pyspark.sql import Window
     from pyspark.sql import functions as F
+    keys = [key] if isinstance(key, str) else list(key)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Materialised once so that both uses see the same range boundaries.
-    r = cut_lineage(df.repartitionByRange(n, key).withColumn("_pid", F.spark_partition_id()))
+    r = cut_lineage(df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()))
     counts = r.groupBy("_pid").agg(F.count("*").alias("_c"))
     offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    within = F.row_number().over(Window.partitionBy("_pid").orderBy(key)) - 1
+    within = F.row_number().over(Window.partitionBy("_pid").orderBy(*keys)) - 1
     return (r.withColumn("_in", within).join(F.broadcast(offs), "_pid")
             .withColumn(out_col, F.col("_off") + F.col("_in")).drop("_pid", "_in", "_off"))

@@ -85,8 +85,15 @@ def leave_pairs_out(df: DataFrame, group_col: str = "group_id", label_col: str =
     """Fold i holds out the i-th positive group and the i-th negative
     group (groups ranked by id within each label); unpaired groups stay in
     training everywhere."""
+    from ..functions.frames import global_rank
     g = df.groupBy(group_col).agg(F.max(label_col).alias("_l"))
-    r = g.withColumn("_i", F.row_number().over(Window.partitionBy("_l").orderBy(group_col)) - 1)
+    # rank inside each label = global rank over (label, group) minus the
+    # number of groups with a smaller label (distributed, no one-task window)
+    ranked = global_rank(g, ["_l", group_col], out_col="_g")
+    per_label = g.groupBy("_l").agg(F.count("*").alias("_c"))
+    offs = per_label.withColumn("_off", F.coalesce(F.sum("_c").over(
+        Window.orderBy("_l").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    r = ranked.join(F.broadcast(offs), "_l").withColumn("_i", F.col("_g") - F.col("_off")).drop("_g", "_off")
     pairs = r.groupBy("_i").agg(F.count("*").alias("_n")).filter("_n = 2").select("_i")
     fold = r.join(pairs, "_i", "left_semi").select(group_col, F.col("_i").cast("int").alias("fold"))
     return df.join(fold, group_col, "left")

@@ -59,3 +59,23 @@ def global_rank(df: DataFrame, key, partitions: int | None = None, out_col: str
     within = F.row_number().over(Window.partitionBy("_pid").orderBy(*keys)) - 1
     return (r.withColumn("_in", within).join(F.broadcast(offs), "_pid")
             .withColumn(out_col, F.col("_off") + F.col("_in")).drop("_pid", "_in", "_off"))
+
+
+def grouped_prefix_sum(df: DataFrame, group: str, order: str, value: str, out_col: str = "before",
+                       partitions: int | None = None) -> DataFrame:
+    """Exclusive running sum of ``value`` within each ``group`` in ``order``,
+    without a one-task window per group: range-partition by (group, order),
+    take running sums inside each partition, and add the totals of the same
+    group from earlier partitions (a table of partitions × groups present,
+    small). A group holding a third of all rows is summed by many tasks."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = cut_lineage(df.repartitionByRange(n, group, order).withColumn("_pid", F.spark_partition_id()))
+    local = F.coalesce(F.sum(value).over(Window.partitionBy("_pid", group).orderBy(order)
+                                         .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tot = r.groupBy(group, "_pid").agg(F.sum(value).alias("_t"))
+    prev = tot.withColumn("_prev", F.coalesce(F.sum("_t").over(
+        Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
+    return (r.withColumn("_loc", local).join(prev, [group, "_pid"])
+            .withColumn(out_col, F.col("_prev") + F.col("_loc")).drop("_pid", "_loc", "_prev"))

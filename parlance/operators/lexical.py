@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
 from ..functions import text as tx
+from ..functions.frames import grouped_prefix_sum
 
 
 def rich_tokens(toks: DataFrame) -> DataFrame:
@@ -23,11 +24,11 @@ def rich_tokens(toks: DataFrame) -> DataFrame:
     global position ``pos`` in transcript order (utterance, then token)."""
     t = toks.filter(~tx.is_punct_token("token")).select(
         "filename", "utt_idx", "tok_idx", F.lower("token").alias("term"))
-    # Offsets: per-utterance token counts, running sum over utterances (the
-    # utterance table is one row per utterance, far smaller than tokens).
+    # Offsets: per-utterance token counts, exclusive running sum over the
+    # utterances of each transcript (distributed prefix sum, so one huge
+    # transcript does not pin a single task).
     per_utt = t.groupBy("filename", "utt_idx").agg(F.count("*").alias("k"))
-    w = Window.partitionBy("filename").orderBy("utt_idx").rowsBetween(Window.unboundedPreceding, -1)
-    offs = per_utt.withColumn("off", F.coalesce(F.sum("k").over(w), F.lit(0))).drop("k")
+    offs = grouped_prefix_sum(per_utt, "filename", "utt_idx", "k", out_col="off").drop("k")
     rn = Window.partitionBy("filename", "utt_idx").orderBy("tok_idx")
     return (t.withColumn("i", F.row_number().over(rn) - 1)
              .join(offs, ["filename", "utt_idx"])

@@ -546,3 +546,40 @@ class TwoStageTrAdaBoostR2:
             out = out.join(m.transform(df).select(self.key, F.col("prediction").alias(f"_m{k}")), self.key)
             cols.append((f"_m{k}", w))
         return weighted_median(out, [c for c, _ in cols], [w for _, w in cols])
+
+
+class AdaptedEstimator:
+    """The adaptation dispatch — either *transform* the data with an
+    adapter (``fit(df)`` / ``transform(df)``, e.g. ``Coral``) or *reweight*
+    the rows with a weighter returning a ``_w`` column (e.g. the final
+    weights of ``TrAdaBoost``), then fit the base estimator on the source
+    (or on both domains when ``train_domains`` says so); at predict time the
+    target goes through the same transform."""
+
+    def __init__(self, make_estimator, adapter=None, weighter=None, features_col: str = "features",
+                 domain_col: str = "domain", train_domains=(0,)):
+        if (adapter is None) == (weighter is None):
+            raise ValueError("give exactly one of adapter (transform) or weighter (reweight)")
+        self.make_estimator, self.adapter, self.weighter = make_estimator, adapter, weighter
+        self.features_col, self.domain_col, self.train_domains = features_col, domain_col, list(train_domains)
+
+    def _vec(self, df):
+        return df.withColumn(self.features_col, array_to_vector(F.col(self.features_col)))
+
+    def fit(self, df: DataFrame) -> "AdaptedEstimator":
+        train = df.filter(F.col(self.domain_col).isin(self.train_domains))
+        if self.adapter is not None:
+            self.adapter.fit(df)
+            moved = self._vec(self.adapter.transform(train))
+            self.model_ = self.make_estimator(moved.count(), None).fit(moved)
+        else:
+            weighted = self.weighter(df).filter(F.col(self.domain_col).isin(self.train_domains))
+            n = weighted.count()
+            mean_w = weighted.agg(F.avg("_w")).first()[0]
+            w = self._vec(weighted.withColumn("_sw", F.col("_w") / mean_w))
+            self.model_ = self.make_estimator(n, "_sw").fit(w)
+        return self
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        x = self.adapter.transform(df) if self.adapter is not None else df
+        return self.model_.transform(self._vec(x))

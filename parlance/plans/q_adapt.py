@@ -238,15 +238,12 @@ def k19(spark, sf_dir):
 
 @query("k06_k20_coral_dispatch")
 def k06(spark, sf_dir):
-    """K06 + K20: CORAL transform of the source, then a logistic regression
-    fitted on the aligned source and applied to the standardised target."""
+    """K06 + K20: the dispatcher with a CORAL transform — fit a logistic
+    regression on the aligned source, predict the standardised target."""
     t = FT.labelled_table(spark, sf_dir).withColumn("features", F.array(*[F.col(c) for c in FT.FEATURES]))
-    coral = ad.Coral().fit(t)
-    moved = coral.transform(t.select("filename", "label", "domain", "features"))
-    v = moved.withColumn("features", array_to_vector("features"))
-    src = v.filter("domain = 0")
-    model = ad.logistic(1.0, src.count(), max_iter=100).fit(src)
-    return model.transform(v.filter("domain = 1")).select("filename", "label", "prediction")
+    t = t.select("filename", "label", "domain", "features")
+    est = ad.AdaptedEstimator(lambda n, w: ad.logistic(1.0, n, max_iter=100, weight_col=w), adapter=ad.Coral())
+    return est.fit(t).predict(t.filter("domain = 1")).select("filename", "label", "prediction")
 
 
 @query("k21_logistic_target_only")

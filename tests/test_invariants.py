@@ -83,3 +83,14 @@ def test_coral_aligns_covariance(spark):
     xs = np.array([r["features"] for r in moved.filter("domain = 0").collect()])
     xt = np.array([r["features"] for r in moved.filter("domain = 1").collect()])
     assert np.abs(np.cov(xs, rowvar=False) - np.cov(xt, rowvar=False)).mean() < 0.05
+
+
+def test_adapted_estimator_dispatch(spark):
+    e = _emb(spark).withColumn("label", (F.col("features")[0] > 0).cast("double"))
+    make = lambda n, w: ad.logistic(1.0, n, max_iter=20, weight_col=w)
+    by_transform = ad.AdaptedEstimator(make, adapter=ad.Coral()).fit(e)
+    assert by_transform.predict(e.filter("domain = 1")).count() == e.filter("domain = 1").count()
+    by_weight = ad.AdaptedEstimator(make, weighter=lambda d: d.withColumn("_w", F.lit(1.0))).fit(e)
+    assert by_weight.predict(e).select("prediction").distinct().count() >= 1
+    with pytest.raises(ValueError):
+        ad.AdaptedEstimator(make)

@@ -94,3 +94,20 @@ def test_ledger_and_quarantine(spark, tmp):
     assert sorted(r["filename"] for r in todo.collect()) == [2, 3]
     good, bad = io.quarantine_split(docs, F.col("text").rlike(r"\p{L}"))
     assert [r["filename"] for r in bad.collect()] == [2]
+
+
+def test_nested_and_glob(spark, tmp):
+    nested = spark.createDataFrame([("f1", [["a", "b"], ["c"]], [{"NN": 2}, {"VB": 1}])],
+                                   "filename string, token array<array<string>>, pos_freq array<map<string,int>>")
+    p = os.path.join(tmp, "tags")
+    nested.write.parquet(p)
+    back = io.read_nested(spark, p, "filename string, token array<array<string>>, pos_freq array<map<string,int>>")
+    r = back.first()
+    assert r["token"] == [["a", "b"], ["c"]] and r["pos_freq"][0] == {"NN": 2}
+    a, b = os.path.join(tmp, "a.csv"), os.path.join(tmp, "b.csv")
+    with open(a, "w") as f:
+        f.write("filename,x\nf1,1\n")
+    with open(b, "w") as f:
+        f.write("filename,y\nf2,2\n")
+    u = io.read_glob(spark, [a, b], header=True)
+    assert sorted(u.columns) == ["filename", "x", "y"] and u.count() == 2

@@ -24,9 +24,11 @@ DEFAULT_CONF = {
     "spark.ui.showConsoleProgress": "false",
     # Checkpoint files of hub tables are removed once no longer referenced.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
-    # Lexicons and keyword tables are a few hundred rows; anything above this
-    # threshold is shuffled, never broadcast.
-    "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
+    # No broadcast from planner *estimates*; AQE broadcasts a join side only
+    # from its measured runtime size. Explicit broadcasts are limited to the
+    # fixed lexicon tables and one-row aggregates.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
 }
 
 

@@ -100,16 +100,16 @@ def light_stem(word) -> Column:
 
 
 def fallback_tag(tok) -> Column:
-    """Penn tag for tokens missing from the closed-class table."""
+    """Penn tag for tokens missing from the closed-class table.
+
+    Word tokens (the vast majority) are tested first, so they pay for two
+    regular expressions; the digit and punctuation rules only run for the
+    rest. The result equals the flat rule order CD, ., ,, :, SYM, FW, suffixes.
+    """
     t = col(tok)
     lw = F.lower(t)
     n = F.length(lw)
-    return (F.when(t.rlike(r"^\p{N}+$"), "CD")
-            .when(t.rlike(r"^[.!?]$"), ".")
-            .when(t == ",", ",")
-            .when(t.rlike(r"^[:;]$"), ":")
-            .when(~t.rlike(WORD_RE), "SYM")
-            .when(t.rlike(NON_ASCII_RE), "FW")
+    word = (F.when(t.rlike(NON_ASCII_RE), "FW")
             .when((n > 4) & lw.endswith("ing"), "VBG")
             .when((n > 3) & lw.endswith("ed"), "VBD")
             .when((n > 3) & lw.endswith("ly"), "RB")
@@ -117,6 +117,12 @@ def fallback_tag(tok) -> Column:
                              | lw.endswith("able")), "JJ")
             .when((n > 3) & lw.endswith("s") & ~lw.endswith("ss"), "NNS")
             .otherwise("NN"))
+    other = (F.when(t.rlike(r"^\p{N}+$"), "CD")
+             .when(t.rlike(r"^[.!?]$"), ".")
+             .when(t == ",", ",")
+             .when(t.rlike(r"^[:;]$"), ":")
+             .otherwise("SYM"))
+    return F.when(t.rlike(WORD_RE), word).otherwise(other)
 
 
 def rule_lemma(lw, tag) -> Column:

@@ -29,12 +29,11 @@ def doc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     utts = T.doc_utterances(spark, sf_dir)
     toks = cut_lineage(prep.token_table(utts))
     tagged = prep.tag_tokens(spark, toks)
-    f1 = lex.token_counts(toks)
-    f2 = lex.pos_shares(tagged).drop("n_tokens")
+    f12 = lex.token_profile(tagged)  # C01, C02, D10 and C04 in one pass
     f3 = lex.richness_scalar(lex.rich_tokens(toks)).select("filename", "maas", "hdd")
     f4 = sim.distance_features(utts, sim.pair_cosine(sim.utterance_terms(spark, utts))).select(
         "filename", "avg_cos_dist", "proportion_below_threshold_0_3")
-    return asm.join_features([f1, f2, f3, f4]).select("filename", *FEATURES)
+    return asm.join_features([f12, f3, f4]).select("filename", *FEATURES)
 
 
 def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:

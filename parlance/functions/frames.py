@@ -33,13 +33,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 @atexit.register
 def _drop_written() -> None:
+    import shutil
     for spark, path in _WRITTEN:
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # noqa: BLE001 - the JVM may already be gone at exit
-            pass
+            local = path[len("file:"):] if path.startswith("file:") else path
+            if local.startswith("/"):
+                shutil.rmtree(local, ignore_errors=True)
 
 
 def global_rank(df: DataFrame, key, partitions: int | None = None, out_col: str = "rank") -> DataFrame:

@@ -19,6 +19,12 @@ from ..functions import text as tx
 from ..functions.frames import grouped_prefix_sum
 
 
+def rich_terms(toks: DataFrame) -> DataFrame:
+    """Lower-cased tokens without one-character punctuation (B11), without
+    positions — enough for the order-free measures (Maas, HD-D)."""
+    return toks.filter(~tx.is_punct_token("token")).select("filename", F.lower("token").alias("term"))
+
+
 def rich_tokens(toks: DataFrame) -> DataFrame:
     """Lower-cased tokens without one-character punctuation (B11), with a
     global position ``pos`` in transcript order (utterance, then token)."""

@@ -224,7 +224,7 @@ SELECT n.filename, CAST(n.N AS BIGINT) AS n_tokens, n.V AS n_types,
   {r6('CASE WHEN n.N > 1 THEN (ln(n.N) - ln(n.V)) / power(ln(n.N), 2) END')} AS maas, {r6('h.hdd')} AS hdd
 FROM n JOIN h ON n.filename = h.filename""")
 def d05(spark, sf_dir):
-    return lex.richness_scalar(lex.rich_tokens(T.conv_tokens(spark, sf_dir)))
+    return lex.richness_scalar(lex.rich_terms(T.conv_tokens(spark, sf_dir)))
 
 
 def _mtld_sql(reverse: bool) -> str:

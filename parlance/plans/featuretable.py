@@ -24,9 +24,15 @@ FEATURES = (["n_tokens", "n_unique_tokens", "ttr", "mean_token_length"] + SHARES
             + ["maas", "hdd", "avg_cos_dist", "proportion_below_threshold_0_3"])
 
 
-def doc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four feature families joined on the transcript key."""
-    utts = T.doc_utterances(spark, sf_dir)
+def doc_features(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """Four feature families joined on the transcript key. ``only``
+    (a ``doc_id`` table) restricts the documents *before* any feature work —
+    the join that follows in ``labelled_table`` would drop the rest anyway,
+    and Catalyst cannot push a join below the aggregates by itself."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    if only is not None:
+        docs = docs.join(only.select("doc_id").distinct(), "doc_id", "left_semi")
+    utts = prep.utterances_from_documents(docs)
     toks = cut_lineage(prep.token_table(utts))
     tagged = prep.tag_tokens(spark, toks)
     f12 = lex.token_profile(tagged)  # C01, C02, D10 and C04 in one pass
@@ -44,7 +50,8 @@ def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labelled_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J02 + J05–J07 + J10: features ⋈ cohort, label, group, domain, zero fill."""
-    t = asm.join_cohort(doc_features(spark, sf_dir), cohort(spark, sf_dir))
+    labelled = read(spark, sf_dir, "labels", "doc_id")
+    t = asm.join_cohort(doc_features(spark, sf_dir, only=labelled), cohort(spark, sf_dir))
     t = t.withColumn("label", F.col("toxic").cast("int"))
     t = asm.group_key(t, "column", column="source")
     t = asm.domain_flag(t, F.col("lang") != "en")

@@ -50,8 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is configured by the platform (a shared file
-    system); it is only invented here when unset, which happens in local
-    tests.
+    system) and an unset value is an error; a temporary folder is only
+    invented for local-mode sessions (tests, bench).
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -61,6 +61,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster; "
+                         "a machine-local temporary folder would not survive executor loss")
     local = tempfile.mkdtemp(prefix="parlance-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)

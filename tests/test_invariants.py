@@ -94,3 +94,18 @@ def test_adapted_estimator_dispatch(spark):
     assert by_weight.predict(e).select("prediction").distinct().count() >= 1
     with pytest.raises(ValueError):
         ad.AdaptedEstimator(make)
+
+
+def test_global_rank_and_prefix_sum_match_pandas(spark):
+    import pandas as pd
+    from parlance.functions.frames import global_rank, grouped_prefix_sum
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"g": rng.integers(0, 4, 500), "k": rng.permutation(500), "v": rng.integers(0, 9, 500)})
+    df = spark.createDataFrame(pdf).repartition(7)
+    got = {r["k"]: r["rank"] for r in global_rank(df, "k", partitions=5).collect()}
+    assert got == {k: i for i, k in enumerate(sorted(pdf["k"]))}
+    ranked = global_rank(df, ["g", "k"], partitions=6).toPandas().sort_values(["g", "k"])
+    assert list(ranked["rank"]) == list(range(500))
+    ps = grouped_prefix_sum(df, "g", "k", "v", partitions=6).toPandas().sort_values(["g", "k"])
+    want = pdf.sort_values(["g", "k"]).groupby("g")["v"].transform(lambda s: s.cumsum() - s)
+    assert list(ps["before"]) == list(want)

@@ -17,7 +17,6 @@ from ..operators import prep
 from ..operators import similarity as sim
 from ..sources.tables import read
 from . import sqlparts as S
-from . import transcripts as T
 
 SHARES = [f"share_{t}" for t in lx.UNIVERSAL_TAGS]
 FEATURES = (["n_tokens", "n_unique_tokens", "ttr", "mean_token_length"] + SHARES

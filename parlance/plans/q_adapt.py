@@ -8,9 +8,6 @@ out for testing.
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions import lexicons as lx
 from ..functions import text as tx
 from ..operators import lexical as lex

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import timing as tm
 from ..sources.tables import read
 from . import sqlparts as S

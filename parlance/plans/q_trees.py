@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
 from ..functions.frames import cut_lineage
-from ..operators import prep
 from ..operators import trees as tr
 from . import sqlparts as S
 from . import transcripts as T

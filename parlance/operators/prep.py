@@ -171,7 +171,10 @@ def chat_tiers(lines: DataFrame, key: str = "filename") -> DataFrame:
     ln = F.col("line")
     speaker = ln.rlike(r"^\*[A-Za-z]+:")
     end = ln.startswith("@End")
-    t = lines.withColumn("start", (speaker | end).cast("int"))
+    # ``@End`` ends the file: later lines are ignored.
+    ended = F.max(end.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    t = lines.withColumn("_ended", ended).filter(F.col("_ended") == 0).drop("_ended")
+    t = t.withColumn("start", (speaker | end).cast("int"))
     t = t.withColumn("grp", F.sum("start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     kind = (F.when(speaker, "text").when(ln.startswith("%mor:"), "mor").when(ln.startswith("%gra:"), "gra")
             .when(end, "end").when(ln.startswith("@") | ln.startswith("%"), "other"))

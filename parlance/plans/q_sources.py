@@ -99,10 +99,12 @@ files AS (SELECT filename, '@Begin' || chr(10) || string_agg(t, chr(10) ORDER BY
     FROM tt GROUP BY filename),
 lines AS (SELECT filename, unnest(range(len(string_split(text, chr(10))))) AS line_no,
     unnest(string_split(text, chr(10))) AS line FROM files),
+l1 AS (SELECT * FROM (SELECT *, max(CASE WHEN starts_with(line, '@End') THEN 1 ELSE 0 END) OVER (PARTITION BY filename
+    ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS ended FROM lines) WHERE ended = 0),
 l2 AS (SELECT *, CASE WHEN regexp_matches(line, '^\*[A-Za-z]+:') OR starts_with(line, '@End') THEN 1 ELSE 0 END AS st,
     CASE WHEN regexp_matches(line, '^\*[A-Za-z]+:') THEN 'text' WHEN starts_with(line, '%mor:') THEN 'mor'
       WHEN starts_with(line, '%gra:') THEN 'gra' WHEN starts_with(line, '@End') THEN 'end'
-      WHEN starts_with(line, '@') OR starts_with(line, '%') THEN 'other' END AS kind0 FROM lines),
+      WHEN starts_with(line, '@') OR starts_with(line, '%') THEN 'other' END AS kind0 FROM l1),
 l3 AS (SELECT *, sum(st) OVER w AS grp, last_value(kind0 IGNORE NULLS) OVER w AS kind,
     regexp_replace(regexp_replace(line, '^[*%][A-Za-z]+:', ''), '^\s+|\s+$', '', 'g') AS body,
     regexp_extract(line, '^\*([A-Za-z]+):', 1) AS spk

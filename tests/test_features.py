@@ -161,3 +161,19 @@ def test_mattr_across_bucket_edges(spark, monkeypatch):
         for f, ws in _seq(None).items():
             want = mattr_ref(ws, w)
             assert (got[f] is None) if want is None else got[f] == pytest.approx(want, abs=1e-6)
+
+
+def test_chat_tiers_fixture(spark):
+    text = "\n".join(["@Begin", "@Participants:\tPAR Participant", "*INV:\ttell me what you see .",
+                      "*PAR:\tthe boy is on the stool", "\tand it is falling .", "%mor:\tdet|the n|boy",
+                      "%gra:\t1|2|DET 2|0|ROOT", "*PAR:\twater [x 2] everywhere .", "@End", "*PAR:\tignored"])
+    files = spark.createDataFrame([("f1", text)], "filename string, text string")
+    rows = sorted((r["utt_idx"], r["speaker"], r["text"], r["mor"], r["gra"])
+                  for r in prep.chat_tiers(prep.chat_lines(files)).collect())
+    assert rows == [
+        (1, "INV", "tell me what you see .", "", ""),
+        (2, "PAR", "the boy is on the stool and it is falling .", "det|the n|boy", "1|2|DET 2|0|ROOT"),
+        (3, "PAR", "water [x 2] everywhere .", "", ""),
+    ]
+    resolved = spark.createDataFrame([(rows[2][2],)], "t string").select(prep.resolve_repeats("t")).first()[0]
+    assert resolved == "water water everywhere ."

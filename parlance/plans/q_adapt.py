@@ -340,9 +340,10 @@ def _grid_table(spark, sf_dir):
 
 @query("l08_l09_cv_grid")
 def l08(spark, sf_dir):
-    """Four training-set methods × logistic regression × 5 target folds."""
+    """Four training-set methods × {logistic regression, balanced linear
+    SVM} × 5 target folds."""
     from ..operators import experiment as xp
-    return xp.run_grid(spark, _grid_table(spark, sf_dir), len(FT.FEATURES))
+    return xp.run_grid(spark, _grid_table(spark, sf_dir), len(FT.FEATURES), models=("lr", "svm"), parallelism=8)
 
 
 @query("l10_bias_settings")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import gc
+import re
+from array import array
+
 import numpy as np
 
 from .common import quiet_threads
 
-CACHE = 200_000
+CACHE = 600_000
 _ENCODERS: dict[str, "Encoder"] = {}
+# Splits of the tokenizer's own pattern within plain Latin text.
+_SPLITS = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+|\n").findall
 
 
 def default_tokenizer() -> str:
@@ -18,12 +24,14 @@ def default_tokenizer() -> str:
 class Encoder:
     """Byte-level BPE ids of whole texts, equal to encoding each text at once.
 
-    The tokenizer splits a text before merging, and a single space between
-    two non-blank characters always starts a new split. So a text whose
-    blanks next to a space are all single can be encoded space-separated
-    chunk by chunk, and chunks repeat; a dictionary keeps their ids. Texts
-    with any other blank run are encoded whole. The cache is emptied when it
-    reaches CACHE chunks; it changes the speed only.
+    The tokenizer splits a text by a pattern before it merges, and merges
+    never cross a split. A single space between two non-blank characters
+    always starts a split, so a text whose spaces all stand so is encoded
+    chunk by chunk, and chunks repeat: a dictionary keeps their ids. A new
+    chunk of plain Latin letters, digits, marks and single line ends is split
+    on by the same pattern, so that only new words reach the tokenizer; other
+    chunks go to it whole, and texts with other blank runs go whole. The
+    dictionaries are emptied at CACHE entries; they change the speed only.
     """
 
     def __init__(self, path: str):
@@ -32,40 +40,79 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings are ordinary text
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        vocab = self.tok.get_vocab()
+        self.leads = np.zeros(max(vocab.values()) + 1, bool)
+        self.leads[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
         self.first: dict[str, bytes | None] = {}
         self.rest: dict[str, bytes | None] = {}
+        self.words: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes()
+        return [array(self.code, e.ids).tobytes()
                 for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _raw_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that start with their only space, many in a text:
+        there too each is a split of its own, and its first id, alone of its
+        ids, begins with the byte of the space."""
+        out = []
+        for e in self.tok.encode_batch_fast(["".join(words[i:i + 256]) for i in range(0, len(words), 256)], add_special_tokens=False):
+            ids = np.array(e.ids, self.dtype)
+            cuts = (np.nonzero(self.leads[ids])[0] * self.dtype.itemsize).tolist()
+            ids = ids.tobytes()
+            out += [ids[a:b] for a, b in zip(cuts, [*cuts[1:], len(ids)])]
+        return out
+
     @staticmethod
-    def _plain(chunk: str) -> bool:
-        def edge(c):
-            return "\x20" < c < "\x7f" or c.isalnum()
-        return bool(chunk) and edge(chunk[0]) and edge(chunk[-1])
+    def _split(piece: str, chunk: str) -> list[str] | None:
+        """Parts of a chunk that encode on their own; None: not even whole."""
+        parts = _SPLITS(piece)
+        if "".join(parts) == piece and chunk:
+            if "\n" not in chunk:
+                return parts
+            if chunk[0] == "\n" or chunk[-1] == "\n":
+                return None
+            if "\n\n" not in chunk:
+                return parts
+        elif not chunk or not all(c.isalnum() or "\x20" < c < "\x7f" for c in (chunk[0], chunk[-1])):
+            return None
+        return [piece]
 
     def _learn(self, known: dict, chunks: set, lead: str) -> None:
-        new = [c for c in chunks if c not in known]
-        good = [c for c in new if self._plain(c)]
-        known.update(dict.fromkeys(new))
-        known.update(zip(good, self._raw([lead + c for c in good])))
+        new = list(chunks.difference(known))
+        split = [self._split(lead + c, c) for c in new]
+        if len(self.words) > CACHE:
+            self.words.clear()
+        words = set().union(*filter(None, split)).difference(self.words)
+        led = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        other = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
+        self.words.update(zip(led, self._raw_words(led)))
+        self.words.update(zip(other, self._raw(other)))
+        get = self.words.__getitem__
+        known.update(zip(new, [p and (get(p[0]) if len(p) == 1 else b"".join(map(get, p))) for p in split]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        # Millions of short-lived strings and no cycles: collections only cost.
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         for d in (self.first, self.rest):
             if len(d) > CACHE:
                 d.clear()
         split = [t.split(" ") for t in texts]
         self._learn(self.first, {p[0] for p in split}, "")
-        for i in range(0, len(split), 64):
-            part = split[i:i + 64]
-            seen = set()
-            for p in part:
-                seen.update(p[1:])
-            self._learn(self.rest, seen, " ")
+        seen = set()
+        for p in split:
+            seen.update(p[1:])
+        self._learn(self.rest, seen, " ")
         out = []
+        get = self.rest.__getitem__
         for t, p in zip(texts, split):
-            get = self.rest.__getitem__
             head = self.first[p[0]]
             try:
                 b = head + b"".join(map(get, p[1:]))

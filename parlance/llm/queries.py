@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from . import decontam, packing, simhash, token_files, toxicity
+from . import decontam, lm, packing, sharding, simhash, token_files, toxicity, urls
 from .common import fold, shared_folder, table
 from .tokens import default_tokenizer
 
@@ -58,6 +58,18 @@ def op3(spark, sf_dir):
             .withColumn("predicted", (F.col("score") >= 0.7).cast("int")))
 
 
+@query("op4_kd_sharding")
+def op4(spark, sf_dir):
+    dims = {"length": F.log1p(F.octet_length(F.coalesce("text", F.lit("")))), "lang": sharding.spread(F.col("lang")), "source": sharding.spread(F.col("source"))}
+    found = sharding.kd_shards(table(spark, sf_dir, "documents"), dims, n_shards=8)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op5_log_bilinear_lm")
+def op5(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"), F.coalesce(fold("doc_id", 7) == 2, F.lit(False)))
+
+
 @query("op6_simhash_near_dedup")
 def op6(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
@@ -80,3 +92,10 @@ def op9(spark, sf_dir):
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query("op10_url_rules", urls.ORACLE)
+def op10(spark, sf_dir):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")

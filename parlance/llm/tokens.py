@@ -10,7 +10,7 @@ import numpy as np
 
 from .common import quiet_threads
 
-CACHE = 600_000
+CACHE = 900_000
 _ENCODERS: dict[str, "Encoder"] = {}
 # Splits of the tokenizer's own pattern within plain Latin text.
 _SPLITS = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+|\n").findall

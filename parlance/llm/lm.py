@@ -37,9 +37,9 @@ from .common import hub, quiet_threads
 SHORT = 511
 TOP = 50_000
 DIM = 16
-NOISE = 32
-BATCH = 4096
-RATE = 0.08
+NOISE = 16
+BATCH = 1024
+RATE = 0.2
 END = b""  # no word is empty
 HELD = 400_000  # words counted in a task before they are sent on
 

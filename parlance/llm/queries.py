@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from . import decontam, lm, packing, sharding, simhash, token_files, toxicity, urls
+from . import decontam, licenses, lm, near_vectors, packing, sharding, simhash, token_files, toxicity, urls
 from .common import fold, shared_folder, table
 from .tokens import default_tokenizer
 
@@ -38,6 +38,11 @@ def ids_crc32(ids, width: int = 4):
     return widened(ids)
 
 
+@query("op1_nn_descent")
+def op1(spark, sf_dir):
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 @query("op2_token_files")
 def op2(spark, sf_dir):
     folder = token_files.new_folder(shared_folder(spark))
@@ -87,6 +92,18 @@ def op7(spark, sf_dir):
     return packed(table(spark, sf_dir, "documents"))
 
 
+@query("op8_license_scan")
+def op8(spark, sf_dir):
+    """Documents as files ``source/lang/<block of 1000 ids>/<id>``; a text of
+    under 400 characters lies one directory higher and, where it names a
+    licence, is that directory's licence file."""
+    docs = table(spark, sf_dir, "documents")
+    short = F.length(F.coalesce("text", F.lit(""))) < 400
+    block = F.when(short, F.lit("")).otherwise(F.concat(F.floor(F.col("doc_id") / 1000).cast("string"), F.lit("/")))
+    path = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")), F.lit("/"), block, F.col("doc_id").cast("string"))
+    return licenses.scan_licenses(docs, path, short)
+
+
 @query("op9_decontamination", decontam.ORACLE)
 def op9(spark, sf_dir):
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

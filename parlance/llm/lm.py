@@ -200,12 +200,28 @@ class Model:
         return ((ctx * self.r[w]).sum(1) + self.b[w] - self.log_z[h1, h2]).astype(float) / np.log(10)
 
 
+def frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """The end and at most TOP words, the most frequent ones: a histogram of
+    counts (some 64 bins a factor of two) gives the count from which on the
+    words are few enough, so no sort and no more than TOP rows are needed."""
+    step = F.floor(F.log2("c") * 64)
+    bins = sorted(((r["s"], r["n"]) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    room, least = TOP, None
+    for s, n in bins:
+        room -= n
+        if room < 0:
+            break
+        least = s
+    kept = F.lit(False) if least is None else step >= least
+    rows = counts.filter(kept | (F.col("w") == F.lit(END))).collect()
+    return sorted(((bytes(r["w"]), r["c"]) for r in rows), key=lambda x: (x[0] != END, -x[1], x[0]))
+
+
 def train(texts: DataFrame, counts: DataFrame) -> Model:
     """Fit on a binary text column ``t`` and its token counts."""
     spark = texts.sparkSession
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    best = counts.orderBy((F.col("w") == F.lit(END)).desc(), F.col("c").desc(), "w").limit(TOP).collect()
-    v = Vocabulary([(bytes(r["w"]), r["c"]) for r in best], total["n"] or 0, total["v"])
+    v = Vocabulary(frequent(counts), total["n"] or 0, total["v"])
     shared = spark.sparkContext.broadcast(v)
     parts = texts.select("t").mapInArrow(_train(shared), "n long, p array<double>")
     mean = (parts.select("n", F.posexplode("p").alias("i", "x")).groupBy("i")

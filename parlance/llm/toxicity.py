@@ -122,8 +122,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     # A label counts only if its document is there.
     own = own.join(texts.select("i").distinct(), "i", "left_semi")
-    share = own.agg(F.avg("y").alias("s")).first()["s"] or 0.0
-    pick = [own.filter(F.col("y") == c).orderBy(F.xxhash64("i"), "i").limit(max_rows) for c in (0, 1)]
+    there = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    share = there.get(1, 0) / max(1, sum(there.values()))
+
+    def smallest(c):
+        # Twice the rows wanted pass the filter, so few rows are sorted.
+        part = min(1.0, 2 * max_rows / max(1, there.get(c, 0)))
+        h = F.xxhash64("i")
+        return own.filter((F.col("y") == c) & (F.pmod(h, F.lit(1_000_000)) < part * 1_000_000)).orderBy(F.pmod(h, F.lit(1_000_000)), h, "i").limit(max_rows)
+    pick = [smallest(0), smallest(1)]
     sample = pick[0].union(pick[1])  # at most 2 * max_rows narrow rows
     rows = texts.join(F.broadcast(sample), "i").select("t", "y")
 

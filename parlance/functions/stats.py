@@ -9,7 +9,6 @@ method pair) — never over data rows.
 from __future__ import annotations
 
 import math
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -93,9 +92,9 @@ def wilcoxon_zsplit(d: np.ndarray, alternative: str = "two-sided"):
     """Wilcoxon signed-rank with zero differences split half/half.
 
     Statistic = rank sum of positive differences (+ half the zero ranks).
-    Exact null distribution by enumeration when there are no zeros, no ties
-    and n <= 20 (the fold-score case); otherwise the normal approximation
-    with tie correction.
+    Exact null distribution when there are no zeros and no ties, for every n:
+    the number of subsets of the ranks with each sum, built up rank by rank.
+    With zeros or ties the normal approximation with tie correction.
     """
     d = np.asarray(d, dtype=float)
     n = len(d)
@@ -103,11 +102,15 @@ def wilcoxon_zsplit(d: np.ndarray, alternative: str = "two-sided"):
     r_plus = ranks[d > 0].sum() + ranks[d == 0].sum() / 2.0
     zeros = int((d == 0).sum())
     ties = len(np.unique(np.abs(d))) < n
-    if zeros == 0 and not ties and n <= 20:
-        int_ranks = np.arange(1, n + 1)
-        sums = np.array([int_ranks[np.array(s, dtype=bool)].sum() for s in product([0, 1], repeat=n)])
-        greater = float((sums >= r_plus).mean())
-        less = float((sums <= r_plus).mean())
+    if zeros == 0 and not ties:
+        share = np.zeros(n * (n + 1) // 2 + 1)  # probability of each rank sum
+        share[0] = 1.0
+        for rank in range(1, n + 1):
+            moved = np.zeros_like(share)
+            moved[rank:] = share[:-rank]
+            share = (share + moved) / 2
+        at = int(round(r_plus))
+        greater, less = float(share[at:].sum()), float(share[:at + 1].sum())
     else:
         mn = n * (n + 1) / 4.0
         _, counts = np.unique(np.abs(d), return_counts=True)

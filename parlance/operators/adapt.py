@@ -154,10 +154,11 @@ class Coral:
         self.lambda_, self.features_col, self.domain_col = lambda_, features_col, domain_col
 
     def fit(self, df: DataFrame) -> "Coral":
-        _, self.mean_s, cs = domain_moments(df, self.features_col, 0, self.domain_col)
-        _, self.mean_t, ct = domain_moments(df, self.features_col, 1, self.domain_col)
-        self.std_s, self.std_t = np.sqrt(np.diag(cs)), np.sqrt(np.diag(ct))
-        # Covariances of the standardised data = correlations.
+        ns, self.mean_s, cs = domain_moments(df, self.features_col, 0, self.domain_col)
+        nt, self.mean_t, ct = domain_moments(df, self.features_col, 1, self.domain_col)
+        # Scaled by population deviations; covariances keep n - 1.
+        self.std_s = np.sqrt(np.diag(cs) * (ns - 1) / max(ns, 1))
+        self.std_t = np.sqrt(np.diag(ct) * (nt - 1) / max(nt, 1))
         rs = cs / np.outer(np.where(self.std_s > 0, self.std_s, 1), np.where(self.std_s > 0, self.std_s, 1))
         rt = ct / np.outer(np.where(self.std_t > 0, self.std_t, 1), np.where(self.std_t > 0, self.std_t, 1))
         d = cs.shape[0]
@@ -407,35 +408,27 @@ class AdaBoostR2FixedSource:
         return self
 
 
-def binary_search(func, tol: float = 1e-3, max_iter: int = 1000) -> float:
-    """Bisection on [0, 1] for func(β) = 0 (keeps the best seen)."""
-    left, right, best, best_score = 0.0, 1.0, 1.0, 1.0
-    for _ in range(max_iter):
-        fl, fr = func(left), func(right)
-        if abs(fl) < tol:
-            return left
-        if abs(fr) < tol:
-            return right
-        mid = (left + right) / 2
-        fm = func(mid)
-        if fm < best_score:
-            best, best_score = mid, fm
-        if fm * fl <= 0:
-            right = mid
-        else:
-            left = mid
-    return best
-
+def find_beta(df: DataFrame, weight_col: str, err_col: str, target: float, grid: int = 16,
+              passes: int = 6) -> float:
+    """The β in [0, 1] at which Σ w·β^err equals ``target``.
 
-def error_histogram(df: DataFrame, weight_col: str, err_col: str, buckets: int = 1000) -> np.ndarray:
-    """K15 helper: Σ weight per error bucket (one aggregate); Σ w·β^err is then
-    evaluated on the driver for any β from this fixed-size histogram."""
-    b = F.least(F.floor(F.col(err_col) * buckets), F.lit(buckets - 1)).cast("int")
-    rows = df.groupBy(b.alias("b")).agg(F.sum(weight_col).alias("w")).collect()
-    h = np.zeros(buckets)
-    for r in rows:
-        h[r["b"]] = r["w"]
-    return h
+    The sum grows with β, so the root is bracketed by neighbouring points of a
+    grid; each pass evaluates the exact sums of a whole grid in one aggregate
+    and the next grid lies inside the bracket (16 points and 6 passes: 1e-7).
+    A target outside the range of the sums gives the nearer end.
+    """
+    lo, hi = 0.0, 1.0
+    for _ in range(passes):
+        betas = [lo + (hi - lo) * i / grid for i in range(grid + 1)]
+        sums = df.agg(*[F.sum(F.col(weight_col) * F.pow(F.lit(x), F.col(err_col))).alias(f"s{i}")
+                        for i, x in enumerate(betas)]).first()
+        if sums[0] is None or sums[0] >= target:
+            return betas[0]
+        above = next((i for i in range(grid + 1) if sums[i] >= target), None)
+        if above is None:
+            return betas[-1]
+        lo, hi = betas[above - 1], betas[above]
+    return (lo + hi) / 2
 
 
 def target_slices(df: DataFrame, n_slices: int, key: str = "filename", domain_col: str = "domain") -> DataFrame:
@@ -450,15 +443,23 @@ def target_slices(df: DataFrame, n_slices: int, key: str = "filename", domain_co
     return df.filter(F.col(domain_col) == 0).withColumn("slice", F.lit(None).cast("int")).unionByName(t)
 
 
+POISSON_RATE = 64.0
+
+
 def weighted_bootstrap(df: DataFrame, weight_col: str, n: int | None = None, seed: int = 0) -> DataFrame:
     """K18 (scalable form): each row is replicated Poisson(n·w/Σw) times, so
-    the expected sample is n rows drawn ∝ weight. The Poisson draw is an
-    inverse-CDF search over k = 0..λ+12√λ+12 (the remaining tail mass is
-    below 1e-30), all in column expressions."""
+    the expected sample is n rows drawn ∝ weight. A rate above POISSON_RATE
+    is drawn as the sum of independent draws of equal parts of it, one row a
+    part, so no probability underflows. Each draw is an inverse-CDF search
+    over k = 0..λ+12√λ+12 (the remaining tail mass is below 1e-30)."""
     stats = df.agg(F.sum(weight_col).alias("_ws"), F.count("*").alias("_n"))
     t = tx.attach_scalar(df, stats)
-    lam = F.col(weight_col) * (F.lit(n) if n else F.col("_n")) / F.col("_ws")
-    u = F.rand(seed)
+    rate = F.col(weight_col) * (F.lit(n) if n else F.col("_n")) / F.col("_ws")
+    t = t.withColumn("_parts", F.greatest(F.lit(1), F.ceil(rate / POISSON_RATE).cast("int")))
+    t = t.withColumn("_lam", rate / F.col("_parts")).withColumn("_part", F.explode(F.sequence(F.lit(1), F.col("_parts"))))
+    lam = F.col("_lam")
+    t = t.withColumn("_u", F.rand(seed))
+    u = F.col("_u")
     kmax = (lam + 12 * F.sqrt(lam) + 12).cast("int")
     # state: (k, p_k, cdf) ; count = first k with cdf >= u
     init = F.struct(F.lit(0).alias("k"), F.exp(-lam).alias("p"), F.exp(-lam).alias("c"), F.lit(-1).alias("hit"))
@@ -473,7 +474,7 @@ def weighted_bootstrap(df: DataFrame, weight_col: str, n: int | None = None, see
                        lambda a: F.when(a["hit"] >= 0, a["hit"]).otherwise(a["k"]))
     t = t.withColumn("_k", draw)
     return t.filter("_k > 0").withColumn("_rep", F.explode(F.array_repeat(F.lit(1), F.col("_k")))).drop(
-        "_k", "_rep", "_ws", "_n")
+        "_k", "_rep", "_ws", "_n", "_parts", "_lam", "_part", "_u")
 
 
 class TwoStageTrAdaBoostR2:
@@ -527,9 +528,7 @@ class TwoStageTrAdaBoostR2:
             k_t = nt / (ns + nt) + (step / (self.n_estimators - 1)) * (1 - nt / (ns + nt))
             w_t = pred.agg(F.sum(F.when(dom != 0, F.col("_w")))).first()[0]
             c_t = w_t * (1 - k_t) / k_t
-            hist = error_histogram(pred.filter(dom == 0), "_w", "_err")
-            mids = (np.arange(len(hist)) + 0.5) / len(hist)
-            beta = binary_search(lambda x: float(np.dot(hist, np.power(x, mids))) - c_t)
+            beta = find_beta(pred.filter(dom == 0), "_w", "_err", c_t)
             nxt = pred.select(*df.columns, "_w", "_err").withColumn(
                 "_w", F.when(dom == 0, F.col("_w") * F.pow(F.lit(beta), self.lr * F.col("_err"))).otherwise(F.col("_w")))
             tot = nxt.agg(F.sum("_w")).first()[0]

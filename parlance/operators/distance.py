@@ -82,18 +82,18 @@ def normalized_frechet_distance(df, features_col="features", domain_col="domain"
 
 def neg_j_score(df: DataFrame, features_col="features", domain_col="domain", key="vec_id",
                 max_centers: int = 100, gamma: float | None = None, max_iter: int = 5000,
-                tol: float = 1e-6) -> float:
+                tol: float = 1e-6, seed: int = 0) -> float:
     """−mean ln of the fitted density ratio at the target rows.
 
-    Centres = the first ``max_centers`` target rows by key (deterministic
-    instead of random). Kernel exp(−γ‖x − c‖²); by default γ = 1 / the mean
+    Centres = the ``max_centers`` target rows with the smallest seeded hash
+    of their key (a repeatable random draw). Kernel exp(−γ‖x − c‖²); by default γ = 1 / the mean
     squared target distance (computed from moments, no pair enumeration).
     The kernel rows (≤ max_centers wide) are checkpointed once; each ascent
     step is one aggregate over them.
     """
     tgt = df.filter(F.col(domain_col) != 0)
     centers = [np.asarray(r[0], dtype=float) for r in
-               tgt.orderBy(key).limit(max_centers).select(features_col).collect()]
+               tgt.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(max_centers).select(features_col).collect()]
     C = np.vstack(centers)
     if gamma is None:
         n, m, c = domain_moments(df, features_col, 1, domain_col)

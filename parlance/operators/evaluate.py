@@ -331,26 +331,23 @@ def ranked_significance(weights: DataFrame, pvalues: DataFrame, key="feature") -
 def training_side_welch(long_df: DataFrame, fold_col: str = "fold", feature_col="feature", value_col="value",
                         label_col="label") -> DataFrame:
     """Welch t of every feature on the training side of every fold (rows with
-    fold != k), from per-(fold, feature, label) sums: training sums = totals
-    minus the held-out fold's sums, so no row is replicated per fold."""
+    fold != k), from per-(fold, feature, label) moments: those of the other
+    folds are combined, so no row is replicated per fold."""
     v = F.col(value_col)
     s = long_df.groupBy(fold_col, feature_col, label_col).agg(
-        F.count(v).alias("n"), F.sum(v).alias("s1"), F.sum(v * v).alias("s2"))
+        F.count(v).alias("n"), F.avg(v).alias("m"), (F.var_samp(v) * (F.count(v) - 1)).alias("m2")).filter("n > 0")
     # Everything below reads only the small per-(fold, feature, label) table.
-    tot = s.groupBy(feature_col, label_col).agg(F.sum("n").alias("tn"), F.sum("s1").alias("ts1"),
-                                                F.sum("s2").alias("ts2"))
+    # Moments are combined about the feature's overall mean, so that large
+    # values with a small spread lose no digits.
+    mid = s.groupBy(feature_col, label_col).agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mid"))
+    cells = s.join(mid, [feature_col, label_col]).withColumn("d", F.col("m") - F.col("mid")).withColumnRenamed(fold_col, "_own")
     folds = s.select(fold_col).distinct()
-    keys = tot.select(feature_col, label_col)
-    # every (fold, feature, label) cell: k folds × features × classes, all small.
-    grid = tx.attach_scalar(keys, folds.agg(F.collect_list(fold_col).alias("_folds"))).select(
-        feature_col, label_col, F.explode("_folds").alias(fold_col))
-    c = (grid.join(tot, [feature_col, label_col]).join(s, [fold_col, feature_col, label_col], "left")
-         .select(fold_col, feature_col, label_col,
-                 (F.col("tn") - F.coalesce("n", F.lit(0))).alias("n"),
-                 (F.col("ts1") - F.coalesce("s1", F.lit(0.0))).alias("s1"),
-                 (F.col("ts2") - F.coalesce("s2", F.lit(0.0))).alias("s2")))
-    c = c.select(fold_col, feature_col, label_col, "n", (F.col("s1") / F.col("n")).alias("m"),
-                 F.try_divide(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"), F.col("n") - 1).alias("v"))
+    others = tx.attach_scalar(cells, folds.agg(F.collect_list(fold_col).alias("_folds"))).withColumn(
+        fold_col, F.explode("_folds")).filter(~F.col("_own").eqNullSafe(F.col(fold_col)))
+    nd = F.sum(F.col("n") * F.col("d"))
+    c = others.groupBy(fold_col, feature_col, label_col).agg(
+        F.sum("n").alias("n"), (F.first("mid") + nd / F.sum("n")).alias("m"),
+        F.try_divide(F.sum(F.coalesce("m2", F.lit(0.0)) + F.col("n") * F.col("d") * F.col("d")) - nd * nd / F.sum("n"), F.sum("n") - 1).alias("v"))
     a = c.filter(F.col(label_col) == 1).select(fold_col, feature_col, F.col("n").alias("na"),
                                                F.col("m").alias("ma"), F.col("v").alias("va"))
     b = c.filter(F.col(label_col) == 0).select(fold_col, feature_col, F.col("n").alias("nb"),

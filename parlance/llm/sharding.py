@@ -81,9 +81,11 @@ def kd_shards(rows: DataFrame, dims: dict, n_shards: int | None = None, target_b
     groups = hub(narrow.groupBy(*key).agg(F.sum("size").alias("bytes"), *[F.min(c).alias(c) for c in names])
                  .withColumn("parts", F.ceil(F.least(F.col("bytes") / most, F.col("bytes") / F.col("size"))).cast("int")))
     # Only large groups are cut; their rows are counted part by part.
-    cut = groups.filter("parts > 1").select(*key, "parts", *names)
+    # There are at most shards / UNIT of them, so they are broadcast as a rule.
+    cut = hub(groups.filter("parts > 1").select(*key, "parts", *names))
+    n_cut = cut.count()
     part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    pieces = (narrow.select("doc_id", *key).join(cut, key).withColumn("part", part)
+    pieces = (join_side(narrow.select("doc_id", *key), cut, key, n_cut).withColumn("part", part)
               .groupBy(*key, "part").agg(F.sum("size").alias("w"), *[F.first(c).alias(c) for c in names]))
     units = hub(groups.filter("parts <= 1").select(*key, F.lit(0).alias("part"), F.col("bytes").alias("w"), *names)
                 .unionByName(pieces).withColumn("node", F.lit(1).cast("long")))
@@ -94,8 +96,8 @@ def kd_shards(rows: DataFrame, dims: dict, n_shards: int | None = None, target_b
     for _ in range(max(0, math.ceil(math.log2(n)))):
         units, nodes = _split(units, nodes, names, ranges)
     placed = join_side(units.select(*key, "part", "node"), nodes, "node", n).select(*key, "part", F.col("first").cast("int").alias("shard"))
-    parted = (narrow.select("doc_id", *key).join(groups.select(*key, "parts"), key)
-              .withColumn("part", F.when(F.col("parts") > 1, part).otherwise(0)))
+    parted = (join_side(narrow.select("doc_id", *key), cut.select(*key, "parts"), key, n_cut, "left")
+              .withColumn("part", F.coalesce(part, F.lit(0))))
     found = parted.join(placed, [*key, "part"]).select("doc_id", "size", F.col("crc").alias("text_crc32"), "g", "shard")
     ranked = grouped_prefix_sum(found.withColumn("o", F.struct("doc_id", "g")).withColumn("one", F.lit(1)), "shard", "o", "one", "slot")
     return ranked.select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))

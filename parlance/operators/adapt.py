@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.frames import cut_lineage
+from ..functions.frames import cut_lineage, global_rank
 
 EPS = np.finfo(float).eps
 
@@ -45,11 +45,10 @@ def domain_only(df: DataFrame, domain: int, domain_col: str = "domain") -> DataF
 
 
 def dense_domains(df: DataFrame, raw_col: str, out_col: str = "domain") -> DataFrame:
-    """Arbitrary domain ids → 0..n-1 in sorted order (dense rank over
-    the distinct ids, a table of n rows)."""
-    ids = df.select(raw_col).distinct()
-    ids = ids.withColumn(out_col, F.dense_rank().over(Window.orderBy(raw_col)) - 1)
-    return df.join(F.broadcast(ids), raw_col)
+    """Arbitrary domain ids → 0..n-1 in sorted order (a distributed rank
+    of the distinct ids)."""
+    ids = global_rank(df.select(raw_col).distinct(), raw_col, out_col=out_col)
+    return df.join(ids, raw_col)
 
 
 # --- K03–K05: feature augmentation ------------------------------------------
@@ -232,7 +231,7 @@ def class_balance_weights(df: DataFrame, label_col="label", out_col="cw") -> Dat
     c = df.groupBy(label_col).agg(F.count("*").alias("_nc"))
     tot = c.agg(F.sum("_nc").alias("_n"), F.count("*").alias("_k"))
     c = tx.attach_scalar(c, tot).select(label_col, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(out_col))
-    return df.join(F.broadcast(c), label_col)
+    return df.join(c, label_col)
 
 
 def linear_regression(C: float = 1.0, features_col="features", weight_col: str | None = None):
@@ -303,18 +302,18 @@ class TrAdaBoost:
             pred = model.transform(train)
             if self.regression:
                 pred = pred.withColumnRenamed("prediction", "_pred")
-            pred = self._errors(pred).select(*df.columns, "_w", "_err").persist(StorageLevel.MEMORY_AND_DISK)
-            if self.regression:
-                emax = pred.agg(F.max("_err")).first()[0] + EPS
-                pred = pred.withColumn("_err", F.col("_err") / emax)
-            e = pred.agg(F.sum(F.when(dom != 0, F.col("_w") * F.col("_err"))).alias("num"),
+            pred = kept = self._errors(pred).select(*df.columns, "_w", "_err").persist(StorageLevel.MEMORY_AND_DISK)
+            # One pass: the largest error and the weighted target error.
+            e = pred.agg(F.max("_err").alias("top"), F.sum(F.when(dom != 0, F.col("_w") * F.col("_err"))).alias("num"),
                          F.sum(F.when(dom != 0, F.col("_w"))).alias("den")).first()
-            err = float(e["num"] / e["den"]) if e["den"] else 0.0
+            scale = e["top"] + EPS if self.regression else 1.0
+            pred = pred.withColumn("_err", F.col("_err") / scale)
+            err = float(e["num"] / scale / e["den"]) if e["den"] else 0.0
             self.models_.append(model)
             self.errors_.append(err)
             for h in held:
                 h.unpersist()
-            held = [train, pred]
+            held = [train, kept]
             if i == self.n_estimators - 1:
                 break
             beta_t = err / (2.0 - err)
@@ -334,28 +333,39 @@ class TrAdaBoost:
         """The last round's weights of source and target rows."""
         return self.weights_
 
-    def predict(self, df: DataFrame, key: str = "filename") -> DataFrame:
+    def predict(self, df: DataFrame) -> DataFrame:
         """Vote of the last ⌈N/2⌉ models, probabilities weighted by
         −ln(E/(2−E)); argmax (ties → class 0). For regression (K12) the
-        weighted median of the models' predictions."""
-        start = int(len(self.models_) / 2)
-        out = df
-        cols = []
-        for k, (m, w) in enumerate(zip(self.models_[start:], self.estimator_weights_[start:])):
-            t = m.transform(df)
-            if self.regression:
-                v = F.col("prediction")
-            elif "probability" in t.columns:
-                v = _p1()
-            else:
-                v = F.col("prediction").cast("double")
-            out = out.join(t.select(key, v.alias(f"_m{k}")), key)
-            cols.append((f"_m{k}", w))
+        weighted median of the models' predictions. The models follow one
+        another in one plan without a join, so repeated keys stay as they are."""
         if self.regression:
-            return weighted_median(out, [c for c, _ in cols], [w for _, w in cols])
-        score1 = sum(F.col(c) * w for c, w in cols)
-        score0 = sum((1 - F.col(c)) * w for c, w in cols)
-        return out.withColumn("prediction", F.when(score1 > score0, 1).otherwise(0)).drop(*[c for c, _ in cols])
+            return predict_median(df, self.models_, self.estimator_weights_)
+        start = int(len(self.models_) / 2)
+        weights = self.estimator_weights_[start:]
+
+        def vote(t):
+            return _p1() if "probability" in t.columns else F.col("prediction").cast("double")
+        out, cols = _with_models(df, self.models_[start:], vote)
+        score1 = sum(F.col(c) * w for c, w in zip(cols, weights))
+        score0 = sum((1 - F.col(c)) * w for c, w in zip(cols, weights))
+        return out.withColumn("prediction", F.when(score1 > score0, 1).otherwise(0)).drop(*cols)
+
+
+def _with_models(df: DataFrame, models: list, value) -> tuple[DataFrame, list[str]]:
+    """``df`` with one column a model: ``value`` of its transformed rows."""
+    out, names = df, []
+    for k, m in enumerate(models):
+        t = m.transform(out)
+        out = t.select(*out.columns, value(t).alias(f"_m{k}"))
+        names.append(f"_m{k}")
+    return out, names
+
+
+def predict_median(df: DataFrame, models: list, weights: list[float]) -> DataFrame:
+    """Weighted median of the last half of the models."""
+    start = int(len(models) / 2)
+    out, cols = _with_models(df, models[start:], lambda t: F.col("prediction"))
+    return weighted_median(out, cols, weights[start:])
 
 
 def weighted_median(df: DataFrame, pred_cols: list[str], weights: list[float], out_col="prediction") -> DataFrame:
@@ -377,36 +387,45 @@ class AdaBoostR2FixedSource:
     def __init__(self, make_estimator, n_estimators: int = 10, lr: float = 1.0, domain_col="domain"):
         self.make_estimator, self.n_estimators, self.lr, self.domain_col = make_estimator, n_estimators, lr, domain_col
 
-    def fit(self, df: DataFrame, weight_col: str = "_w") -> "AdaBoostR2FixedSource":
-        dom = F.col(self.domain_col)
-        cur = df
-        n = cur.count()
+    def fit(self, df: DataFrame, weight_col: str = "_w", checkpoint_every: int = 5) -> "AdaBoostR2FixedSource":
+        """Two aggregates a round; the lineage is cut every
+        ``checkpoint_every`` rounds."""
+        src, w = F.col(self.domain_col) == 0, F.col(weight_col)
+        t = df.agg(F.count("*").alias("n"), F.sum(w).alias("all"), F.sum(F.when(src, w)).alias("src")).first()
+        n, source = t["n"], (t["src"] or 0.0) / t["all"]
+        cur = df.withColumn(weight_col, w / t["all"])
         self.models_, self.errors_ = [], []
+        held = []
         for i in range(self.n_estimators):
-            tot = cur.agg(F.sum(weight_col)).first()[0]
-            cur = cur.withColumn(weight_col, F.col(weight_col) / tot)
-            mean_w = 1.0 / n
-            model = self.make_estimator(n, "_sw").fit(cur.withColumn("_sw", F.col(weight_col) / mean_w))
-            pred = model.transform(cur).withColumnRenamed("prediction", "_pred")
-            pred = pred.withColumn("_err", F.abs(F.col("_pred") - F.col("label")))
-            emax = pred.agg(F.max("_err")).first()[0] + EPS
-            pred = pred.withColumn("_err", F.col("_err") / emax)
-            err = pred.agg(F.sum(F.col(weight_col) * F.col("_err"))).first()[0]
+            train = cur.withColumn("_sw", w * n).persist(StorageLevel.MEMORY_AND_DISK)
+            model = self.make_estimator(n, "_sw").fit(train)
+            pred = (model.transform(train).select(*df.columns, F.abs(F.col("prediction") - F.col("label")).alias("_err"))
+                    .persist(StorageLevel.MEMORY_AND_DISK))
+            e = pred.agg(F.max("_err").alias("top"), F.sum(w * F.col("_err")).alias("sum")).first()
+            top = e["top"] + EPS
+            err = e["sum"] / top
             self.models_.append(model)
             self.errors_.append(err)
+            for h in held:
+                h.unpersist()
+            held = [train, pred]
             if i == self.n_estimators - 1:
                 break
-            beta_t = err / (2.0 - err)
-            src_sum = pred.agg(F.sum(F.when(dom == 0, F.col(weight_col)))).first()[0] or 0.0
-            upd = F.when(dom == 0, F.col(weight_col)).otherwise(
-                F.col(weight_col) * F.pow(F.lit(beta_t), self.lr * (1 - F.col("_err"))))
-            nxt = pred.select(*df.columns, upd.alias("_nw")).drop(weight_col).withColumnRenamed("_nw", weight_col)
-            tgt_sum = nxt.agg(F.sum(F.when(dom != 0, F.col(weight_col)))).first()[0]
-            cur = nxt.withColumn(weight_col, F.when(dom == 0, F.col(weight_col)).otherwise(
-                F.col(weight_col) * (1.0 - src_sum) / tgt_sum))
+            beta = err / (2.0 - err)
+            moved = F.when(src, w).otherwise(w * F.pow(F.lit(beta), self.lr * (1 - F.col("_err") / top)))
+            nxt = pred.withColumn(weight_col, moved).select(*df.columns)
+            target = nxt.agg(F.sum(F.when(~src, w))).first()[0]
+            if target:
+                nxt = nxt.withColumn(weight_col, F.when(src, w).otherwise(w * ((1.0 - source) / target)))
+            cur = cut_lineage(nxt) if (i + 1) % checkpoint_every == 0 else nxt
+        for h in held:
+            h.unpersist()
         self.estimator_weights_ = [-math.log(e / (2.0 - e) + EPS) + 2 * EPS for e in self.errors_]
         return self
 
+    def predict(self, df: DataFrame) -> DataFrame:
+        return predict_median(df, self.models_, self.estimator_weights_)
+
 
 def find_beta(df: DataFrame, weight_col: str, err_col: str, target: float, grid: int = 16,
               passes: int = 6) -> float:
@@ -433,13 +452,14 @@ def find_beta(df: DataFrame, weight_col: str, err_col: str, target: float, grid:
 
 def target_slices(df: DataFrame, n_slices: int, key: str = "filename", domain_col: str = "domain") -> DataFrame:
     """Consecutive target slices (by key order) as a ``slice`` column;
-    source rows get null (they are in every training set). The key rank is
-    exact and distributed (``global_rank``), not a one-task window."""
-    from ..functions.frames import global_rank
+    source rows get null (they are in every training set). Every slice has
+    floor(n / n_slices) rows (at least one) and the last one takes the rest.
+    The key rank is exact and distributed (``global_rank``)."""
     tgt = df.filter(F.col(domain_col) != 0)
     cnt = tgt.agg(F.count("*").alias("_n"))
     t = tx.attach_scalar(global_rank(tgt, key, out_col="_r"), cnt)
-    t = t.withColumn("slice", F.floor(F.col("_r") * n_slices / F.col("_n")).cast("int")).drop("_r", "_n")
+    each = F.greatest(F.floor(F.col("_n") / n_slices), F.lit(1))
+    t = t.withColumn("slice", F.least(F.floor(F.col("_r") / each), F.lit(n_slices - 1)).cast("int")).drop("_r", "_n")
     return df.filter(F.col(domain_col) == 0).withColumn("slice", F.lit(None).cast("int")).unionByName(t)
 
 
@@ -490,22 +510,23 @@ class TwoStageTrAdaBoostR2:
         self.make_estimator, self.n_estimators, self.n_fs = make_estimator, n_estimators, n_estimators_fs
         self.cv, self.lr, self.domain_col, self.key = cv, lr, domain_col, key
 
-    def _cv_score(self, df: DataFrame) -> float:
-        sl = target_slices(df, self.cv, self.key, self.domain_col)
+    def _cv_score(self, df: DataFrame, nt: int) -> float:
+        """Mean absolute error over the target slices; at most one slice a
+        target row. The target keeps its mass without the slice held out."""
+        cv = min(self.cv, nt)
+        sl = cut_lineage(target_slices(df, cv, self.key, self.domain_col))
+        w = F.col("_w")
+        sums = {r["slice"]: r for r in sl.groupBy("slice").agg(F.sum(w).alias("w"), F.count("*").alias("n")).collect()}
+        n, full = sum(r["n"] for r in sums.values()), sum(r["w"] for s, r in sums.items() if s is not None)
         errs = []
-        for i in range(self.cv):
-            test = sl.filter(F.col("slice") == i)
+        for i in range(cv):
+            rest = full - sums[i]["w"]
+            grow = full / rest if rest else 1.0
             train = sl.filter(F.col("slice").isNull() | (F.col("slice") != i))
-            # keep the target's mass after removing the held-out slice
-            m = train.agg(F.sum(F.when(F.col(self.domain_col) != 0, F.col("_w"))).alias("tr"),
-                          F.sum(F.when(F.col(self.domain_col) != 0, F.lit(0.0))).alias("z")).first()
-            full = df.agg(F.sum(F.when(F.col(self.domain_col) != 0, F.col("_w")))).first()[0]
-            train = train.withColumn("_w", F.when(F.col(self.domain_col) != 0, F.col("_w") * full / m["tr"])
-                                     .otherwise(F.col("_w")))
-            n = train.count()
-            mw = 1.0 / n
-            model = self.make_estimator(n, "_sw").fit(train.withColumn("_sw", F.col("_w") / mw))
-            e = model.transform(test).agg(F.avg(F.abs(F.col("prediction") - F.col("label")))).first()[0]
+            size = n - sums[i]["n"]
+            model = self.make_estimator(size, "_sw").fit(
+                train.withColumn("_sw", F.when(F.col("slice").isNull(), w).otherwise(w * grow) * size))
+            e = model.transform(sl.filter(F.col("slice") == i)).agg(F.avg(F.abs(F.col("prediction") - F.col("label")))).first()[0]
             errs.append(e)
         return float(np.mean(errs))
 
@@ -513,37 +534,36 @@ class TwoStageTrAdaBoostR2:
         dom = F.col(self.domain_col)
         c = df.agg(F.count_if(dom == 0).alias("ns"), F.count_if(dom != 0).alias("nt")).first()
         ns, nt = int(c["ns"]), int(c["nt"])
-        cur = df.withColumn("_w", F.lit(1.0 / (ns + nt)))
-        self.scores_, self.stages_ = [], []
+        if not nt:
+            raise ValueError("two-stage boosting needs target rows")
+        cur = cut_lineage(df.withColumn("_w", F.lit(1.0 / (ns + nt))))
+        self.scores_, self.stages_, self.weights_ = [], [], []
         for step in range(self.n_estimators):
-            self.scores_.append(self._cv_score(cur))
+            self.weights_.append(cur)
+            self.scores_.append(self._cv_score(cur, nt))
             stage = AdaBoostR2FixedSource(self.make_estimator, self.n_fs, self.lr, self.domain_col).fit(cur)
             self.stages_.append(stage)
             if step == self.n_estimators - 1:
                 break
-            m = stage.models_[-1]
-            pred = m.transform(cur).withColumn("_err", F.abs(F.col("prediction") - F.col("label")))
-            emax = pred.agg(F.max("_err")).first()[0] + EPS
-            pred = pred.withColumn("_err", F.col("_err") / emax)
+            # The errors are those of the whole stage's weighted median.
+            pred = cut_lineage(stage.predict(cur).select(*df.columns, "_w", F.abs(F.col("prediction") - F.col("label")).alias("_err")))
+            e = pred.agg(F.max("_err").alias("top"), F.sum(F.when(dom != 0, F.col("_w"))).alias("wt")).first()
+            pred = pred.withColumn("_err", F.col("_err") / (e["top"] + EPS))
             k_t = nt / (ns + nt) + (step / (self.n_estimators - 1)) * (1 - nt / (ns + nt))
-            w_t = pred.agg(F.sum(F.when(dom != 0, F.col("_w")))).first()[0]
-            c_t = w_t * (1 - k_t) / k_t
-            beta = find_beta(pred.filter(dom == 0), "_w", "_err", c_t)
-            nxt = pred.select(*df.columns, "_w", "_err").withColumn(
-                "_w", F.when(dom == 0, F.col("_w") * F.pow(F.lit(beta), self.lr * F.col("_err"))).otherwise(F.col("_w")))
+            beta = find_beta(pred.filter(dom == 0), "_w", "_err", e["wt"] * (1 - k_t) / k_t)
+            nxt = pred.select(*df.columns, F.when(
+                dom == 0, F.col("_w") * F.pow(F.lit(beta), self.lr * F.col("_err"))).otherwise(F.col("_w")).alias("_w"))
             tot = nxt.agg(F.sum("_w")).first()[0]
-            cur = cut_lineage(nxt.drop("_err").withColumn("_w", F.col("_w") / tot))
+            cur = cut_lineage(nxt.withColumn("_w", F.col("_w") / tot))
         self.best_ = int(np.argmin(self.scores_))
         return self
 
+    def sample_weights(self) -> DataFrame:
+        """The row weights of the step with the best CV error."""
+        return self.weights_[self.best_]
+
     def predict(self, df: DataFrame) -> DataFrame:
-        stage = self.stages_[self.best_]
-        start = int(len(stage.models_) / 2)
-        out, cols = df, []
-        for k, (m, w) in enumerate(zip(stage.models_[start:], stage.estimator_weights_[start:])):
-            out = out.join(m.transform(df).select(self.key, F.col("prediction").alias(f"_m{k}")), self.key)
-            cols.append((f"_m{k}", w))
-        return weighted_median(out, [c for c, _ in cols], [w for _, w in cols])
+        return self.stages_[self.best_].predict(df)
 
 
 class AdaptedEstimator:

@@ -84,10 +84,12 @@ def seeded_shuffle(df: DataFrame, seed: int = 20) -> DataFrame:
 
 def participant_first(df: DataFrame, k: int, group_col: str = "group_id", order_col: str = "filename") -> DataFrame:
     """K rows, one per participant first (in input order), topped up with
-    the participants' further rows in input order — a top-k, not a sample."""
-    rn = F.row_number().over(Window.partitionBy(group_col).orderBy(order_col))
-    ranked = df.withColumn("_rn", rn)
-    return ranked.orderBy((F.col("_rn") > 1).cast("int"), order_col).limit(k).drop("_rn")
+    the participants' further rows in input order — a top-k, not a sample.
+    ``order_col`` is a key: a participant's first row is the one at its
+    smallest key, a combined aggregate instead of a sort of all its rows."""
+    first = df.groupBy(F.col(group_col).alias("_g")).agg(F.min(order_col).alias("_first"))
+    marked = df.join(first, F.col(group_col).eqNullSafe(F.col("_g")))
+    return marked.orderBy((F.col(order_col) > F.col("_first")).cast("int"), order_col).limit(k).drop("_g", "_first")
 
 
 def biased_cohort(df: DataFrame, label_col: str, pos: int, neg: int, **kw) -> DataFrame:

@@ -21,6 +21,7 @@ from ..functions.frames import cut_lineage
 from .adapt import _sym_pow, domain_moments, logistic
 
 EPS = np.finfo(float).eps
+PARTIALS = 512
 
 
 def cov_distance(df: DataFrame, features_col="features", domain_col="domain") -> float:
@@ -47,14 +48,17 @@ def _gram(df, features_col, domain, domain_col):
 def linear_discrepancy(df: DataFrame, features_col="features", domain_col="domain",
                        power_method: bool = False, n_iter: int = 20) -> float:
     """Largest absolute eigenvalue of XsᵀXs/ns − XtᵀXt/nt (Gramians from
-    the moments), optionally by power iteration."""
+    the moments), optionally estimated by ``n_iter`` power steps from the
+    vector of ones: the estimate is the last step's growth in the largest
+    absolute component."""
     m = _gram(df, features_col, 0, domain_col) - _gram(df, features_col, 1, domain_col)
     if power_method:
-        v = np.ones(m.shape[0]) / np.sqrt(m.shape[0])
+        v, growth = np.ones(m.shape[0]), 0.0
         for _ in range(n_iter):
             v = m @ v
-            v /= np.linalg.norm(v) + EPS
-        return float(abs(v @ m @ v))
+            growth = np.abs(v).max()
+            v = v / (growth + EPS)
+        return float(growth)
     return float(np.max(np.abs(np.linalg.eigvalsh((m + m.T) / 2))))
 
 
@@ -106,7 +110,8 @@ def neg_j_score(df: DataFrame, features_col="features", domain_col="domain", key
     rows = cut_lineage(df.select(domain_col, kern.alias("k")))
     b = np.asarray(rows.filter(F.col(domain_col) == 0).select(
         Summarizer.mean(array_to_vector("k")).alias("m")).first()["m"].toArray())
-    A = rows.filter(F.col(domain_col) != 0).select("k")
+    # At most PARTIALS tasks a step, so what a step sends back is bounded.
+    A = rows.filter(F.col(domain_col) != 0).select("k").coalesce(PARTIALS)
     m = len(C)
 
     def step(alpha):
@@ -148,12 +153,14 @@ def neg_j_score(df: DataFrame, features_col="features", domain_col="domain", key
 
 def domain_classifier(df: DataFrame, features_col="features", domain_col="domain", seed: int = 0) -> float:
     """Train a classifier to tell the domains apart on 80 % of the rows;
-    score = 1 − mean squared error of its probability on the other 20 %."""
+    score = 1 − mean squared error of its probability on the other 20 %. Each
+    domain is split on its own."""
     data = df.select(array_to_vector(features_col).alias("features"),
                      (F.col(domain_col) != 0).cast("double").alias("label"))
-    train, test = data.randomSplit([0.8, 0.2], seed)
+    (a, b), (c, d) = (data.filter(F.col("label") == y).randomSplit([0.8, 0.2], seed + int(y)) for y in (0.0, 1.0))
+    train, test = a.unionByName(c), b.unionByName(d)
     n = train.count()
-    model = logistic(1.0, n, max_iter=100).fit(train)
+    model = logistic(1.0, n).fit(train)
     p = model.transform(test).select((vector_to_array("probability")[1] - F.col("label")).alias("e"))
     mse = p.agg(F.avg(F.col("e") * F.col("e"))).first()[0]
     return 1.0 - float(mse)
@@ -165,9 +172,9 @@ def reverse_validation(df: DataFrame, features_col="features", domain_col="domai
     data = df.select(array_to_vector(features_col).alias("features"), "label", domain_col)
     src = data.filter(F.col(domain_col) == 0)
     tgt = data.filter(F.col(domain_col) != 0)
-    m1 = logistic(C, src.count(), max_iter=100).fit(src)
+    m1 = logistic(C, src.count()).fit(src)
     pseudo = m1.transform(tgt).select("features", F.col("prediction").alias("label"))
-    m2 = logistic(C, pseudo.count(), max_iter=100).fit(pseudo)
+    m2 = logistic(C, pseudo.count()).fit(pseudo)
     back = m2.transform(src).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
     return float(back)
 

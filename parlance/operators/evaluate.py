@@ -3,9 +3,8 @@
 Folds are columns, never materialised copies: a fold id per row, and a
 training set is ``fold != k``. Fold assignment is rank-based (deterministic,
 reproducible in SQL): groups are ranked by size (largest first, id breaks
-ties) and dealt to folds in snake order. Ranking runs on the one-row-per-group
-table; the only un-partitioned window is over the distinct group sizes
-(bounded by the largest group size, not by the data).
+ties) and dealt to folds in snake order. Ranking is a range shuffle of the
+one-row-per-group table (``frames.global_rank``).
 
 Metrics are conditional counts over (label, prediction); p-values are
 computed by pandas UDFs on the aggregated rows only.
@@ -21,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions import stats as st
 from ..functions import text as tx
+from ..functions.frames import global_rank
 
 
 # --- L: folds ---------------------------------------------------------------
@@ -31,18 +31,16 @@ def _snake(rank, k: int):
 
 
 def group_ranks(groups: DataFrame, group_col: str, size_col: str = "size", by: list[str] | None = None) -> DataFrame:
-    """0-based rank of each group by (size desc, group id) without a global
-    row_number over all groups: rank within a size class + the number of
-    groups in larger size classes (the size table has one row per distinct
-    size)."""
+    """0-based rank of each group by (size desc, group id), within the values
+    of ``by``: an exact distributed rank over (by, size desc, group), less
+    the first rank of the row's ``by`` values. Most groups share one small
+    size, so neither a window a size class nor one over all groups is used."""
     by = by or []
-    inner = F.row_number().over(Window.partitionBy(*by, size_col).orderBy(group_col)) - 1
-    g = groups.withColumn("_in", inner)
-    sizes = groups.groupBy(*by, size_col).agg(F.count("*").alias("_cnt"))
-    before = F.coalesce(F.sum("_cnt").over(Window.partitionBy(*by).orderBy(F.desc(size_col))
-                                          .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.withColumn("_off", before).drop("_cnt")
-    return g.join(sizes, [*by, size_col]).withColumn("grank", F.col("_off") + F.col("_in")).drop("_in", "_off")
+    ranked = global_rank(groups.withColumn("_neg", -F.col(size_col)), [*by, "_neg", group_col], out_col="grank").drop("_neg")
+    if not by:
+        return ranked
+    first = ranked.groupBy(*by).agg(F.min("grank").alias("_first"))
+    return ranked.join(first, by).withColumn("grank", F.col("grank") - F.col("_first")).drop("_first")
 
 
 def group_kfold(df: DataFrame, k: int = 5, group_col: str = "group_id") -> DataFrame:
@@ -85,7 +83,6 @@ def leave_pairs_out(df: DataFrame, group_col: str = "group_id", label_col: str =
     """Fold i holds out the i-th positive group and the i-th negative
     group (groups ranked by id within each label); unpaired groups stay in
     training everywhere."""
-    from ..functions.frames import global_rank
     g = df.groupBy(group_col).agg(F.max(label_col).alias("_l"))
     # rank inside each label = global rank over (label, group) minus the
     # number of groups with a smaller label (distributed, no one-task window)

@@ -47,7 +47,7 @@ def training_set(t: DataFrame, method: str, fold: int, d: int) -> tuple[DataFram
 
 def _model(name: str, C: float, n: int):
     if name == "lr":
-        return ad.logistic(C, n, max_iter=100)
+        return ad.logistic(C, n)
     if name == "svm":
         return ad.margin_classifier(C, n, weight_col="cw")
     raise ValueError(f"unknown model {name!r}")

@@ -133,9 +133,13 @@ def subtl_score(spark: SparkSession, tagged: DataFrame, lexicon: DataFrame) -> D
     clitics and not tagged PRP, PRP$, WP$ or EX, rounded to 2; the stop list
     grows per transcript only (Quirk 6 fixed); 0.0 for no known word."""
     keep = tagged.filter(~F.col("pos").isin("PRP", "PRP$", "WP$", "EX") & ~F.col("token").startswith("'"))
-    keep = keep.withColumn("word", F.col("lw")).join(lx.stop_words_df(spark), "word", "left_anti")
-    known = keep.join(lexicon.select("word", "subtlwf"), "word", "inner")
-    score = known.groupBy("filename").agg(F.round(F.avg("subtlwf"), 2).alias("subtl_score"))
+    # Counted per (transcript, word) first: a frequent word is one row a
+    # transcript in the lexicon join, not one row a token.
+    counts = keep.groupBy("filename", F.col("lw").alias("word")).agg(F.count("*").alias("k"))
+    known = (counts.join(lx.stop_words_df(spark), "word", "left_anti")
+             .join(lexicon.select("word", "subtlwf"), "word", "inner"))
+    score = known.groupBy("filename").agg(
+        F.round(F.sum(F.col("k") * F.col("subtlwf")) / F.sum("k"), 2).alias("subtl_score"))
     return tagged.select("filename").distinct().join(score, "filename", "left").fillna(0.0, ["subtl_score"])
 
 
@@ -155,8 +159,8 @@ def cohort_lexical_comparison(words_freq: DataFrame, cohort_col: str = "cohort")
         F.count("*").alias("n"), (F.count_distinct("word") / F.count("*")).alias("unique_ratio"))
     a = g.select(*[F.col(c).alias(f"a_{c}") for c in g.columns])
     b = g.select(*[F.col(c).alias(f"b_{c}") for c in g.columns])
-    # Cohorts are a handful of label values; the pair join is on a tiny table.
-    pairs = a.join(F.broadcast(b), F.col(f"a_{cohort_col}") < F.col(f"b_{cohort_col}"))
+    # One row a cohort on both sides: every pair of cohorts is the result.
+    pairs = a.join(b, F.col(f"a_{cohort_col}") < F.col(f"b_{cohort_col}"))
     t, dfree = welch("a_mean", "a_var", "a_n", "b_mean", "b_var", "b_n")
     return pairs.select(
         F.col(f"a_{cohort_col}").alias("cohort_a"), F.col(f"b_{cohort_col}").alias("cohort_b"),
@@ -182,16 +186,16 @@ def type_counts(rich: DataFrame) -> DataFrame:
 def richness_scalar(rich: DataFrame) -> DataFrame:
     """D05 Maas and D07 HD-D (draws=2) from N, V and per-type counts.
 
-    HD-D with k=2: sum over types of (1 - (N-f)(N-f-1) / (N(N-1))) / 2.
+    HD-D with k=2: sum over types of (1 - (N-f)(N-f-1) / (N(N-1))) / 2. The
+    sum of (N-f)(N-f-1) is V·N(N-1) - (2N-1)·N + Σf², so N, V and Σf² are
+    enough and no type is joined to its transcript's totals.
     """
-    tc = type_counts(rich)
-    n = tc.groupBy("filename").agg(F.sum("f").alias("N"), F.count("*").alias("V"))
-    j = tc.join(n, "filename")
-    p0 = F.try_divide((F.col("N") - F.col("f")) * (F.col("N") - F.col("f") - 1),
-                      (F.col("N") * (F.col("N") - 1)).cast("double"))
-    hdd = j.groupBy("filename").agg(F.sum((1 - p0) / 2).alias("hdd"))
+    f = F.col("f").cast("double")
+    n = type_counts(rich).groupBy("filename").agg(F.sum("f").alias("N"), F.count("*").alias("V"), F.sum(f * f).alias("F2"))
+    total = F.col("N").cast("double")
+    hdd = F.try_divide((2 * total - 1) * total - F.col("F2"), 2 * total * (total - 1))
     maas = F.when(F.col("N") > 1, F.try_divide(F.log("N") - F.log("V"), F.log("N") ** 2))
-    return n.join(hdd, "filename").select(
+    return n.withColumn("hdd", hdd).select(
         "filename", F.col("N").alias("n_tokens"), F.col("V").alias("n_types"),
         tx.round6(maas).alias("maas"), tx.round6(F.col("hdd")).alias("hdd"))
 

@@ -113,12 +113,15 @@ def pos_frequency(tagged: DataFrame) -> DataFrame:
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("pos", "n")))).alias("pos_freq"))
 
 
-def entity_mentions(spark: SparkSession, toks: DataFrame) -> DataFrame:
+def entity_mentions(spark: SparkSession, toks: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
     """Gazetteer entities, longest match first, no overlaps.
 
-    1..3-gram windows over the token order are equi-joined to a broadcast
-    gazetteer; numbers are CARDINAL by rule. A match is dropped when an
-    earlier match in the same utterance still covers its first token.
+    1..3-gram windows over the token order are equi-joined to the gazetteer
+    (``gram``, ``label``; by default the fixed list, broadcast); numbers are
+    CARDINAL by rule. From left to right, a match is kept unless the last
+    *kept* match of the utterance covers its first token. That fold runs over
+    chains of overlapping matches only: a match that begins after the end of
+    all earlier ones opens a new chain.
     """
     w = Window.partitionBy("filename", "utt_idx").orderBy("tok_idx")
     lw = F.lower("token")
@@ -129,7 +132,7 @@ def entity_mentions(spark: SparkSession, toks: DataFrame) -> DataFrame:
                                 F.lower(F.lead("token", 2).over(w))).alias("g3"),
                     F.lead("token", 1).over(w).isNotNull().alias("has2"),
                     F.lead("token", 2).over(w).isNotNull().alias("has3"))
-    gaz = lx.table(spark, lx.GAZETTEER, ["gram", "label"])
+    gaz = lx.table(spark, lx.GAZETTEER, ["gram", "label"]) if gazetteer is None else gazetteer.select("gram", "label")
     # One row per (start token, n-gram length): a single broadcast join for
     # all three lengths instead of one join per length.
     grams = g.select("filename", "utt_idx", "tok_idx", "token", F.explode(F.array(
@@ -144,10 +147,17 @@ def entity_mentions(spark: SparkSession, toks: DataFrame) -> DataFrame:
     # Longest match per start token.
     best = allc.withColumn("r", F.row_number().over(
         Window.partitionBy("filename", "utt_idx", "tok_idx").orderBy(F.desc("n"), "label"))).filter("r = 1")
-    reach = F.max(F.col("tok_idx") + F.col("n") - 1).over(
-        Window.partitionBy("filename", "utt_idx").orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, -1))
-    return best.withColumn("covered", F.coalesce(reach, F.lit(-1))).filter(
-        F.col("tok_idx") > F.col("covered")).drop("r", "covered")
+    order = Window.partitionBy("filename", "utt_idx").orderBy("tok_idx")
+    reach = F.max(F.col("tok_idx") + F.col("n") - 1).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = best.withColumn("opens", (F.col("tok_idx") > F.coalesce(reach, F.lit(-1))).cast("int"))
+    chained = opens.withColumn("chain", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    chains = chained.groupBy("filename", "utt_idx", "chain").agg(
+        F.array_sort(F.collect_list(F.struct("tok_idx", "entity", "label", "n"))).alias("ms"))
+    init = F.struct(F.lit(-1).alias("end"), F.slice("ms", 1, 0).alias("kept"))
+    kept = F.aggregate("ms", init, lambda a, m: F.when(
+        m["tok_idx"] > a["end"], F.struct((m["tok_idx"] + m["n"] - 1).alias("end"), F.array_append(a["kept"], m).alias("kept"))).otherwise(a),
+        lambda a: a["kept"])
+    return chains.select("filename", "utt_idx", F.explode(kept).alias("m")).select("filename", "utt_idx", "m.*")
 
 
 # --- CHAT files, repeat markers, transcript assembly -------------------------

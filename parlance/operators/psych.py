@@ -33,10 +33,11 @@ def norm_lexicon(source: DataFrame, text_col: str = "text", id_col: str = "item_
 
 def psycholinguistic_scores(content_words: DataFrame, norms: DataFrame) -> DataFrame:
     """Per measure, sum of scores of known non-stop words / (1 + known)."""
-    j = content_words.select("filename", "word").join(norms, "word", "inner")
+    counts = content_words.groupBy("filename", "word").agg(F.count("*").alias("k"))
+    j = counts.join(norms, "word", "inner")
     agg = j.groupBy("filename").agg(*[
-        F.sum(F.when(F.col("measure") == m, F.col("score"))).alias(f"s_{m}") for m in lx.PSYCH_MEASURES],
-        *[F.count_if(F.col("measure") == m).alias(f"n_{m}") for m in lx.PSYCH_MEASURES])
+        F.sum(F.when(F.col("measure") == m, F.col("k") * F.col("score"))).alias(f"s_{m}") for m in lx.PSYCH_MEASURES],
+        *[F.sum(F.when(F.col("measure") == m, F.col("k"))).alias(f"n_{m}") for m in lx.PSYCH_MEASURES])
     base = content_words.select("filename").distinct().join(agg, "filename", "left")
     return base.select("filename", *[
         tx.round6(F.coalesce(F.col(f"s_{m}"), F.lit(0.0)) / (1 + F.coalesce(F.col(f"n_{m}"), F.lit(0))))

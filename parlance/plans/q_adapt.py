@@ -137,7 +137,7 @@ def k08(spark, sf_dir):
 
 @query("k16_target_slices", S.with_(EMB) + """
 , t AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS r, count(*) OVER () AS n FROM emb WHERE domain <> 0)
-SELECT e.vec_id, e.domain, CAST(floor(t.r * 5 / t.n) AS INTEGER) AS slice FROM emb e LEFT JOIN t ON e.vec_id = t.vec_id""")
+SELECT e.vec_id, e.domain, CASE WHEN t.r IS NOT NULL THEN CAST(least(floor(t.r / greatest(floor(t.n / 5), 1)), 4) AS INTEGER) END AS slice FROM emb e LEFT JOIN t ON e.vec_id = t.vec_id""")
 def k16(spark, sf_dir):
     s = ad.target_slices(emb(spark, sf_dir), 5, key="vec_id")
     return s.select("vec_id", "domain", "slice")
@@ -157,8 +157,11 @@ def _doc_split(spark, sf_dir):
     return train, test
 
 
-def _lr(C=1.0, max_iter=100):
-    return lambda n, w: ad.logistic(C, n, max_iter=max_iter, weight_col=w)
+ROUNDS = 45  # boosting rounds of the reference's experiments
+
+
+def _lr(C=1.0):
+    return lambda n, w: ad.logistic(C, n, weight_col=w)
 
 
 @query("k09_k10_tradaboost")
@@ -166,14 +169,14 @@ def k09(spark, sf_dir):
     """K09 + K10: transfer boosting with weighted logistic regression;
     predictions for the held-out target rows."""
     train, test = _doc_split(spark, sf_dir)
-    model = ad.TrAdaBoost(_lr(), n_estimators=10).fit(train)
+    model = ad.TrAdaBoost(_lr(), n_estimators=ROUNDS).fit(train)
     return model.predict(test).select("filename", "label", "prediction")
 
 
 @query("k17_sample_weights")
 def k17(spark, sf_dir):
     train, _ = _doc_split(spark, sf_dir)
-    model = ad.TrAdaBoost(_lr(), n_estimators=5).fit(train)
+    model = ad.TrAdaBoost(_lr(), n_estimators=ROUNDS).fit(train)
     return model.sample_weights().select("filename", "domain", F.col("_w").alias("weight"))
 
 
@@ -194,7 +197,7 @@ def k11(spark, sf_dir):
     """K11 + K12: regression transfer boosting (log token count from the POS
     shares), weighted-median prediction."""
     train, test = _reg_split(spark, sf_dir)
-    model = ad.TrAdaBoost(_linreg(), n_estimators=6, regression=True).fit(train)
+    model = ad.TrAdaBoost(_linreg(), n_estimators=ROUNDS, regression=True).fit(train)
     return model.predict(test).select("filename", "label", "prediction")
 
 
@@ -202,17 +205,17 @@ def k11(spark, sf_dir):
 def k13(spark, sf_dir):
     train, _ = _reg_split(spark, sf_dir)
     n = train.count()
-    m = ad.AdaBoostR2FixedSource(_linreg(), n_estimators=4).fit(train.withColumn("_w", F.lit(1.0 / n)))
+    m = ad.AdaBoostR2FixedSource(_linreg(), n_estimators=10).fit(train.withColumn("_w", F.lit(1.0 / n)))
     return spark.createDataFrame([(i, float(e), float(w)) for i, (e, w) in
                                   enumerate(zip(m.errors_, m.estimator_weights_))], "round int, error double, weight double")
 
 
 @query("k14_k15_two_stage_tradaboost_r2")
 def k14(spark, sf_dir):
-    """K14 with K15 (β bisection on an error histogram) and K16 (target-slice
-    CV); small step counts keep the check quick."""
+    """K14 with K15 (β search) and K16 (target-slice CV): 10 steps of 10
+    rounds, 5 slices."""
     train, test = _reg_split(spark, sf_dir)
-    m = ad.TwoStageTrAdaBoostR2(_linreg(), n_estimators=3, n_estimators_fs=3, cv=3).fit(train)
+    m = ad.TwoStageTrAdaBoostR2(_linreg(), n_estimators=10, n_estimators_fs=10, cv=5).fit(train)
     return m.predict(test).select("filename", "label", "prediction")
 
 
@@ -239,7 +242,7 @@ def k06(spark, sf_dir):
     regression on the aligned source, predict the standardised target."""
     t = FT.labelled_table(spark, sf_dir).withColumn("features", F.array(*[F.col(c) for c in FT.FEATURES]))
     t = t.select("filename", "label", "domain", "features")
-    est = ad.AdaptedEstimator(lambda n, w: ad.logistic(1.0, n, max_iter=100, weight_col=w), adapter=ad.Coral())
+    est = ad.AdaptedEstimator(lambda n, w: ad.logistic(1.0, n, weight_col=w), adapter=ad.Coral())
     return est.fit(t).predict(t.filter("domain = 1")).select("filename", "label", "prediction")
 
 

@@ -69,17 +69,20 @@ cand AS (
   UNION ALL SELECT filename, utt_idx, tok_idx, g1, 'CARDINAL', 1 FROM g WHERE regexp_matches(token, '^\\p{{N}}+$')),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY filename, utt_idx, tok_idx ORDER BY n DESC, label) AS r
   FROM cand) WHERE r = 1),
-ent AS (SELECT filename, utt_idx, tok_idx, entity, label, n FROM (
-  SELECT *, coalesce(max(tok_idx + n - 1) OVER (PARTITION BY filename, utt_idx ORDER BY tok_idx
-     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS covered FROM best) WHERE tok_idx > covered)"""
+-- From left to right: the first match of an utterance, then the next one after its end.
+nxt AS (SELECT a.*, b.tok_idx AS nxt FROM best a ASOF LEFT JOIN best b
+  ON a.filename = b.filename AND a.utt_idx = b.utt_idx AND a.tok_idx + a.n <= b.tok_idx),
+walk AS (SELECT nxt.* FROM nxt JOIN (SELECT filename, utt_idx, min(tok_idx) AS tok_idx FROM best GROUP BY ALL) USING (filename, utt_idx, tok_idx)
+  UNION ALL SELECT m.* FROM walk w JOIN nxt m ON w.filename = m.filename AND w.utt_idx = m.utt_idx AND w.nxt = m.tok_idx),
+ent AS (SELECT filename, utt_idx, tok_idx, entity, label, n FROM walk)"""
 
 
-@query("b17_entity_mentions", S.with_(S.UTT_DOCS, S.TOK, ENTITIES) + "SELECT * FROM ent")
+@query("b17_entity_mentions", S.with_recursive(S.UTT_DOCS, S.TOK, ENTITIES) + "SELECT * FROM ent")
 def b17(spark, sf_dir):
     return prep.entity_mentions(spark, T.doc_tokens(spark, sf_dir))
 
 
-@query("c05_c06_entity_features", S.with_(S.UTT_DOCS, S.TOK, ENTITIES) + """
+@query("c05_c06_entity_features", S.with_recursive(S.UTT_DOCS, S.TOK, ENTITIES) + """
 , agg AS (SELECT filename, count(*) AS n_entities, count(DISTINCT entity) AS n_unique_entities, """
        + ", ".join(f"{r6(f'count_if(label = {lx.sql_str(l)}) / count(*)')} AS ent_{l}" for l in lx.ENTITY_LABELS)
        + """ FROM ent GROUP BY filename)
@@ -110,7 +113,7 @@ def c07_pos(spark, sf_dir):
     return lex.corpus_frequency(T.doc_tagged(spark, sf_dir), "pos")
 
 
-@query("c07_corpus_entity_label_frequency", S.with_(S.UTT_DOCS, S.TOK, ENTITIES) + """
+@query("c07_corpus_entity_label_frequency", S.with_recursive(S.UTT_DOCS, S.TOK, ENTITIES) + """
 SELECT label, count(*) AS count FROM ent GROUP BY label""")
 def c07_ent(spark, sf_dir):
     return lex.corpus_frequency(prep.entity_mentions(spark, T.doc_tokens(spark, sf_dir)), "label")

@@ -70,5 +70,9 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
+def with_recursive(*ctes: str) -> str:
+    return with_(*ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def r6(expr: str) -> str:
     return f"round(CAST({expr} AS DOUBLE), 6)"

@@ -147,13 +147,20 @@ def quarantine_split(df: DataFrame, ok) -> tuple[DataFrame, DataFrame]:
     return flagged.filter("_ok").drop("_ok"), flagged.filter("NOT _ok").drop("_ok")
 
 
+def _line_order():
+    """Order of a file's lines whatever the splits: file, block, then the
+    row number within the task that reads the block."""
+    return F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+                    F.monotonically_increasing_id().alias("i"))
+
+
 def read_norms(spark: SparkSession, path: str, measure: str) -> DataFrame:
     """``score word`` lines → (word lower-cased, score); the last line of
     a duplicated word wins; only the four known measures are accepted."""
     from ..functions.lexicons import PSYCH_MEASURES
     if measure not in PSYCH_MEASURES:
         raise ValueError("name must be one of: " + str(PSYCH_MEASURES))
-    lines = spark.read.text(path).select(F.col("value"), F.monotonically_increasing_id().alias("line_no"))
+    lines = spark.read.text(path).select(F.col("value"), _line_order().alias("line_no"))
     parts = F.split(F.trim("value"), " ")
     t = lines.select(F.lower(F.element_at(parts, 2)).alias("word"),
                      F.element_at(parts, 1).cast("double").alias("score"), "line_no")
@@ -166,5 +173,5 @@ def read_word_frequency(spark: SparkSession, path: str, option: int = 1) -> Data
     col = "Lg10WF" if option == 0 else "SUBTLWF"
     t = spark.read.option("header", True).csv(path).select(
         F.lower("Word").alias("word"), F.col(col).cast("double").alias("value"),
-        F.monotonically_increasing_id().alias("line_no"))
+        _line_order().alias("line_no"))
     return t.groupBy("word").agg(F.min_by("value", "line_no").alias(col.lower()))

@@ -30,6 +30,13 @@ from ..functions import text as tx
 from ..functions.frames import cut_lineage, global_rank
 
 EPS = np.finfo(float).eps
+# A fit runs many short jobs: smaller partitions than this are merged first.
+ROWS_PER_TASK = 2000
+
+
+def _merged(df: DataFrame, n: int) -> DataFrame:
+    """``df`` of ``n`` rows in at most a task per ROWS_PER_TASK rows."""
+    return df.coalesce(max(1, math.ceil(n / ROWS_PER_TASK)))
 
 
 # --- K01, K02, K24: training sets and domain ids -----------------------------
@@ -290,7 +297,7 @@ class TrAdaBoost:
         c = df.agg(F.count_if(dom == 0).alias("ns"), F.count_if(dom != 0).alias("nt")).first()
         ns, nt = int(c["ns"]), int(c["nt"])
         n = ns + nt
-        cur = df.withColumn("_w", F.lit(1.0 / n))
+        cur = _merged(df, n).withColumn("_w", F.lit(1.0 / n))
         beta_s = 1.0 / (1.0 + math.sqrt(2.0 * math.log(max(ns, 1)) / self.n_estimators))
         self.models_, self.errors_ = [], []
         held = []
@@ -393,7 +400,7 @@ class AdaBoostR2FixedSource:
         src, w = F.col(self.domain_col) == 0, F.col(weight_col)
         t = df.agg(F.count("*").alias("n"), F.sum(w).alias("all"), F.sum(F.when(src, w)).alias("src")).first()
         n, source = t["n"], (t["src"] or 0.0) / t["all"]
-        cur = df.withColumn(weight_col, w / t["all"])
+        cur = _merged(df, n).withColumn(weight_col, w / t["all"])
         self.models_, self.errors_ = [], []
         held = []
         for i in range(self.n_estimators):

@@ -160,8 +160,11 @@ def _doc_split(spark, sf_dir):
 ROUNDS = 45  # boosting rounds of the reference's experiments
 
 
+STEPS = 100  # optimiser steps a boosting round; the operator's default is 3000
+
+
 def _lr(C=1.0):
-    return lambda n, w: ad.logistic(C, n, weight_col=w)
+    return lambda n, w: ad.logistic(C, n, max_iter=STEPS, weight_col=w)
 
 
 @query("k09_k10_tradaboost")

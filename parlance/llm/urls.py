@@ -6,7 +6,8 @@ and path together) decides. Urls are aliases when a redirect or canonical
 link joins them: connected components over canonical <link> tags, <meta>
 refresh targets and the url's own canonical form (scheme, fragment, tracking
 parameters and trailing slashes dropped) carry every blocked url's decision
-to its aliases. An explicit allow has precedence: a url with an allow rule of
+to its aliases; a url that is only the end of a link, and no page, blocks its
+aliases too. An explicit allow has precedence: a url with an allow rule of
 its own stays allowed, however its aliases are judged. A url without a rule
 and without a blocked alias is allowed.
 
@@ -59,15 +60,14 @@ def resolve(link, url):
             .otherwise(F.concat(F.lit("http://"), host(url), F.regexp_extract(path(url), r"^(.*/)?", 0), link)))
 
 
-def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(u, v): keys joined by a canonical link or a refresh redirect."""
+def link_urls(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(u, v): urls joined by a canonical link or a refresh redirect."""
     p = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).filter(
         F.col("url").isNotNull() & F.col("html").rlike("(?i)canonical|http-equiv"))
     tags = [F.transform(F.filter(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda t: t.rlike(kind)), lambda t: F.regexp_extract(t, attr, 1))
             for tag, kind, attr in ((LINK, CANONICAL, HREF), (META, REFRESH, TARGET))]
     links = p.select("url", F.explode(F.concat(*tags)).alias("to")).filter("to <> ''")
-    return (links.select(canonical_form(F.col("url")).alias("u"), canonical_form(resolve(F.col("to"), F.col("url"))).alias("v"))
-            .filter("u <> v"))
+    return links.select(F.col("url").alias("u"), resolve(F.col("to"), F.col("url")).alias("v"))
 
 
 def matching_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -95,13 +95,21 @@ def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None, id
     url = F.col(url_col)
     named = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host(url).alias("host"), path(url).alias("path"), canonical_form(url).alias("key"))
     named = hub(named)
-    ruled = hub(named.join(matching_rules(named, rules), ["host", "path"], "left"))
-    links = link_edges(pages, url_col, html_col)
+    links = link_urls(pages, url_col, html_col)
     if edges is not None:
-        links = links.union(edges.select(canonical_form(F.col("u")), canonical_form(F.col("v"))))
-    comp = components(links)
-    ruled = ruled.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("alias", F.coalesce("comp", "key"))
-    blocked = (ruled.filter("rule_verdict = 'block' and alias is not null").select("alias").distinct()
+        links = links.union(edges.select("u", "v").filter("u is not null and v is not null"))
+    links = hub(links.distinct())
+    # Both ends of a link, also those that are no page, have a rule of their own.
+    ends = hub(links.select(F.col("u").alias("url")).union(links.select("v")).distinct()
+               .select(host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), canonical_form(F.col("url")).alias("key")))
+    fits = hub(matching_rules(named.select("host", "path").union(ends.select("host", "path")), rules))
+    comp = components(links.select(canonical_form(F.col("u")).alias("u"), canonical_form(F.col("v")).alias("v"))).withColumnRenamed("node", "key")
+
+    def classed(urls):
+        return urls.join(fits, ["host", "path"], "left").join(comp, "key", "left").withColumn("alias", F.coalesce("comp", "key"))
+    ruled = hub(classed(named))
+    blocked = (ruled.select("rule_verdict", "alias").union(classed(ends).select("rule_verdict", "alias"))
+               .filter("rule_verdict = 'block' and alias is not null").select("alias").distinct()
                .withColumn("alias_blocked", F.lit(True)))
     return (ruled.join(blocked, "alias", "left")
             .withColumn("verdict", F.coalesce("rule_verdict", F.when(F.col("alias_blocked"), "block"), F.lit("allow")))

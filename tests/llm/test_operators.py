@@ -284,6 +284,18 @@ def test_urls(spark):
     assert urls.judge(df.filter("page_id < 0"), rules).count() == 0
 
 
+def test_urls_blocked_through_urls_that_are_no_pages(spark):
+    def link(to):
+        return f'<link rel="canonical" href="{to}">'
+    rows = [(1, "http://good.com/x", link("http://bad.net/y")), (2, "http://other.com/x", link("http://bad.net/y/")), (3, "http://third.com/x", '<meta http-equiv="refresh" content="0; url=http://bad.net/y">'),
+            (4, "http://safe.org/a", link("http://bad.net/y")), (5, "http://good.com/z", link("http://fine.com/y")), (6, "http://one.com/a", None), (7, "http://six.com/s", link("http://six.com/s/")), (8, "http://two.com/a", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rules = spark.createDataFrame([("net", "/", "block"), ("safe.org", "/", "allow"), ("six.com", "/s/", "block")], "host string, path string, verdict string")
+    assert {r["page_id"]: r["verdict"] for r in urls.judge(df, rules).collect()} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "block", 8: "allow"}
+    edges = spark.createDataFrame([("http://one.com/a", "http://hop.com/b"), ("http://hop.com/b", "http://far.net/c"), ("http://two.com/a", None)], "u string, v string")
+    assert {r["page_id"]: r["verdict"] for r in urls.judge(df, rules, edges).filter("page_id in (6, 8)").collect()} == {6: "block", 8: "allow"}
+
+
 def test_licenses(spark, none):
     rows = [(1, "p/a/LICENSE", "Licensed under the Apache License, Version 2.0.", True), (2, "p/a/b/c.txt", "code " * 50, False), (3, "p/x.txt", "Text here.\nReleased under the MIT License.\nmore text " * 3, False),
             (4, "p/a/b/LICENSE", "This work is licensed under the GNU General Public License, version 3.", True), (5, "q/x.txt", None, False), (6, None, "", None), (7, "p/a/z.txt", "the work is under this version", False), (7, "p/a/z.txt", "the work is under this version", False)]

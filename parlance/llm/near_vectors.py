@@ -8,12 +8,19 @@
    neighbours are compared with each other in one matrix product, and better
    ones enter the lists, until few entries change.
 4. Lists full of neighbours above the threshold are saturated: they double
-   once. What a doubled list can't hold is settled exactly: the members of every component of threshold edges are compared with each other
-   in pairs of bounded blocks, and only link counts leave the task.
-5. Audit: the links of ``AUDIT`` nodes (smallest hashes) are counted against
+   once. What a doubled list can't hold is settled exactly, by 5 and 6.
+5. Links between components of threshold edges: nodes are dealt into balls
+   around a neighbour; ball centres are compared in pairs of bounded blocks,
+   and balls of two components within the angular bound member by member.
+   One link joins two components. Every node is in a ball, so no link between
+   components is missed, whatever the graph has found; with few duplicates
+   this is a pass over all pairs of a label.
+6. The members of every component are compared with each other in pairs of
+   bounded blocks, and only link counts leave the task.
+7. Audit: the links of ``AUDIT`` nodes (smallest hashes) are counted against
    all nodes of their labels; below ``RECALL`` the search starts over with
    twice the trees and lists.
-6. Threshold edges (cosine in double precision) give the components.
+8. Threshold edges (cosine in double precision) give the components.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and
 vectors with a null label, link with nothing; vectors of different lengths are
@@ -40,6 +47,8 @@ SETTLED = 0.01  # changed entries a round at which the descent ends
 AUDIT = 256
 RECALL = 0.99
 MEMBERS = 512
+CENTRES = 16_384  # most ball centres in a block
+SPREAD = 32  # blocks of a label before blocks grow beyond MEMBERS
 SLACK = 1e-5  # single precision in the search; links are verified in double
 
 LISTS = "node long, ids array<long>, sims array<float>"
@@ -245,6 +254,103 @@ def _count_links(threshold: float):
     return run
 
 
+def _cells(column, i: int, dtype=None) -> np.ndarray:
+    """One row of a list column: numbers, or vectors of a binary column."""
+    v = column[i].values
+    if dtype is None:
+        return v.to_numpy(zero_copy_only=False)
+    return np.frombuffer(b"".join(v.to_pylist()), dtype).reshape(len(v), -1)
+
+
+def _near_centres(threshold: float):
+    """Pairs of balls in different components that may hold a link: the
+    centres' angle is at most the threshold's, once more for each ball that
+    has members beside its centre. A sure link of two components stands for
+    their other pairs in the block pair."""
+    angle = np.arccos(np.clip(threshold, -1, 1))
+    limits = np.array([np.cos(min(np.pi, angle * k)) for k in (1, 2, 3)], np.float32) - np.float32(SLACK)
+    sure_at = threshold + SLACK
+
+    def run(batches):
+        for batch in batches:
+            same = batch.column(0).to_pylist()
+            for i in range(len(batch)):
+                (u, cu, fu), (v, cv, fv) = ([_cells(batch.column(k + j), i) for j in range(3)] for k in (1, 5))
+                x, y = (_cells(batch.column(k), i, "<f4") for k in (4, 8))
+                sure = set()
+                for a in range(0, len(u), 1024):
+                    s = x[a:a + 1024] @ y.T
+                    near = (s >= limits[fu[a:a + 1024, None] + fv[None, :]]) & (cu[a:a + 1024, None] != cv[None, :])
+                    if same[i]:
+                        near &= u[a:a + 1024, None] < v[None, :]
+                    r, c = np.nonzero(near)
+                    if not len(r):
+                        continue
+                    good = s[r, c] >= sure_at
+                    r += a
+                    pair = np.stack([np.minimum(cu[r], cv[c]), np.maximum(cu[r], cv[c])], 1)
+                    keep = []
+                    for j in np.argsort(~good, kind="stable"):
+                        key = (pair[j, 0], pair[j, 1])
+                        if key not in sure:
+                            keep.append(j)
+                            if good[j]:
+                                sure.add(key)
+                    if keep:
+                        yield pa.RecordBatch.from_arrays([pa.array(u[r[keep]]), pa.array(v[c[keep]])], names=["bu", "bv"])
+    return run
+
+
+def _link_members(threshold: float):
+    """A link between the members of two balls' blocks, if there is one."""
+    def run(batches):
+        for batch in batches:
+            us, vs = [], []
+            for i in range(len(batch)):
+                s = _cells(batch.column(1), i, "<f8") @ _cells(batch.column(3), i, "<f8").T
+                r, c = np.unravel_index(int(np.argmax(s)), s.shape)
+                if s[r, c] >= threshold:
+                    us.append(batch.column(0)[i][int(r)].as_py())
+                    vs.append(batch.column(2)[i][int(c)].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+    return run
+
+
+def cross_links(nodes: DataFrame, pairs: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): links between nodes (node, lab, len, x) of different components
+    of ``pairs``, at least one for every two components that have any."""
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sym = pairs.select("u", "v").union(pairs.select("v", "u"))
+    rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
+    centres = sym.groupBy("u").agg(F.min(rank("v")).alias("m")).filter(rank("u") < F.col("m")).select(F.col("u").alias("v"))
+    # A node without a neighbour that is a centre is a ball of its own.
+    near = sym.join(centres, "v").groupBy(F.col("u").alias("node")).agg(F.min("v").alias("ball"))
+    balls = hub(nodes.select("node", "lab", "len", "x").join(comp, "node", "left").join(near, "node", "left")
+                .select("node", "lab", "len", "x", F.coalesce("comp", "node").alias("comp"), F.coalesce("ball", "node").alias("ball")))
+    sizes = balls.groupBy("ball").agg(F.count("*").alias("size"))
+    heads = balls.filter("node = ball").join(sizes, "ball").select("node", "lab", "len", "x", "comp", (F.col("size") > 1).cast("int").alias("fat"))
+    small = heads.select("node", "x").mapInArrow(_single, "node long, x binary")
+    heads = hub(heads.drop("x").join(small, "node"))
+    blocks = (heads.groupBy("lab", "len").agg(F.count("*").alias("c"))
+              .select("lab", "len", F.greatest(F.least(F.ceil(F.col("c") / MEMBERS), F.lit(SPREAD)), F.ceil(F.col("c") / CENTRES)).cast("int").alias("g")))
+    cells = hub(heads.join(blocks, ["lab", "len"]).withColumn("b", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+                .groupBy("lab", "len", "b").agg(F.collect_list(F.struct("node", "comp", "fat", "x")).alias("c"))
+                .select("lab", "len", "b", "c.node", "c.comp", "c.fat", "c.x"))
+    tasks = blocks.select("lab", "len", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("p"), "g").select("lab", "len", "p", F.explode(F.sequence("p", F.col("g") - 1)).alias("q"))
+
+    def side(i):
+        return cells.select("lab", "len", F.col("b").alias(i), *(F.col(c).alias(c + "_" + i) for c in ("node", "comp", "fat", "x")))
+    maybe = hub(tasks.repartition(n, "lab", "len", "p", "q").join(side("p"), ["lab", "len", "p"]).join(side("q"), ["lab", "len", "q"])
+                .select(F.expr("p = q").alias("same"), *(c + "_" + i for i in "pq" for c in ("node", "comp", "fat", "x")))
+                .mapInArrow(_near_centres(threshold), "bu long, bv long").distinct())
+    wanted = maybe.select(F.col("bu").alias("ball")).union(maybe.select("bv")).distinct()
+    members = hub(balls.join(wanted, "ball").join(sizes.withColumn("g", F.ceil(F.col("size") / MEMBERS)), "ball")
+                  .withColumn("b", F.pmod(F.xxhash64("node"), F.col("g")))
+                  .groupBy("ball", "b").agg(F.collect_list(F.struct("node", "x")).alias("c")).select("ball", "c.node", "c.x"))
+    return (maybe.join(members.toDF("bu", "nu", "xu"), "bu").join(members.toDF("bv", "nv", "xv"), "bv")
+            .select("nu", "xu", "nv", "xv").mapInArrow(_link_members(threshold), "u long, v long"))
+
+
 def _audit(queries, threshold: float):
     """Links of the audited nodes among a partition's nodes."""
     def run(batches):
@@ -288,7 +394,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
                  .select(F.least("u", "z.ids").alias("u"), F.greatest("u", "z.ids").alias("v")).distinct())
         pairs = (edges.join(x.select(F.col("node").alias("u"), F.col("x").alias("ux")), "u").join(x.select(F.col("node").alias("v"), F.col("x").alias("vx")), "v")
                  .select("u", "v", "ux", "vx").mapInArrow(_verify_pairs(threshold), "u long, v long"))
+        pairs = hub(pairs)
         comp = hub(components(pairs))
+        cross = cross_links(nodes, pairs, comp, threshold)
+        comp = hub(components(comp.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(cross)))
         sizes = comp.groupBy("comp").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("g"))
         blocks = (comp.join(sizes, "comp").withColumn("b", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
                   .select("comp", "node", "b", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))

@@ -269,6 +269,54 @@ def test_dense_cluster_beyond_the_lists(spark):
     assert {(r["n_links"], r["component_id"]) for r in got} == {(699, 0)}
 
 
+def brute_links(x, threshold=0.98):
+    """(links a row, smallest row of the component a row) over all pairs."""
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= threshold
+    np.fill_diagonal(near, False)
+    low = np.arange(len(x))
+    for _ in range(len(x)):
+        new = np.minimum(low, np.where(near, low[None, :], len(x)).min(1))
+        if (new == low).all():
+            break
+        low = new
+    return near.sum(1), low
+
+
+def linked_groups(groups=6, size=60, dim=32):
+    """Tight groups (cosine above 0.99 inside), each linked with the next at
+    0.98-0.985 only, and scattered vectors."""
+    rng = np.random.default_rng(11)
+    base, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
+    step = np.arccos(0.9825)
+    centre = [np.cos(step * g) * base[0] + np.sin(step * g) * base[1] for g in range(groups)]
+    tight = [c + rng.standard_normal(dim) * 0.002 for c in centre for _ in range(size)]
+    return np.array(tight + [rng.standard_normal(dim) for _ in range(200)])
+
+
+def test_tight_groups_that_are_linked_with_each_other(spark):
+    x = linked_groups()
+    links, low = brute_links(x)
+    assert len(set(low[:360])) == 1 and links[:360].min() > 59
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    got = near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(i, int(n), int(c)) for i, (n, c) in enumerate(zip(links, low))]
+
+
+@pytest.mark.parametrize("threshold", [0.98, 0.5])
+def test_links_between_components_need_no_graph(spark, threshold):
+    x = linked_groups(3, 20, 8)
+    links, low = brute_links(x, threshold)
+    vec = [(i, "0", 8, (v / np.linalg.norm(v)).astype("<f8").tobytes()) for i, v in enumerate(x)]
+    nodes = spark.createDataFrame(vec, "node long, lab string, len int, x binary")
+    for pairs in ([], [(i, i + 1) for i in range(59) if i % 20 != 19]):
+        pairs = spark.createDataFrame(pairs, "u long, v long")
+        comp = components(pairs)
+        cross = near_vectors.cross_links(nodes, pairs, comp, threshold)
+        whole = {r["node"]: r["comp"] for r in components(comp.toDF("u", "v").union(cross)).collect()}
+        assert [whole.get(i, i) for i in range(len(x))] == low.tolist()
+
+
 def test_urls(spark):
     def link(to):
         return f'<head><LINK href="{to}" rel="canonical"></head>'

@@ -17,9 +17,12 @@
    this is a pass over all pairs of a label.
 6. The members of every component are compared with each other in pairs of
    bounded blocks, and only link counts leave the task.
-7. Audit: the links of ``AUDIT`` nodes (smallest hashes) are counted against
-   all nodes of their labels; below ``RECALL`` the search starts over with
-   twice the trees and lists.
+7. Audit: the links of ``AUDIT`` nodes (smallest hashes) and of as many nodes
+   that the search has linked are counted against all nodes of their labels;
+   the first sample grows until ``LINKED`` of its nodes have links, up to
+   ``AUDIT_MOST``. Recall is the smaller of its means by link and by node;
+   below ``RECALL`` the operator fails. It is null where only part of the
+   nodes was audited and none of them has a link.
 8. Threshold edges (cosine in double precision) give the components.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and
@@ -45,6 +48,8 @@ FAN = 256
 ROUNDS = 8
 SETTLED = 0.01  # changed entries a round at which the descent ends
 AUDIT = 256
+AUDIT_MOST = 4096
+LINKED = 64
 RECALL = 0.99
 MEMBERS = 512
 CENTRES = 16_384  # most ball centres in a block
@@ -370,6 +375,35 @@ def _audit(queries, threshold: float):
     return run
 
 
+def audited_recall(nodes: DataFrame, links: DataFrame, threshold: float) -> float | None:
+    """The smaller of recall by link and by node of ``links`` (node, links)
+    over audited nodes; None where a part of the nodes shows no link."""
+    spark = nodes.sparkSession
+    columns = ["node", "lab", "len", "x"]
+
+    def first(some, n):
+        return some.select(*columns).orderBy(F.xxhash64("node"), "node").limit(n).collect()
+
+    def check(picked):
+        queries = spark.sparkContext.broadcast([(r["node"], r["lab"], r["len"], bytes(r["x"])) for r in picked])
+        true = (nodes.select("node", "lab", "len", "mult", "x").mapInArrow(_audit(queries, threshold), "node long, true_links long")
+                .groupBy("node").agg(F.sum("true_links").alias("t")).filter("t > 0"))
+        return [(r["t"], min(r["t"], r["f"])) for r in true.join(links, "node", "left").select("t", F.coalesce("links", F.lit(0)).alias("f")).collect()]
+    size = AUDIT
+    while True:
+        picked = first(nodes, size)
+        found = check(picked)
+        whole = len(picked) < size
+        if whole or len(found) >= LINKED or size >= AUDIT_MOST:
+            break
+        size *= 4
+    samples = [found]
+    if not whole:
+        samples.append(check(first(nodes.join(links.filter("links > 0").select("node"), "node", "left_semi"), AUDIT)))
+    recalls = [r for s in samples if s for r in (sum(f for _, f in s) / sum(t for t, _ in s), sum(f / t for t, f in s) / len(s))]
+    return min(recalls) if recalls else 1.0 if whole else None
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding",
                  label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept, audit_recall) of every row."""
@@ -382,38 +416,30 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     unit = reps.select("node", "e").mapInArrow(_normalise, "node long, x binary")
     nodes = hub(reps.select("node", "lab", F.size("e").alias("len"), "mult").join(unit, "node"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    picked = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDIT).select("node", "lab", "len", "x").collect()
-    queries = spark.sparkContext.broadcast([(r["node"], r["lab"], r["len"], bytes(r["x"])) for r in picked])
-    truth = hub(nodes.select("node", "lab", "len", "mult", "x").mapInArrow(_audit(queries, threshold), "node long, true_links long")
-                .groupBy("node").agg(F.sum("true_links").alias("true_links")))
     x = nodes.select("node", "x")
-    k, trees = K, TREES
-    for attempt in range(3):
-        graph = neighbour_graph(nodes, threshold, k, trees)
-        edges = (graph.select(F.col("node").alias("u"), F.explode(F.arrays_zip("ids", "sims")).alias("z")).filter(F.col("z.sims") >= threshold - SLACK)
-                 .select(F.least("u", "z.ids").alias("u"), F.greatest("u", "z.ids").alias("v")).distinct())
-        pairs = (edges.join(x.select(F.col("node").alias("u"), F.col("x").alias("ux")), "u").join(x.select(F.col("node").alias("v"), F.col("x").alias("vx")), "v")
-                 .select("u", "v", "ux", "vx").mapInArrow(_verify_pairs(threshold), "u long, v long"))
-        pairs = hub(pairs)
-        comp = hub(components(pairs))
-        cross = cross_links(nodes, pairs, comp, threshold)
-        comp = hub(components(comp.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(cross)))
-        sizes = comp.groupBy("comp").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("g"))
-        blocks = (comp.join(sizes, "comp").withColumn("b", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-                  .select("comp", "node", "b", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
-                  .select("comp", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", "node"))
-        members = blocks.join(nodes.select("node", "mult", "x"), "node").select("comp", "p", "q", "b", "node", "mult", "x")
-        links = hub(members.repartition(n, "comp", "p", "q").sortWithinPartitions("comp", "p", "q", "node").mapInArrow(_count_links(threshold), "node long, links long")
-                    .groupBy("node").agg(F.sum("links").alias("links")))
-        seen = truth.join(links, "node", "left").agg(F.sum(F.least("true_links", F.coalesce("links", F.lit(0)))).alias("f"), F.sum("true_links").alias("t")).first()
-        recall = seen["f"] / seen["t"] if seen["t"] else 1.0
-        if recall >= RECALL:
-            break
-        k, trees = 2 * k, 2 * trees
+    graph = neighbour_graph(nodes, threshold)
+    edges = (graph.select(F.col("node").alias("u"), F.explode(F.arrays_zip("ids", "sims")).alias("z")).filter(F.col("z.sims") >= threshold - SLACK)
+             .select(F.least("u", "z.ids").alias("u"), F.greatest("u", "z.ids").alias("v")).distinct())
+    pairs = (edges.join(x.select(F.col("node").alias("u"), F.col("x").alias("ux")), "u").join(x.select(F.col("node").alias("v"), F.col("x").alias("vx")), "v")
+             .select("u", "v", "ux", "vx").mapInArrow(_verify_pairs(threshold), "u long, v long"))
+    pairs = hub(pairs)
+    comp = hub(components(pairs))
+    cross = cross_links(nodes, pairs, comp, threshold)
+    comp = hub(components(comp.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(cross)))
+    sizes = comp.groupBy("comp").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("g"))
+    blocks = (comp.join(sizes, "comp").withColumn("b", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+              .select("comp", "node", "b", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
+              .select("comp", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", "node"))
+    members = blocks.join(nodes.select("node", "mult", "x"), "node").select("comp", "p", "q", "b", "node", "mult", "x")
+    links = hub(members.repartition(n, "comp", "p", "q").sortWithinPartitions("comp", "p", "q", "node").mapInArrow(_count_links(threshold), "node long, links long")
+                .groupBy("node").agg(F.sum("links").alias("links")))
+    recall = audited_recall(nodes, links, threshold)
+    if recall is not None and recall < RECALL:
+        raise RuntimeError(f"near_vectors: the audit found a recall of {recall:.4f}, below {RECALL}")
     named = reps.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(links, "node", "left")
     low = named.groupBy("comp").agg(F.min("low_id").alias("component_id"))
     marked = named.join(low, "comp").select("lab", "e", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), "component_id")
     linked = good.join(marked, ["lab", "e"]).select("vec_id", F.col("links").alias("n_links"), "component_id")
     alone = rows.filter(~valid).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return (linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
-            .withColumn("audit_recall", F.lit(float(recall))))
+            .withColumn("audit_recall", F.lit(recall).cast("double")))

@@ -317,6 +317,31 @@ def test_links_between_components_need_no_graph(spark, threshold):
         assert [whole.get(i, i) for i in range(len(x))] == low.tolist()
 
 
+def test_audit_sees_lost_links(spark):
+    rng = np.random.default_rng(12)
+    unit = lambda v: (v / np.linalg.norm(v)).astype("<f8").tobytes()
+    hot, alone = rng.standard_normal(16), rng.standard_normal((3, 100, 16))
+    vec = [hot + rng.standard_normal(16) * 0.001 for _ in range(300)] + [v for a in alone[0] for v in (a, a * 1.5 + 1e-6)] + list(alone[1]) + list(alone[2])
+    nodes = spark.createDataFrame([(i, "0", 16, 1, unit(v)) for i, v in enumerate(vec)], "node long, lab string, len int, mult long, x binary")
+    found = [(i, 299) for i in range(300)] + [(i, 1) for i in range(300, 500)]
+    links = spark.createDataFrame(found, "node long, links long")
+    assert near_vectors.audited_recall(nodes, links, 0.98) == 1.0
+    # By link all lost pairs are under 0.3 %, by node two in five.
+    assert near_vectors.audited_recall(nodes, links.filter("node < 300"), 0.98) < 0.8
+    sparse = nodes.filter("node >= 500")
+    assert near_vectors.audited_recall(sparse.limit(50), links, 0.98) == 1.0
+    many = spark.range(20_000).select("id", F.lit("0").alias("lab"), F.lit(2).alias("len"), F.lit(1).alias("mult"), F.lit(unit(np.array([1.0, 0]))).alias("x")).toDF("node", "lab", "len", "mult", "x")
+    assert near_vectors.audited_recall(many, links.filter("node < 0"), 0.98) == 0.0
+    assert near_vectors.audited_recall(many, links.filter("node < 0"), 1.5) is None
+
+
+def test_a_bad_audit_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "audited_recall", lambda *a: 0.5)
+    df = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [1.0, 0.1], 0)], "vec_id long, embedding array<double>, label int")
+    with pytest.raises(RuntimeError):
+        near_vectors.near_vectors(df)
+
+
 def test_urls(spark):
     def link(to):
         return f'<head><LINK href="{to}" rel="canonical"></head>'

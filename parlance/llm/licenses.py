@@ -1,7 +1,10 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance.
 
-Every sentence of a file (line ends and ". " separate) and every licence
-file's whole text is compared with the templates. Terms are the templates'
+Every sentence of a file (line ends and ". " separate), every window of
+consecutive sentences of at most ``SLACK`` times the words of the longest
+template, and every licence file's whole text is compared with the templates,
+so notices wrapped over lines are read whole. Full licence texts are known by
+their titles and the notices in them. Terms are the templates'
 words; idf comes from the files that hold a term, over all files; a word that
 no template has counts in the norm with the largest idf. The best cosine at or
 above ``threshold`` names the file's own licence. A file without one takes the
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import hub
 
 THRESHOLD = 0.75
+SLACK = 1.5
+CHUNK = 2048  # sentences compared at once
 # Usual notice sentences of common licences.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -38,6 +43,13 @@ TEMPLATES = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
@@ -62,26 +74,42 @@ class Scanner:
     def __init__(self, templates, df: dict[bytes, int] | None = None, n: int = 0):
         words = [[w for s in sentences(t) for w in s] for _, t in templates]
         self.names = [x for x, _ in templates]
+        self.longest = int(SLACK * max(map(len, words)))
         self.terms = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
         idf = [math.log((1 + n) / (1 + (df or {}).get(w, 0))) + 1 for w in self.terms]
         self.idf = np.array(idf + [math.log(1 + n) + 1])  # the last: words of no template
         m = np.stack([np.bincount([self.terms[w] for w in ws], minlength=len(self.terms)) for ws in words]) * self.idf[:-1]
         self.matrix = (m / np.linalg.norm(m, axis=1, keepdims=True)).T
 
+    def _cosines(self, tf: np.ndarray) -> np.ndarray:
+        v = tf[:, :-1] * self.idf[:-1]
+        return (v @ self.matrix) / np.sqrt((v * v).sum(1) + tf[:, -1] * self.idf[-1] ** 2)[:, None]
+
     def best(self, parts: list[list[bytes]]) -> tuple[str | None, float, int]:
-        """(licence, cosine, index of the part) of the best matching part."""
-        if not parts:
-            return None, 0.0, -1
+        """(licence, cosine, index of the first part) of the best matching
+        part or window of consecutive parts."""
+        found = (None, 0.0, -1)
         get, other = self.terms.get, len(self.terms)
-        ids = np.array([get(w, other) for p in parts for w in p])
-        of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        tf = np.bincount(of * (other + 1) + ids, minlength=len(parts) * (other + 1)).reshape(len(parts), -1)
-        v = tf[:, :-1] * self.idf[:-1]
-        norm = np.sqrt((v * v).sum(1) + tf[:, -1] * self.idf[-1] ** 2)
-        cos = (v @ self.matrix) / norm[:, None]
-        at = int(np.argmax(cos))
-        part, name = divmod(at, cos.shape[1])
-        return self.names[name], float(cos[part, name]), part
+        for start in range(0, len(parts), CHUNK):
+            # A part has a word at least, so no window spans more parts.
+            some = parts[start:start + CHUNK + self.longest]
+            ids = np.array([get(w, other) for p in some for w in p])
+            size = np.array([len(p) for p in some])
+            of = np.repeat(np.arange(len(some)), size)
+            tf = np.bincount(of * (other + 1) + ids, minlength=len(some) * (other + 1)).reshape(len(some), -1)
+            upto = np.concatenate((np.zeros((1, other + 1), tf.dtype), np.cumsum(tf, 0)))
+            words = np.concatenate(([0], np.cumsum(size)))
+            for k in range(1, len(some) + 1):
+                at = np.arange(min(CHUNK, len(some) - k + 1))
+                if k > 1:
+                    at = at[words[at + k] - words[at] <= self.longest]
+                    if not len(at):
+                        break
+                cos = self._cosines(upto[at + k] - upto[at])
+                i, name = divmod(int(np.argmax(cos)), cos.shape[1])
+                if cos[i, name] > found[1]:
+                    found = (self.names[name], float(cos[i, name]), start + int(at[i]))
+        return found
 
 
 def _doc_counts(templates):
@@ -105,9 +133,9 @@ def _scan(shared, threshold: float):
             out = []
             for t, whole in zip(texts, files):
                 parts = sentences(t)
-                if whole and parts:
-                    parts = [*parts, [w for p in parts for w in p]]
                 name, score, _ = s.best(parts)
+                if whole and parts:
+                    name, score, _ = max((name, score, 0), s.best([[w for p in parts for w in p]]), key=lambda x: x[1])
                 out.append((name if score >= threshold else None, score))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], names=["doc_id", "path", "is_file", "own", "score"])
     return run

@@ -378,6 +378,33 @@ def test_licenses(spark, none):
     assert licenses.scan_licenses(df.filter("doc_id < 0"), F.col("p"), F.col("f")).count() == 0
 
 
+GPL = """# This program is free software{0} you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation{1} either version {2} of the License, or
+# (at your option) any later version.
+"""
+BSD = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:
+"""
+MIT = """// Permission is hereby granted, free of charge, to any person
+// obtaining a copy of this software and associated documentation
+// files (the "Software"), to deal in the Software without restriction
+"""
+
+
+def test_wrapped_license_headers(spark):
+    code = "def f(x):\n    return x + 1\n\nimport os\n" * 30
+    long = code * 50  # longer than a chunk of sentences
+    heads = [(1, GPL.format(";", ";", 2), "GPL-2.0"), (2, GPL.format(":", ",", 3), "GPL-3.0"), (3, BSD, "BSD-3-Clause"), (4, MIT, "MIT"), (5, "", None),
+             (6, "                GNU GENERAL PUBLIC LICENSE\n                   Version 2, June 1991\n", "GPL-2.0"), (7, "          GNU GENERAL PUBLIC LICENSE\n             Version 3, 29 June 2007\n", "GPL-3.0"),
+             (8, "      Apache License\n   Version 2.0, January 2004\nhttp://www.apache.org/licenses/\n", "Apache-2.0")]
+    rows = [(i, "f/" + str(i), code + h + code) for i, h, _ in heads] + [(10 + i, "g/" + str(i), long + h) for i, h, _ in heads]
+    df = spark.createDataFrame(rows, "doc_id long, p string, text string")
+    got = {r["doc_id"]: r["own"] for r in licenses.scan_licenses(df, F.col("p"), F.lit(False)).collect()}
+    assert got == {k + i: name for i, _, name in heads for k in (0, 10)}
+
+
 def test_pipeline_stages(spark, docs, none):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "decontamination", "packing"]
     for stage in (s for _, s in corpus_pipeline.STAGES[:-1]):

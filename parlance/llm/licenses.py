@@ -9,7 +9,8 @@ words; idf comes from the files that hold a term, over all files; a word that
 no template has counts in the norm with the largest idf. The best cosine at or
 above ``threshold`` names the file's own licence. A file without one takes the
 licence of the nearest ancestor directory that has a licence file: the
-directory's ancestors are exploded and joined on the path.
+directory's ancestors, the root ('') among them, are exploded and joined on
+the path.
 
 Words are the runs of ASCII letters and digits and of all other non-ASCII
 characters, lower-cased. Null and empty texts have no licence; a null path
@@ -157,8 +158,9 @@ def scan_licenses(files: DataFrame, path, is_file, threshold: float = THRESHOLD,
     named = (own.filter("is_file and own is not null and dir is not null").groupBy("dir")
              .agg(F.min_by("own", F.struct(-F.col("score"), "path")).alias("license")))
     parts = F.split("dir", "/")
+    ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     above = (own.filter("own is null and dir is not null").select("dir").distinct()
-             .select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("up")))
+             .select("dir", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), ups))).alias("up")))
     taken = (above.join(named.select(F.col("dir").alias("up"), "license"), "up").groupBy("dir")
              .agg(F.max_by(F.struct("license", "up"), F.length("up")).alias("x")).select("dir", "x.license", F.col("x.up").alias("origin")))
     got = own.join(taken, "dir", "left")

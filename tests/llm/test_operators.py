@@ -378,6 +378,14 @@ def test_licenses(spark, none):
     assert licenses.scan_licenses(df.filter("doc_id < 0"), F.col("p"), F.col("f")).count() == 0
 
 
+def test_license_at_the_root(spark):
+    rows = [(1, "LICENSE", "Released under the MIT License.", True), (2, "src/a.py", "code", False), (3, "b.py", "code", False), (4, "/abs/c.py", "code", False), (5, None, "code", False),
+            (6, "src/x/LICENSE", "Licensed under CC BY 4.0.", True), (7, "src/x/y/d.py", "code", False)]
+    df = spark.createDataFrame(rows, "doc_id long, p string, text string, f boolean")
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in licenses.scan_licenses(df, F.col("p"), F.col("f")).collect()}
+    assert got == {1: ("MIT", None), 2: ("MIT", ""), 3: ("MIT", ""), 4: ("MIT", ""), 5: (None, None), 6: ("CC-BY-4.0", None), 7: ("CC-BY-4.0", "src/x")}
+
+
 GPL = """# This program is free software{0} you can redistribute it and/or modify
 # it under the terms of the GNU General Public License as published by
 # the Free Software Foundation{1} either version {2} of the License, or

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from . import decontam, licenses, lm, near_vectors, packing, sharding, simhash, token_files, toxicity, urls
+from . import (decontam, hard_negatives, licenses, line_dedup, lm, near_vectors, packing, ranked_search, sharding, simhash,
+               token_files, toxicity, urls)
 from .common import fold, shared_folder, table
 from .tokens import default_tokenizer
 
@@ -116,3 +117,20 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 def op10(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op11_line_dedup", line_dedup.ORACLE)
+def op11(spark, sf_dir):
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=5, min_chars=40)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op12_hard_negatives", hard_negatives.ORACLE)
+def op12(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+@query("op13_ranked_search", ranked_search.ORACLE)
+def op13(spark, sf_dir):
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)

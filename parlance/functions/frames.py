@@ -82,3 +82,27 @@ def grouped_prefix_sum(df: DataFrame, group: str, order: str, value: str, out_co
         Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
     return (r.withColumn("_loc", local).join(prev, [group, "_pid"])
             .withColumn(out_col, F.col("_prev") + F.col("_loc")).drop("_pid", "_loc", "_prev"))
+
+
+def carry_last(df: DataFrame, order: list[str], value: str, out_col: str, group: str | None = None,
+               partitions: int | None = None) -> DataFrame:
+    """The last non-null ``value`` at or before each row in ``order`` (unique
+    within a ``group``), without a one-task window: range-partition by the
+    order, carry inside each partition, and hand the last value of the earlier
+    partitions on (a table of partitions × groups present, small). One group,
+    or one value, may hold all rows."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    g = [group] if group else []
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = cut_lineage(df.repartitionByRange(n, *g, *order).withColumn("_pid", F.spark_partition_id()))
+    upto = Window.partitionBy("_pid", *g).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = r.groupBy(*g, "_pid").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_end"))
+    before = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    prev = ends.withColumn("_prev", F.last("_end", ignorenulls=True).over(before)).drop("_end")
+    carried = r.withColumn("_loc", F.last(value, ignorenulls=True).over(upto))
+    on = carried["_pid"] == prev["_pid"]
+    if group:
+        on = on & carried[group].eqNullSafe(prev[group])
+    return (carried.join(prev, on, "left").select(*[carried[c] for c in df.columns],
+                                                  F.coalesce(carried["_loc"], prev["_prev"]).alias(out_col)))

@@ -124,3 +124,31 @@ def wilcoxon_zsplit(d: np.ndarray, alternative: str = "two-sided"):
     else:
         p = min(1.0, 2.0 * min(greater, less))
     return float(r_plus), p
+
+
+def signed_rank_p(n: int, w: float, ties: float, zeros: int, alternative: str) -> float:
+    """Normal approximation of the signed-rank p-value with tie correction
+    (``ties``: sum of c³ − c over the groups of equal |d|)."""
+    var = n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0
+    z = (w - n * (n + 1) / 4.0) / math.sqrt(var) if var > 0 else 0.0
+    return one_of(norm_sf(z), norm_sf(-z), alternative)
+
+
+def one_of(greater: float, less: float, alternative: str) -> float:
+    return greater if alternative == "greater" else less if alternative == "less" else min(1.0, 2.0 * min(greater, less))
+
+
+def signed_rank_exact(doubled: list[int], counts: list[int], plus: int, alternative: str) -> float:
+    """Exact p-value given the ranks: every non-zero difference takes its sign
+    at random. ``doubled`` are twice the average ranks of the tie groups (whole
+    numbers), ``counts`` their sizes, ``plus`` twice the observed rank sum of
+    the positive differences. The number of sign choices with each sum is
+    built up rank by rank, as shares of all."""
+    share = np.zeros(sum(r * c for r, c in zip(doubled, counts)) + 1)
+    share[0] = 1.0
+    for r, c in zip(doubled, counts):
+        for _ in range(c):
+            moved = np.zeros_like(share)
+            moved[r:] = share[:-r]
+            share = (share + moved) / 2
+    return one_of(min(1.0, float(share[plus:].sum())), min(1.0, float(share[:plus + 1].sum())), alternative)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.frames import cut_lineage, global_rank
+from ..functions.frames import carry_last, cut_lineage, global_rank, grouped_prefix_sum
 
 EPS = np.finfo(float).eps
 # A fit runs many short jobs: smaller partitions than this are merged first.
@@ -152,6 +152,16 @@ def apply_matrix(df: DataFrame, features_col: str, mat: np.ndarray, shift: np.nd
 
 # --- K06: CORAL ---------------------------------------------------------------
 
+def coral_matrix(ns: int, cs: np.ndarray, nt: int, ct: np.ndarray, lambda_: float = 1.0):
+    """(matrix, source deviations, target deviations) from the domains' sizes
+    and covariances. Scaled by population deviations; covariances keep n - 1."""
+    std_s, std_t = np.sqrt(np.diag(cs) * (ns - 1) / max(ns, 1)), np.sqrt(np.diag(ct) * (nt - 1) / max(nt, 1))
+    unit_s, unit_t = np.where(std_s > 0, std_s, 1), np.where(std_t > 0, std_t, 1)
+    eye = lambda_ * np.eye(cs.shape[0])
+    matrix = _sym_pow(cs / np.outer(unit_s, unit_s) + eye, -0.5) @ _sym_pow(ct / np.outer(unit_t, unit_t) + eye, 0.5)
+    return matrix, std_s, std_t
+
+
 class Coral:
     """Standardise each domain by its own mean / std, then map the source
     with Cs^(-1/2) · Ct^(1/2) where C = cov + λI (λ = 1 as in the reference)."""
@@ -162,13 +172,7 @@ class Coral:
     def fit(self, df: DataFrame) -> "Coral":
         ns, self.mean_s, cs = domain_moments(df, self.features_col, 0, self.domain_col)
         nt, self.mean_t, ct = domain_moments(df, self.features_col, 1, self.domain_col)
-        # Scaled by population deviations; covariances keep n - 1.
-        self.std_s = np.sqrt(np.diag(cs) * (ns - 1) / max(ns, 1))
-        self.std_t = np.sqrt(np.diag(ct) * (nt - 1) / max(nt, 1))
-        rs = cs / np.outer(np.where(self.std_s > 0, self.std_s, 1), np.where(self.std_s > 0, self.std_s, 1))
-        rt = ct / np.outer(np.where(self.std_t > 0, self.std_t, 1), np.where(self.std_t > 0, self.std_t, 1))
-        d = cs.shape[0]
-        self.matrix = _sym_pow(rs + self.lambda_ * np.eye(d), -0.5) @ _sym_pow(rt + self.lambda_ * np.eye(d), 0.5)
+        self.matrix, self.std_s, self.std_t = coral_matrix(ns, cs, nt, ct, self.lambda_)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -504,6 +508,40 @@ def weighted_bootstrap(df: DataFrame, weight_col: str, n: int | None = None, see
         "_k", "_rep", "_ws", "_n", "_parts", "_lam", "_part", "_u")
 
 
+def bootstrap_draw(seed: int, i):
+    """The uniform number in [0, 1) of draw ``i``: 52 bits of its md5."""
+    text = F.concat(F.lit(f"{seed}:"), i.cast("string"))
+    return F.conv(F.substr(F.md5(text), F.lit(1), F.lit(13)), 16, 10).cast("double") / float(1 << 52)
+
+
+def bootstrap(df: DataFrame, weight_col: str, key: str, n: int | None = None, seed: int = 0,
+              draw_col: str = "draw") -> DataFrame:
+    """Exactly ``n`` rows (default: as many as ``df`` has) drawn with
+    replacement, with probability ∝ weight; ``draw_col`` numbers the draws.
+
+    Rows take intervals of the total weight in ``key`` order (a distributed
+    prefix sum), draw i is a point hashed from (seed, i), and each point takes
+    the last interval that begins at or before it: points and intervals are
+    put in one order and the rows are carried forward over range partitions.
+    So the sample is the same whatever the partitions, a row of a third of the
+    weight is drawn by many tasks, and nothing is joined. Rows of weight 0 or
+    null are never drawn; a table without weight gives no rows. Keys must be
+    unique."""
+    rows = df.filter(F.col(weight_col) > 0).select(F.struct(*df.columns).alias("_row"), F.col(key).alias("_key"),
+                                                   F.col(weight_col).cast("double").alias("_w"), F.lit(0).alias("_one"))
+    placed = grouped_prefix_sum(rows, "_one", "_key", "_w", "_at")
+    total = placed.agg(F.sum("_w").alias("t")).first()["t"]
+    if not total:
+        return df.limit(0).withColumn(draw_col, F.lit(0).cast("long"))
+    size = df.count() if n is None else n
+    draws = df.sparkSession.range(size).select((bootstrap_draw(seed, F.col("id")) * total).alias("_at"), F.lit(1).alias("_kind"),
+                                               F.col("id").cast("string").alias("_tie"), F.col("id").alias(draw_col))
+    both = placed.select(F.col("_at").cast("double").alias("_at"), F.lit(0).alias("_kind"), F.col("_key").cast("string").alias("_tie"), "_row").unionByName(
+        draws, allowMissingColumns=True)
+    drawn = carry_last(both, ["_at", "_kind", "_tie"], "_row", "_drawn").filter("_kind = 1")
+    return drawn.select(*[F.col("_drawn")[c].alias(c) for c in df.columns], draw_col)
+
+
 class TwoStageTrAdaBoostR2:
     """Outer loop over ``n_estimators`` steps. Each step scores the
     current weights by target-slice cross-validation (K16), fits the
@@ -579,14 +617,17 @@ class AdaptedEstimator:
     the rows with a weighter returning a ``_w`` column (e.g. the final
     weights of ``TrAdaBoost``), then fit the base estimator on the source
     (or on both domains when ``train_domains`` says so); at predict time the
-    target goes through the same transform."""
+    target goes through the same transform. With ``bootstrap_key`` (a unique
+    column) an estimator that takes no weights is fitted on an exact weighted
+    bootstrap sample instead (K18)."""
 
     def __init__(self, make_estimator, adapter=None, weighter=None, features_col: str = "features",
-                 domain_col: str = "domain", train_domains=(0,)):
+                 domain_col: str = "domain", train_domains=(0,), bootstrap_key: str | None = None, seed: int = 0):
         if (adapter is None) == (weighter is None):
             raise ValueError("give exactly one of adapter (transform) or weighter (reweight)")
         self.make_estimator, self.adapter, self.weighter = make_estimator, adapter, weighter
         self.features_col, self.domain_col, self.train_domains = features_col, domain_col, list(train_domains)
+        self.bootstrap_key, self.seed = bootstrap_key, seed
 
     def _vec(self, df):
         return df.withColumn(self.features_col, array_to_vector(F.col(self.features_col)))
@@ -599,6 +640,10 @@ class AdaptedEstimator:
             self.model_ = self.make_estimator(moved.count(), None).fit(moved)
         else:
             weighted = self.weighter(df).filter(F.col(self.domain_col).isin(self.train_domains))
+            if self.bootstrap_key:
+                drawn = cut_lineage(bootstrap(check_sample_weight(weighted, "_w"), "_w", self.bootstrap_key, seed=self.seed).drop("draw"))
+                self.model_ = self.make_estimator(drawn.count(), None).fit(self._vec(drawn))
+                return self
             n = weighted.count()
             mean_w = weighted.agg(F.avg("_w")).first()[0]
             w = self._vec(weighted.withColumn("_sw", F.col("_w") / mean_w))

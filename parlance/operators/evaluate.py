@@ -1,9 +1,11 @@
 """L (folds) and M (metrics, feature weights, significance).
 
 Folds are columns, never materialised copies: a fold id per row, and a
-training set is ``fold != k``. Fold assignment is rank-based (deterministic,
-reproducible in SQL): groups are ranked by size (largest first, id breaks
-ties) and dealt to folds in snake order. Ranking is a range shuffle of the
+training set is ``fold != k``. Fold assignment is greedy (deterministic,
+reproducible in SQL): groups in descending size (id breaks ties) go to the
+lightest fold, the first on ties. Groups of one size are a run; a run is dealt
+in periods, so the driver sees a row per distinct size and plans rank ranges,
+and the groups get their folds by rank. Ranking is a range shuffle of the
 one-row-per-group table (``frames.global_rank``).
 
 Metrics are conditional counts over (label, prediction); p-values are
@@ -12,6 +14,8 @@ computed by pandas UDFs on the aggregated rows only.
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -20,47 +24,80 @@ from pyspark.sql import types as T
 
 from ..functions import stats as st
 from ..functions import text as tx
-from ..functions.frames import global_rank
+from ..functions.frames import carry_last, cut_lineage, global_rank, grouped_prefix_sum
 
 
 # --- L: folds ---------------------------------------------------------------
 
-def _snake(rank, k: int):
-    r = rank % k
-    return F.when(F.floor(rank / k) % 2 == 0, r).otherwise(k - 1 - r)
-
-
-def group_ranks(groups: DataFrame, group_col: str, size_col: str = "size", by: list[str] | None = None) -> DataFrame:
-    """0-based rank of each group by (size desc, group id), within the values
-    of ``by``: an exact distributed rank over (by, size desc, group), less
-    the first rank of the row's ``by`` values. Most groups share one small
-    size, so neither a window a size class nor one over all groups is used."""
-    by = by or []
-    ranked = global_rank(groups.withColumn("_neg", -F.col(size_col)), [*by, "_neg", group_col], out_col="grank").drop("_neg")
-    if not by:
-        return ranked
-    first = ranked.groupBy(*by).agg(F.min("grank").alias("_first"))
-    return ranked.join(first, by).withColumn("grank", F.col("grank") - F.col("_first")).drop("_first")
+def greedy_ranges(runs, k: int):
+    """Folds of groups dealt one by one to the lightest fold, from runs
+    (size, count) in descending size: (first rank, ranks, folds), the group of
+    the range's i-th rank being in fold ``folds[i % len(folds)]``.
+
+    Within a run, the folds lighter than the lightest one plus the size each
+    get one group a period, in order of weight; that repeats until the next
+    heavier fold joins them. So a run takes at most k periods, however many
+    groups it has."""
+    loads, rank = [0] * k, 0
+    for size, count in runs:
+        while count:
+            order = sorted(range(k), key=lambda f: (loads[f], f))
+            low = loads[order[0]]
+            active = [f for f in order if loads[f] < low + size]
+            periods = count // len(active)
+            if len(active) < k:
+                periods = min(periods, (loads[order[len(active)]] - low) // size)
+            if not periods:  # fewer groups than active folds are left
+                active, periods = active[:count], 1
+            for f in active:
+                loads[f] += periods * size
+            n = periods * len(active)
+            yield rank, n, active
+            rank, count = rank + n, count - n
+
+
+# Rank ranges that are broadcast; more of them are joined by shuffle.
+BROADCAST_RANGES = 20_000
+
+
+def greedy_folds(groups: DataFrame, k: int, group_col: str, size_col: str = "size", by: list[str] | None = None) -> DataFrame:
+    """(group, fold) for a table of one row a group; within each value of
+    ``by`` the folds start empty. Distinct sizes are few (their sum is at most
+    the number of rows), so the runs pass through the driver."""
+    spark, by = groups.sparkSession, by or []
+    groups = cut_lineage(groups)
+    ranked = global_rank(groups.withColumn("_neg", -F.col(size_col)), [*by, "_neg", group_col], out_col="grank")
+    runs = groups.groupBy(*by, size_col).agg(F.count("*").alias("_c")).orderBy(*by, F.desc(size_col))
+    ranges, base = [], 0
+    for _, part in groupby(runs.toLocalIterator(), key=lambda r: tuple(r[c] for c in by)):
+        sizes = [(r[size_col], r["_c"]) for r in part]
+        ranges += [(base + start, base + start + n, folds) for start, n, folds in greedy_ranges(sizes, k)]
+        base += sum(c for _, c in sizes)
+    table = spark.createDataFrame(ranges, "_from long, _to long, _folds array<int>")
+    if len(ranges) <= BROADCAST_RANGES:
+        found = ranked.join(F.broadcast(table), (F.col("grank") >= F.col("_from")) & (F.col("grank") < F.col("_to")))
+    else:
+        both = ranked.select(F.col("grank").alias("_from"), F.lit(1).alias("_kind"), group_col).unionByName(
+            table.select("_from", F.lit(0).alias("_kind"), F.struct("_from", "_folds").alias("_range")), allowMissingColumns=True)
+        found = (carry_last(both, ["_from", "_kind"], "_range", "_r").filter("_kind = 1")
+                 .select(group_col, F.col("_from").alias("grank"), F.col("_r._from").alias("_from"), F.col("_r._folds").alias("_folds")))
+    return found.select(group_col, F.get("_folds", ((F.col("grank") - F.col("_from")) % F.size("_folds")).cast("int")).alias("fold"))
 
 
 def group_kfold(df: DataFrame, k: int = 5, group_col: str = "group_id") -> DataFrame:
-    """No group on both sides; large groups spread first (snake deal of
-    size-ranked groups)."""
+    """No group on both sides; the largest groups first, each to the
+    fold with the fewest rows."""
     groups = df.groupBy(group_col).agg(F.count("*").alias("size"))
-    ranked = group_ranks(groups, group_col)
-    folds = ranked.select(group_col, _snake(F.col("grank"), k).cast("int").alias("fold"))
-    return df.join(folds, group_col)
+    return df.join(greedy_folds(groups, k, group_col), group_col)
 
 
 def stratified_group_kfold(df: DataFrame, k: int = 5, group_col: str = "group_id",
                            label_col: str = "label") -> DataFrame:
-    """Groups ranked by size inside their majority label, snake-dealt,
-    so each fold keeps the class mix."""
+    """Groups are dealt as in L01 inside their majority label, so each
+    fold keeps the class mix."""
     g = df.groupBy(group_col).agg(F.count("*").alias("size"),
                                   F.mode(label_col, deterministic=True).alias("_maj"))
-    ranked = group_ranks(g, group_col, by=["_maj"])
-    folds = ranked.select(group_col, _snake(F.col("grank"), k).cast("int").alias("fold"))
-    return df.join(folds, group_col)
+    return df.join(greedy_folds(g, k, group_col, by=["_maj"]), group_col)
 
 
 def leave_one_out(df: DataFrame, key: str = "filename") -> DataFrame:
@@ -280,30 +317,59 @@ def paired_t(scores: DataFrame, a: str, b: str, on: str = "fold", metric_cols=("
                     (F.col("n") - 1).alias("df"), alt.alias("alternative"))
 
 
+EXACT_PAIRS = 1000  # pairs up to which the exact null distribution is built
+
+
+@F.pandas_udf(T.StructType([T.StructField("p_value", T.DoubleType()), T.StructField("p_exact", T.DoubleType())]))
+def _signed_rank_p(n: pd.Series, w: pd.Series, ties: pd.Series, zeros: pd.Series, alt: pd.Series, groups: pd.Series) -> pd.DataFrame:
+    out = []
+    for n_, w_, t, z, a, g in zip(n, w, ties, zeros, alt, groups):
+        exact = None
+        if n_ <= EXACT_PAIRS:
+            g = [] if g is None else list(g)
+            exact = st.signed_rank_exact([int(x["doubled"]) for x in g], [int(x["c"]) for x in g], round(2 * w_ - z * (z + 1) / 2), a)
+        out.append((exact if exact is not None and not t and not z else st.signed_rank_p(n_, w_, t, z, a), exact))
+    return pd.DataFrame(out, columns=["p_value", "p_exact"])
+
+
+def signed_ranks(pairs: DataFrame, by: str = "metric") -> DataFrame:
+    """Rank sums of paired differences ``d`` (with ``va``, ``vb``) per ``by``:
+    n, w (rank sum of the positive differences, zeros split half and half),
+    zeros, ties (sum of c³ − c), the direction of the means, and the tie groups
+    (``doubled`` average rank, count) where n is at most EXACT_PAIRS.
+
+    Equal |d| are counted first; a group's average rank is the number of pairs
+    before it (a distributed prefix sum over the groups) plus (c + 1) / 2. So
+    no task ranks all pairs of a metric."""
+    g = pairs.groupBy(by, F.abs("d").alias("a")).agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("up"),
+                                                     F.sum("va").alias("va"), F.sum("vb").alias("vb"))
+    r = cut_lineage(grouped_prefix_sum(g, by, "a", "c", "before").withColumn("doubled", 2 * F.col("before") + F.col("c") + 1))
+    zero = F.col("a") == 0
+    rank = F.col("doubled") / 2
+    s = r.groupBy(by).agg(
+        F.sum("c").alias("n"), F.sum(rank * F.col("up") + F.when(zero, rank * F.col("c") / 2).otherwise(0)).alias("w"),
+        F.coalesce(F.sum(F.when(zero, F.col("c"))), F.lit(0)).alias("zeros"),
+        F.sum((F.col("c") * F.col("c") * F.col("c") - F.col("c")).cast("double")).alias("ties"),
+        F.sum("va").alias("va"), F.sum("vb").alias("vb"))
+    s = s.withColumn("alternative", F.when(F.col("va") > F.col("vb"), "greater").when(F.col("va") < F.col("vb"), "less").otherwise("two-sided"))
+    few = r.filter(~zero).join(s.filter(F.col("n") <= EXACT_PAIRS).select(by), by, "left_semi")
+    groups = few.groupBy(by).agg(F.collect_list(F.struct("doubled", "c")).alias("groups"))
+    return s.drop("va", "vb").join(groups, by, "left")
+
+
 def wilcoxon_table(scores: DataFrame, a: str, b: str, on: str = "fold", metric_cols=("acc", "fms"),
                    method_col: str = "method") -> DataFrame:
-    """Signed-rank statistic (zsplit) with average ranks for ties, and
-    its p-value (exact for small n) per metric. Ranks come from a window over
-    the per-fold differences; the p-value UDF sees one row per metric."""
+    """Signed-rank statistic (zsplit) with average ranks for ties per
+    metric. ``p_value``: exact without ties and zeros, else the normal
+    approximation with tie correction, as the reference has it; ``p_exact``:
+    exact given the ranks, also with ties and zeros (null above EXACT_PAIRS
+    pairs). The p-value UDF sees one row per metric."""
     x = scores.filter(F.col(method_col) == a).select(on, *[F.col(m).alias(f"a_{m}") for m in metric_cols])
     y = scores.filter(F.col(method_col) == b).select(on, *[F.col(m).alias(f"b_{m}") for m in metric_cols])
-    j = x.join(y, on)
-    long = None
-    for m in metric_cols:
-        part = j.select(F.lit(m).alias("metric"), (F.col(f"a_{m}") - F.col(f"b_{m}")).alias("d"),
-                        F.col(f"a_{m}").alias("va"), F.col(f"b_{m}").alias("vb"))
-        long = part if long is None else long.unionByName(part)
-
-    schema = "metric string, n long, w double, p_value double, alternative string"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        alt = st.direction(pdf["va"].mean(), pdf["vb"].mean())
-        w, p = st.wilcoxon_zsplit(pdf["d"].to_numpy(), alt)
-        return pd.DataFrame({"metric": [pdf["metric"].iloc[0]], "n": [len(pdf)], "w": [w], "p_value": [p],
-                             "alternative": [alt]})
-
-    # One group per metric holding the k fold differences (k = fold count).
-    return long.groupBy("metric").applyInPandas(run, schema)
+    pair = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"a_{m}").alias("va"), F.col(f"b_{m}").alias("vb")) for m in metric_cols]))
+    long = x.join(y, on).select(pair.alias("x")).select("x.*").withColumn("d", F.col("va") - F.col("vb"))
+    p = _signed_rank_p("n", "w", "ties", "zeros", "alternative", "groups")
+    return signed_ranks(long).withColumn("p", p).select("metric", "n", "w", "p.p_value", "p.p_exact", "alternative")
 
 
 def mcnemar(df: DataFrame, label_col="label", a="pred_a", b="pred_b") -> DataFrame:

@@ -5,8 +5,8 @@ All per-transcript features are grouped aggregates keyed by ``filename``
 per-type count first aggregate by (filename, term), which also spreads a very
 large transcript over many tasks. Sequence measures use windows keyed by
 (filename, term) or by (filename, segment), never a whole transcript in one
-task — except MTLD (D06), whose factor state is inherently sequential; it
-folds over the transcript's token array, bounded by the transcript itself.
+task. MTLD (D06) folds short transcripts as arrays; ``mtld`` has the form for
+transcripts of any length.
 """
 
 from __future__ import annotations
@@ -248,11 +248,15 @@ def mattr(rich: DataFrame, window: int = 3, pad_short: bool = False) -> DataFram
 
 
 def mtld(rich: DataFrame, threshold: float = 0.72) -> DataFrame:
-    """MTLD, forward and reversed, averaged.
+    """MTLD, forward and reversed, averaged (see ``operators.mtld``)."""
+    from .mtld import mtld as run
+    return run(rich, threshold)
 
-    The factor state (types seen, tokens, factors) is sequential, so it is a
-    higher-order ``aggregate`` over the transcript's ordered term array.
-    """
+
+def mtld_arrays(rich: DataFrame, threshold: float = 0.72) -> DataFrame:
+    """D06 for transcripts whose terms fit into one array: the factor state
+    (types seen, tokens, factors) is a higher-order ``aggregate`` over the
+    ordered terms."""
     seq = rich.groupBy("filename").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("s"))
     seq = seq.select("filename", F.transform("s", lambda x: x["term"]).alias("terms"))
 

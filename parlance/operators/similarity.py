@@ -7,22 +7,29 @@ raw tf and L2 norms, for a pair (a, b) with shared terms S:
     dot(a, b) = sum_S tf_a * tf_b
     |a|^2     = c^2 * sum_a tf_a^2 - (c^2 - 1) * sum_S tf_a^2
 
-so everything a pair needs comes from ONE equi-join of the (filename, term)
-posting lists on itself, plus each utterance's sum of squares. Pairs that
-share no term have similarity 0 and are counted arithmetically
-(n(n-1)/2 - matched); they are never materialised and no cross join is made.
-
-Scale: the join emits one row per (pair, shared term); partial aggregation
-per (filename, a, b) runs in the same stage. A term repeated across many
-utterances of one transcript is a hot join key; AQE's skew-join split
-(``spark.sql.adaptive.skewJoin.enabled``) divides that partition across
-tasks. All pairs are kept: no sampling, no cap.
+so everything a pair needs are three sums over the terms both texts hold.
+
+The features H02-H05 need no pairs as rows. The utterances of a transcript are
+dealt into blocks, and every pair of blocks is a group of bounded size: its
+task has both blocks' term counts as matrices, gets the three sums of all its
+pairs by matrix products, and returns their number, sum, minimum and counts
+under the thresholds. A transcript of a third of all utterances is spread over
+as many tasks as it has block pairs.
+
+H01 returns the pairs that share a term, from an equi-join of the (filename,
+term) posting lists. The postings of a term that many utterances of one
+transcript hold are dealt into g blocks, and each pair of blocks is a join key
+of its own: at most ``POSTINGS`` squared pairs come from a key, however hot
+the term. Pairs that share no term have similarity 0 and are never made rows.
+All pairs are kept: no sampling, no cap.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +38,9 @@ from ..functions import text as tx
 from ..functions.frames import cut_lineage
 
 C_ONE_SIDED = 1.0 + math.log(1.5)  # idf of a term present in one text of the pair
+POSTINGS = 256  # postings of one (transcript, term) in a join key
+BLOCK = 256  # utterances of one transcript in a block
+CELLS = 4_000_000  # entries of a dense term matrix held at once
 
 
 def utterance_terms(spark: SparkSession, utts: DataFrame) -> DataFrame:
@@ -48,7 +58,7 @@ def utterance_terms(spark: SparkSession, utts: DataFrame) -> DataFrame:
     return t.groupBy("filename", "utt_idx", F.col("word").alias("term")).agg(F.count("*").alias("tf"))
 
 
-def pair_cosine(terms: DataFrame, materialize: bool = True) -> DataFrame:
+def pair_cosine(terms: DataFrame, materialize: bool = True, postings: int = POSTINGS) -> DataFrame:
     """H01 for every pair (a < b) of one transcript sharing at least one term.
 
     The term table feeds both join sides and both norm look-ups, so it is
@@ -59,13 +69,22 @@ def pair_cosine(terms: DataFrame, materialize: bool = True) -> DataFrame:
     q = terms.groupBy("filename", "utt_idx").agg(F.sum(F.col("tf") * F.col("tf")).alias("q"))
     # Only terms used by two or more utterances of a transcript can pair up;
     # the others contribute to the norms (q) only and stay out of the join.
-    # (A partial-aggregated count + semi join, not a window: a hot term is
-    # never gathered into one task just to be counted.)
-    multi = terms.groupBy("filename", "term").agg(F.count("*").alias("_df")).filter(F.col("_df") > 1)
-    shared_terms = terms.join(multi.select("filename", "term"), ["filename", "term"], "left_semi")
-    a = shared_terms.select("filename", "term", F.col("utt_idx").alias("utt_a"), F.col("tf").alias("tf_a"))
-    b = shared_terms.select("filename", "term", F.col("utt_idx").alias("utt_b"), F.col("tf").alias("tf_b"))
-    shared = a.join(b, ["filename", "term"]).filter(F.col("utt_a") < F.col("utt_b"))
+    # (A partial-aggregated count + join, not a window: a hot term is never
+    # gathered into one task just to be counted.)
+    multi = (terms.groupBy("filename", "term").agg(F.count("*").alias("_df")).filter(F.col("_df") > 1)
+             .withColumn("_g", F.ceil(F.col("_df") / postings).cast("int")))
+    dealt = terms.join(multi.select("filename", "term", "_g"), ["filename", "term"]).withColumn(
+        "_b", F.pmod(F.xxhash64("utt_idx"), F.col("_g")).cast("int"))
+    # Block i meets block j >= i once; a pair inside a block once, by order.
+    x = dealt.select("filename", "term", F.col("_b").alias("_i"), F.explode(F.sequence("_b", F.col("_g") - 1)).alias("_j"),
+                     F.col("utt_idx").alias("_x"), F.col("tf").alias("_tx"))
+    y = dealt.select("filename", "term", F.explode(F.sequence(F.lit(0), "_b")).alias("_i"), F.col("_b").alias("_j"),
+                     F.col("utt_idx").alias("_y"), F.col("tf").alias("_ty"))
+    met = x.join(y, ["filename", "term", "_i", "_j"]).filter((F.col("_i") < F.col("_j")) | (F.col("_x") < F.col("_y")))
+    first = F.col("_x") < F.col("_y")
+    shared = met.select("filename", F.least("_x", "_y").alias("utt_a"), F.greatest("_x", "_y").alias("utt_b"),
+                        F.when(first, F.col("_tx")).otherwise(F.col("_ty")).alias("tf_a"),
+                        F.when(first, F.col("_ty")).otherwise(F.col("_tx")).alias("tf_b"))
     p = shared.groupBy("filename", "utt_a", "utt_b").agg(
         F.sum(F.col("tf_a") * F.col("tf_b")).alias("dot"),
         F.sum(F.col("tf_a") * F.col("tf_a")).alias("sa"),
@@ -79,14 +98,76 @@ def pair_cosine(terms: DataFrame, materialize: bool = True) -> DataFrame:
     return p.select("filename", "utt_a", "utt_b", (F.col("dot") / (na * nb)).alias("cosine"))
 
 
-def distance_features(utts: DataFrame, pairs: DataFrame, thresholds=(0.0, 0.3, 0.5),
+def _block_pair(a: pd.DataFrame, b: pd.DataFrame | None, thresholds) -> tuple:
+    """(pairs sharing a term, sum, minimum, counts at or below each
+    threshold) over the pairs of two blocks' utterances, or of one block's
+    own. Terms are taken in runs, so the dense matrices stay bounded."""
+    both = a if b is None else pd.concat([a, b])
+    term, utt = pd.factorize(both["term"])[0], both["utt_idx"].to_numpy()
+    tf = both["tf"].to_numpy(float)
+    n = len(a)
+    rows, ra = np.unique(utt[:n], return_inverse=True)
+    cols, rb = (rows, ra) if b is None else np.unique(utt[n:], return_inverse=True)
+    ta, tb = term[:n], term[:n] if b is None else term[n:]
+    fa, fb = tf[:n], tf[:n] if b is None else tf[n:]
+    dot, sa, sb = (np.zeros((len(rows), len(cols))) for _ in range(3))
+    # Terms of one side only add to the norms, not to what the pair shares.
+    common = np.intersect1d(ta, tb)
+    step = max(1, CELLS // max(len(rows), len(cols), 1))
+    for lo in range(0, len(common), step):
+        run = common[lo:lo + step]
+        x, y = np.zeros((len(rows), len(run))), np.zeros((len(cols), len(run)))
+        for m, t, r, f in ((x, ta, ra, fa), (y, tb, rb, fb)):
+            at = np.minimum(np.searchsorted(run, t), len(run) - 1)
+            hit = run[at] == t
+            m[r[hit], at[hit]] = f[hit]
+        dot += x @ y.T
+        sa += (x * x) @ (y > 0).T
+        sb += (x > 0).astype(float) @ (y * y).T
+    c2 = C_ONE_SIDED * C_ONE_SIDED
+    qa, qb = np.bincount(ra, fa * fa, len(rows)), np.bincount(rb, fb * fb, len(cols))
+    keep = dot > 0
+    if b is None:
+        keep &= np.triu(np.ones_like(keep), 1)
+    i, j = np.nonzero(keep)
+    s = dot[i, j] / (np.sqrt(c2 * qa[i] - (c2 - 1) * sa[i, j]) * np.sqrt(c2 * qb[j] - (c2 - 1) * sb[i, j]))
+    return len(s), float(s.sum()), float(s.min()) if len(s) else None, [int((s <= t).sum()) for t in thresholds]
+
+
+def matched_sums(terms: DataFrame, thresholds=(0.0, 0.3, 0.5), block: int = BLOCK) -> DataFrame:
+    """(filename, m, s, mn, le0, le1, ...): over the pairs of a transcript's
+    utterances that share a term, their number, sum, minimum and counts."""
+    names = [f"le{k}" for k in range(len(thresholds))]
+    terms = cut_lineage(terms)  # read once to list the blocks, once to send them
+    dealt = terms.withColumn("_b", F.floor(F.col("utt_idx") / block).cast("int"))
+    own = dealt.groupBy("filename", "_b").agg(F.lit(1)).select("filename", "_b")
+    # A block goes to the group of every block pair that it is part of.
+    other = own.select("filename", F.col("_b").alias("_o"))
+    mates = own.join(other, "filename").select("filename", "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
+    sent = dealt.join(mates, ["filename", "_b"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf["_i"].iloc[0], pdf["_j"].iloc[0]
+        a = pdf[pdf["_b"] == i]
+        m, s, mn, le = _block_pair(a, None if i == j else pdf[pdf["_b"] == j], thresholds)
+        return pd.DataFrame([[pdf["filename"].iloc[0], m, s, mn, *le]], columns=["filename", "m", "s", "mn", *names])
+
+    kind = terms.schema["filename"].dataType.simpleString()
+    parts = sent.groupBy("filename", "_i", "_j").applyInPandas(
+        run, f"filename {kind}, m long, s double, mn double, " + ", ".join(f"{n} long" for n in names))
+    return parts.groupBy("filename").agg(F.sum("m").alias("m"), F.sum("s").alias("s"), F.min("mn").alias("mn"),
+                                         *[F.sum(n).alias(n) for n in names])
+
+
+def distance_features(utts: DataFrame, found: DataFrame, thresholds=(0.0, 0.3, 0.5),
                       include_zero: bool = False) -> DataFrame:
     """Mean, minimum and share of pair similarities <= t over all
     n(n-1)/2 utterance pairs of each transcript (Quirk 20 fixed: every
     utterance, not only the first list; the reference's leading 0 is kept
-    only with ``include_zero``)."""
+    only with ``include_zero``). ``found`` holds the utterances' terms, or
+    the pairs of ``pair_cosine`` where these are there anyway."""
     n = utts.groupBy("filename").agg(F.count("*").alias("n"))
-    s = pairs.groupBy("filename").agg(
+    s = matched_sums(found, thresholds) if "term" in found.columns else found.groupBy("filename").agg(
         F.sum("cosine").alias("s"), F.min("cosine").alias("mn"), F.count("*").alias("m"),
         *[F.count_if(F.col("cosine") <= t).alias(f"le{i}") for i, t in enumerate(thresholds)])
     j = n.join(s, "filename", "left").fillna(0, ["m"]).fillna(0.0, ["s"])

@@ -36,7 +36,7 @@ def doc_features(spark: SparkSession, sf_dir: str, only: DataFrame | None = None
     tagged = prep.tag_tokens(spark, toks)
     f12 = lex.token_profile(tagged)  # C01, C02, D10 and C04 in one pass
     f3 = lex.richness_scalar(lex.rich_terms(toks)).select("filename", "maas", "hdd")
-    f4 = sim.distance_features(utts, sim.pair_cosine(sim.utterance_terms(spark, utts))).select(
+    f4 = sim.distance_features(utts, sim.utterance_terms(spark, utts)).select(
         "filename", "avg_cos_dist", "proportion_below_threshold_0_3")
     return asm.join_features([f12, f3, f4]).select("filename", *FEATURES)
 

@@ -15,7 +15,10 @@ from ..functions.frames import cut_lineage
 from ..operators import adapt as ad
 from ..operators import distance as dist
 from ..operators import evaluate as ev
+from ..operators import experiment as xp
+from ..operators import linear as lin
 from ..sources.tables import read
+from . import boostsql as B
 from . import featuretable as FT
 from . import sqlparts as S
 from .registry import query
@@ -145,12 +148,14 @@ def k16(spark, sf_dir):
 
 # --- model-based (row-count checks only) -------------------------------------
 
-def _doc_split(spark, sf_dir):
-    """Labelled documents as vectors with a group fold; test = target fold 0."""
+def _doc_split(spark, sf_dir, vector=True):
+    """Labelled documents with features (ML vector or array) and a group
+    fold; test = target fold 0."""
     t = FT.labelled_table(spark, sf_dir)
     t = ev.group_kfold(t, 5)
-    t = t.withColumn("features", array_to_vector(F.array(*[F.col(c) for c in FT.FEATURES])))
-    # Checkpointed once: every boosting round and every model fit reads it.
+    x = F.array(*[F.col(c) for c in FT.FEATURES])
+    t = t.withColumn("features", array_to_vector(x) if vector else x)
+    # Written once: every boosting round and every model fit reads it.
     t = cut_lineage(t)
     train = t.filter((F.col("domain") == 0) | (F.col("fold") != 0))
     test = t.filter((F.col("domain") == 1) & (F.col("fold") == 0))
@@ -160,39 +165,24 @@ def _doc_split(spark, sf_dir):
 ROUNDS = 45  # boosting rounds of the reference's experiments
 
 
-STEPS = 100  # optimiser steps a boosting round; the operator's default is 3000
-
-
-def _lr(C=1.0):
-    return lambda n, w: ad.logistic(C, n, max_iter=STEPS, weight_col=w)
-
-
 @query("k09_k10_tradaboost")
 def k09(spark, sf_dir):
-    """K09 + K10: transfer boosting with weighted logistic regression;
-    predictions for the held-out target rows."""
-    train, test = _doc_split(spark, sf_dir)
-    model = ad.TrAdaBoost(_lr(), n_estimators=ROUNDS).fit(train)
-    return model.predict(test).select("filename", "label", "prediction")
+    """K09 + K10: transfer boosting with weighted logistic regression, every
+    round to convergence; predictions for the held-out target rows."""
+    train, test = _doc_split(spark, sf_dir, vector=False)
+    return lin.LinearTrAdaBoost(ROUNDS).fit(train).predict(test).select("filename", "label", "prediction")
 
 
 @query("k17_sample_weights")
 def k17(spark, sf_dir):
-    train, _ = _doc_split(spark, sf_dir)
-    model = ad.TrAdaBoost(_lr(), n_estimators=ROUNDS).fit(train)
-    return model.sample_weights().select("filename", "domain", F.col("_w").alias("weight"))
+    train, _ = _doc_split(spark, sf_dir, vector=False)
+    return lin.LinearTrAdaBoost(ROUNDS).fit(train).sample_weights(train).select("filename", "domain", F.col("_w").alias("weight"))
 
 
 def _reg_split(spark, sf_dir):
-    train, test = _doc_split(spark, sf_dir)
     lab = F.log1p(F.col("n_tokens"))
-    vec = array_to_vector(F.array(*[F.col(c) for c in FT.SHARES]))
-    return (train.withColumn("label", lab).withColumn("features", vec),
-            test.withColumn("label", lab).withColumn("features", vec))
-
-
-def _linreg():
-    return lambda n, w: ad.linear_regression(weight_col=w)
+    x = F.array(*[F.col(c) for c in FT.SHARES])
+    return [t.withColumn("label", lab).withColumn("features", x) for t in _doc_split(spark, sf_dir, vector=False)]
 
 
 @query("k11_k12_tradaboost_r2")
@@ -200,17 +190,18 @@ def k11(spark, sf_dir):
     """K11 + K12: regression transfer boosting (log token count from the POS
     shares), weighted-median prediction."""
     train, test = _reg_split(spark, sf_dir)
-    model = ad.TrAdaBoost(_linreg(), n_estimators=ROUNDS, regression=True).fit(train)
-    return model.predict(test).select("filename", "label", "prediction")
+    return lin.LinearTrAdaBoost(ROUNDS, regression=True).fit(train).predict(test).select("filename", "label", "prediction")
+
+
+def _rounds_table(spark, model):
+    return spark.createDataFrame([(i, float(e), float(w)) for i, (e, w) in enumerate(zip(model.errors_, model.estimator_weights_))],
+                                 "round int, error double, weight double")
 
 
 @query("k13_adaboost_r2_fixed_source")
 def k13(spark, sf_dir):
     train, _ = _reg_split(spark, sf_dir)
-    n = train.count()
-    m = ad.AdaBoostR2FixedSource(_linreg(), n_estimators=10).fit(train.withColumn("_w", F.lit(1.0 / n)))
-    return spark.createDataFrame([(i, float(e), float(w)) for i, (e, w) in
-                                  enumerate(zip(m.errors_, m.estimator_weights_))], "round int, error double, weight double")
+    return _rounds_table(spark, lin.LinearR2FixedSource(10).fit(train))
 
 
 @query("k14_k15_two_stage_tradaboost_r2")
@@ -218,16 +209,81 @@ def k14(spark, sf_dir):
     """K14 with K15 (β search) and K16 (target-slice CV): 10 steps of 10
     rounds, 5 slices."""
     train, test = _reg_split(spark, sf_dir)
-    m = ad.TwoStageTrAdaBoostR2(_linreg(), n_estimators=10, n_estimators_fs=10, cv=5).fit(train)
-    return m.predict(test).select("filename", "label", "prediction")
+    return lin.LinearTwoStage(10, 10, cv=5).fit(train).predict(test).select("filename", "label", "prediction")
+
+
+# The same operators on one feature of the embeddings, where every fit has a
+# closed form or few enough Newton steps for SQL.
+
+def _one_feature(spark, sf_dir, binary):
+    y = F.col("features")[0] + F.col("features")[1]
+    return emb(spark, sf_dir).select("vec_id", "domain", F.array(F.col("features")[0]).alias("features"),
+                                     ((y > 0).cast("double") if binary else y).alias("label"))
+
+
+@query("k09_k10_tradaboost_one_feature", B.tradaboost_sql(binary=True) + ", " + B.vote_sql() + "SELECT vec_id, prediction FROM vote")
+def k09_one(spark, sf_dir):
+    t = cut_lineage(_one_feature(spark, sf_dir, True))
+    return lin.LinearTrAdaBoost(B.ROUNDS).fit(t).predict(t).select("vec_id", "prediction")
+
 
+@query("k17_sample_weights_one_feature", B.tradaboost_sql(binary=True) + B.weights_sql())
+def k17_one(spark, sf_dir):
+    """Weights relative to their mean."""
+    t = cut_lineage(_one_feature(spark, sf_dir, True))
+    w = lin.LinearTrAdaBoost(B.ROUNDS).fit(t).sample_weights(t)
+    n = t.count()
+    return w.select("vec_id", "domain", F.round(F.col("_w") * n, 6).alias("weight"))
 
-@query("k18_weighted_bootstrap")
+
+@query("k11_k12_r2_one_feature", B.tradaboost_sql(binary=False) + ", " + B.median_sql() + "SELECT vec_id, round(prediction, 6) AS prediction FROM med")
+def k11_one(spark, sf_dir):
+    t = cut_lineage(_one_feature(spark, sf_dir, False))
+    p = lin.LinearTrAdaBoost(B.ROUNDS, regression=True).fit(t).predict(t)
+    return p.select("vec_id", F.round("prediction", 6).alias("prediction"))
+
+
+@query("k13_fixed_source_one_feature", B.fixed_source_sql() + "SELECT round, round(error, 6) AS error, round(weight, 6) AS weight FROM rounds")
+def k13_one(spark, sf_dir):
+    t = _rounds_table(spark, lin.LinearR2FixedSource(B.ROUNDS).fit(cut_lineage(_one_feature(spark, sf_dir, False))))
+    return t.select("round", F.round("error", 6).alias("error"), F.round("weight", 6).alias("weight"))
+
+
+@query("k21_logistic_one_feature", B.logistic_sql() + "SELECT vec_id, round(p, 6) AS probability FROM prob")
+def k21_one(spark, sf_dir):
+    t = cut_lineage(_one_feature(spark, sf_dir, True))
+    model = lin.logistic_newton(t)
+    return lin.with_values(t, model.probability, "p").select("vec_id", F.round("p", 6).alias("probability"))
+
+
+K18_SEED = 7
+BALANCED = """ev AS (SELECT doc_id AS filename, CAST(toxic AS INTEGER) AS label FROM labels),
+cw AS (SELECT *, count(*) OVER () / (2.0 * count(*) OVER (PARTITION BY label)) AS w FROM ev),
+placed AS (SELECT *, coalesce(sum(w) OVER (ORDER BY filename ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM cw)"""
+
+
+@query("k18_weighted_bootstrap", S.with_(BALANCED) + f"""
+, draws AS (SELECT i, CAST(('0x' || substr(md5('{K18_SEED}:' || CAST(i AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0
+    * (SELECT sum(w) FROM cw) AS u FROM (SELECT unnest(range((SELECT count(*) FROM cw))) AS i))
+SELECT p.filename, p.label, count(*) AS n_drawn FROM draws ASOF JOIN placed p ON draws.u >= p.lo GROUP BY ALL""")
 def k18(spark, sf_dir):
-    """K18 with class-balance weights: rows drawn ∝ weight, counted by label."""
-    t = ad.class_balance_weights(FT.labelled_table(spark, sf_dir).select("filename", "label"))
-    b = ad.weighted_bootstrap(t, "cw", seed=7)
-    return b.groupBy("label").agg(F.count("*").alias("n_drawn"))
+    """K18 with class-balance weights: rows drawn ∝ weight, exactly as many as
+    there are; times each row was drawn."""
+    t = ad.class_balance_weights(read(spark, sf_dir, "labels", "doc_id", "toxic").select(
+        F.col("doc_id").alias("filename"), F.col("toxic").cast("int").alias("label")))
+    return ad.bootstrap(t, "cw", "filename", seed=K18_SEED).groupBy("filename", "label").agg(F.count("*").alias("n_drawn"))
+
+
+@query("k20_bootstrap_dispatch")
+def k20_bootstrap(spark, sf_dir):
+    """K20's branch for estimators without weights: target-like source rows
+    (the final weights of K09) by bootstrap, then a plain logistic fit;
+    predictions for the target."""
+    t = FT.labelled_table(spark, sf_dir).withColumn("features", F.array(*[F.col(c) for c in FT.FEATURES]))
+    t = cut_lineage(t.select("filename", "label", "domain", "features"))
+    weighter = lambda d: lin.LinearTrAdaBoost(10).fit(d).sample_weights(d)
+    est = ad.AdaptedEstimator(lambda n, w: ad.logistic(1.0, n), weighter=weighter, train_domains=(0, 1), bootstrap_key="filename", seed=K18_SEED)
+    return est.fit(t).predict(t.filter("domain = 1")).select("filename", "label", "prediction")
 
 
 @query("k19_check_sample_weight", "SELECT label, sum(w) AS weight_sum, count(*) AS n FROM (SELECT label, "
@@ -251,9 +307,8 @@ def k06(spark, sf_dir):
 
 @query("k21_logistic_target_only")
 def k21(spark, sf_dir):
-    train, test = _doc_split(spark, sf_dir)
-    tr = ad.domain_only(train, 1)
-    return ad.logistic(1.0, tr.count()).fit(tr).transform(test).select("filename", "label", "prediction")
+    train, test = _doc_split(spark, sf_dir, vector=False)
+    return lin.logistic_newton(ad.domain_only(train, 1)).transform(test).select("filename", "label", "prediction")
 
 
 @query("k22_balanced_linear_svm")
@@ -340,28 +395,39 @@ def n09(spark, sf_dir):
 # --- L08–L10: experiment grid ----------------------------------------------
 
 def _grid_table(spark, sf_dir):
+    """The labelled table with folds; two source corpora by participant group
+    (a stand-in for two recording sites), the target is corpus 2."""
     t = ev.group_kfold(FT.labelled_table(spark, sf_dir), 5)
-    return t.withColumn("features", F.array(*[F.col(c) for c in FT.FEATURES]))
+    corpus = F.when(F.col("domain") == 1, 2).otherwise(F.crc32(F.col("group_id").cast("binary")) % 2)
+    return cut_lineage(t.withColumn("features", F.array(*[F.col(c) for c in FT.FEATURES])).withColumn("corpus", corpus.cast("int")))
 
 
 @query("l08_l09_cv_grid")
 def l08(spark, sf_dir):
-    """Four training-set methods × {logistic regression, balanced linear
-    SVM} × 5 target folds."""
-    from ..operators import experiment as xp
-    return xp.run_grid(spark, _grid_table(spark, sf_dir), len(FT.FEATURES), models=("lr", "svm"), parallelism=8)
+    """Eight methods × logistic regression and four × balanced linear SVM,
+    × 5 target folds."""
+    return xp.run_grid(spark, _grid_table(spark, sf_dir), len(FT.FEATURES), methods=xp.ALL_METHODS, models=("lr", "svm"), parallelism=8, corpora=2)
+
+
+# (positive, negative) participants of the source and of the target: equal
+# classes, and the consistent shares of the reference's bias experiments.
+# Fixed values.
+SOURCE_MIXES = {"equal": (48, 48), "consistent_1": (72, 28), "consistent_2": (57, 43), "consistent_3": (42, 58), "consistent_4": (28, 72)}
+TARGET_MIXES = {"equal": None, "consistent_1": (90, 35), "consistent_2": (75, 50), "consistent_3": (60, 65), "consistent_4": (35, 90)}
 
 
 @query("l10_bias_settings")
 def l10(spark, sf_dir):
-    """Joint training under two cohort mixes of the source (J13 biased
-    sampling: equal and positive-heavy), summarised across folds."""
+    """Every logistic method under the equal and the four consistent cohort
+    mixes (J13) of source and target, summarised across folds. All settings
+    are flags of one table, so their fits share passes."""
     from ..operators import assemble as asm
-    from ..operators import experiment as xp
     t = _grid_table(spark, sf_dir)
-    src, tgt = t.filter("domain = 0"), t.filter("domain = 1")
-    out = []
-    for name, pos, neg in (("equal", 20, 20), ("consistent", 30, 10)):
-        mix = asm.biased_cohort(src, "label", pos, neg).unionByName(tgt)
-        out.append(xp.run_grid(spark, mix, len(FT.FEATURES), methods=["joint"]).withColumn("setting", F.lit(name)))
-    return xp.bias_summary(out[0].unionByName(out[1]))
+    for name in SOURCE_MIXES:
+        src, tgt = t.filter("domain = 0").select("filename", "group_id", "label"), t.filter("domain = 1").select("filename", "group_id", "label")
+        mix = asm.biased_cohort(src, "label", *SOURCE_MIXES[name]).unionByName(
+            asm.biased_cohort(tgt, "label", *TARGET_MIXES[name]) if TARGET_MIXES[name] else tgt)
+        flag = mix.select("filename", F.lit(1).alias(name)).distinct()
+        t = t.join(flag, "filename", "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
+    grid = xp.run_grid(spark, t, len(FT.FEATURES), methods=xp.ALL_METHODS, corpora=2, settings=tuple(SOURCE_MIXES))
+    return xp.bias_summary(grid)

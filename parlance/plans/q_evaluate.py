@@ -10,11 +10,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.frames import cut_lineage
 from ..operators import evaluate as ev
+from ..operators import experiment as xp
 from ..sources.tables import read
 from . import featuretable as FT
+from . import pvaluesql as P
 from . import sqlparts as S
-from .registry import query
+from .registry import ORACLE, query
 
 r6 = S.r6
 K = 5
@@ -35,13 +38,17 @@ def eval_input(spark, sf_dir):
                     F.when(F.col("n_chars") > LONG_DOC, 1).otherwise(0).alias("pred_b"))
 
 
-def _snake_sql(rank):
-    return f"CASE WHEN floor({rank} / {K}) % 2 = 0 THEN {rank} % {K} ELSE {K} - 1 - {rank} % {K} END"
+def _greedy_sql(size_table):
+    """Recursive deal of (group_id, size, grank) to the lightest of K folds."""
+    return f"""(WITH RECURSIVE deal AS (SELECT CAST(-1 AS BIGINT) AS grank, list_transform(range({K}), lambda x: CAST(0 AS BIGINT)) AS loads, 0 AS fold
+  UNION ALL SELECT g.grank, list_transform(d.loads, lambda x, i: CASE WHEN i = list_position(d.loads, list_min(d.loads)) THEN x + g.size ELSE x END),
+    CAST(list_position(d.loads, list_min(d.loads)) - 1 AS INTEGER) FROM deal d JOIN {size_table} g ON g.grank = d.grank + 1)
+  SELECT grank, fold FROM deal WHERE grank >= 0)"""
 
 
 FOLDS = f"""gs AS (SELECT group_id, count(*) AS size FROM ev GROUP BY group_id),
-gr AS (SELECT group_id, row_number() OVER (ORDER BY size DESC, group_id) - 1 AS grank FROM gs),
-fo AS (SELECT ev.*, CAST({_snake_sql('gr.grank')} AS INTEGER) AS fold FROM ev JOIN gr ON ev.group_id = gr.group_id)"""
+gr AS (SELECT group_id, size, row_number() OVER (ORDER BY size DESC, group_id) - 1 AS grank FROM gs),
+fo AS (SELECT ev.*, d.fold FROM ev JOIN gr ON ev.group_id = gr.group_id JOIN {_greedy_sql('gr')} d ON d.grank = gr.grank)"""
 
 
 def folded(spark, sf_dir):
@@ -56,8 +63,10 @@ def l01(spark, sf_dir):
 @query("l02_stratified_group_kfold", S.with_(EV) + f"""
 , gs AS (SELECT group_id, count(*) AS size, CASE WHEN count_if(label = 1) > count_if(label = 0) THEN 1 ELSE 0 END AS maj
          FROM ev GROUP BY group_id)
-, gr AS (SELECT group_id, row_number() OVER (PARTITION BY maj ORDER BY size DESC, group_id) - 1 AS grank FROM gs)
-SELECT ev.filename, ev.group_id, CAST({_snake_sql('gr.grank')} AS INTEGER) AS fold FROM ev JOIN gr ON ev.group_id = gr.group_id""")
+, gr AS (SELECT group_id, size, maj, row_number() OVER (PARTITION BY maj ORDER BY size DESC, group_id) - 1 AS grank FROM gs)
+, g0 AS (SELECT * FROM gr WHERE maj = 0), g1 AS (SELECT * FROM gr WHERE maj = 1)
+, fd AS (SELECT 0 AS maj, d.* FROM {_greedy_sql('g0')} d UNION ALL SELECT 1, d.* FROM {_greedy_sql('g1')} d)
+SELECT ev.filename, ev.group_id, fd.fold FROM ev JOIN gr ON ev.group_id = gr.group_id JOIN fd ON fd.maj = gr.maj AND fd.grank = gr.grank""")
 def l02(spark, sf_dir):
     return ev.stratified_group_kfold(eval_input(spark, sf_dir), K).select("filename", "group_id", "fold")
 
@@ -189,15 +198,36 @@ def m10(spark, sf_dir):
     return ev.paired_t(fold_scores_two(spark, sf_dir), "A", "B")
 
 
-@query("m10_paired_t_pvalue")
+@query("m10_paired_t_pvalue", "SELECT *, round(" + P.t_directed("t", "CAST(df AS DOUBLE)", "alternative") + ", 6) AS p_value FROM (" + ORACLE["m10_paired_t"] + ")")
 def m10p(spark, sf_dir):
     """M10 with its one-sided p-value (pandas UDF on the two result rows)."""
-    return ev.with_t_pvalue(m10(spark, sf_dir), alt_col="alternative")
+    return ev.with_t_pvalue(m10(spark, sf_dir), alt_col="alternative").withColumn("p_value", F.round("p_value", 6))
 
 
-@query("m11_wilcoxon")
+@query("m11_wilcoxon", S.with_(EV, FOLDS, SCORES2) + """
+, j AS (SELECT a.acc AS a_acc, b.acc AS b_acc, a.fms AS a_fms, b.fms AS b_fms
+        FROM sc a JOIN sc b ON a.fold = b.fold AND a.method = 'A' AND b.method = 'B')
+, m AS (SELECT 'acc' AS metric, a_acc - b_acc AS d, a_acc AS va, b_acc AS vb FROM j
+        UNION ALL SELECT 'fms', a_fms - b_fms, a_fms, b_fms FROM j)
+, r AS (SELECT *, abs(d) AS a, rank() OVER (PARTITION BY metric ORDER BY abs(d)) + (count(*) OVER (PARTITION BY metric, abs(d)) - 1) / 2.0 AS rk,
+        row_number() OVER (PARTITION BY metric ORDER BY d = 0, abs(d)) - 1 AS bit FROM m)
+, ties AS (SELECT metric, sum(c * c * c - c) AS ties FROM (SELECT metric, a, count(*) AS c FROM r GROUP BY metric, a) GROUP BY metric)
+, s AS (SELECT metric, count(*) AS n, sum(CASE WHEN d > 0 THEN rk WHEN d = 0 THEN rk / 2 ELSE 0 END) AS w,
+          coalesce(sum(CASE WHEN d = 0 THEN rk / 2 END), 0) AS split, count_if(d = 0) AS zeros, count_if(d <> 0) AS k,
+          CASE WHEN avg(va) > avg(vb) THEN 'greater' WHEN avg(va) < avg(vb) THEN 'less' ELSE 'two-sided' END AS alternative FROM r GROUP BY metric)
+, masks AS (SELECT metric, unnest(range(CAST(power(2, k) AS BIGINT))) AS mask FROM s)
+, sums AS (SELECT x.metric, mask, coalesce(sum(CASE WHEN (mask >> bit) & 1 = 1 THEN rk END), 0) AS v FROM masks x LEFT JOIN r ON r.metric = x.metric AND r.d <> 0 GROUP BY x.metric, mask)
+, ex AS (SELECT s.metric, avg(CASE WHEN v + split >= w - 1e-9 THEN 1.0 ELSE 0 END) AS g, avg(CASE WHEN v + split <= w + 1e-9 THEN 1.0 ELSE 0 END) AS l
+         FROM sums JOIN s ON s.metric = sums.metric GROUP BY s.metric)
+, nz AS (SELECT s.metric, (w - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0) AS z, ties FROM s JOIN ties ON ties.metric = s.metric)
+, ap AS (SELECT metric, """ + P.norm_sf("z") + " AS g, " + P.norm_sf("(-z)") + """ AS l FROM nz)
+SELECT s.metric, CAST(n AS BIGINT) AS n, CAST(w AS DOUBLE) AS w, alternative,
+  round(CASE WHEN ties = 0 AND zeros = 0 THEN """ + P.one_of("ex.g", "ex.l") + " ELSE " + P.one_of("ap.g", "ap.l") + """ END, 6) AS p_value,
+  round(""" + P.one_of("ex.g", "ex.l") + """, 6) AS p_exact
+FROM s JOIN ex ON ex.metric = s.metric JOIN ap ON ap.metric = s.metric JOIN ties ON ties.metric = s.metric""")
 def m11(spark, sf_dir):
-    return ev.wilcoxon_table(fold_scores_two(spark, sf_dir), "A", "B")
+    t = ev.wilcoxon_table(fold_scores_two(spark, sf_dir), "A", "B")
+    return t.select("metric", "n", "w", "alternative", F.round("p_value", 6).alias("p_value"), F.round("p_exact", 6).alias("p_exact"))
 
 
 @query("m12_mcnemar", S.with_(EV) + f"""
@@ -208,9 +238,9 @@ def m12(spark, sf_dir):
     return ev.mcnemar(eval_input(spark, sf_dir), a="pred_a", b="pred_b")
 
 
-@query("m12_mcnemar_pvalue")
+@query("m12_mcnemar_pvalue", "SELECT *, round(2 * (" + P.norm_sf("sqrt(chi2)") + "), 6) AS p_value FROM (" + ORACLE["m12_mcnemar"] + ")")
 def m12p(spark, sf_dir):
-    return ev.mcnemar_pvalue(m12(spark, sf_dir))
+    return ev.mcnemar_pvalue(m12(spark, sf_dir)).withColumn("p_value", F.round("p_value", 6))
 
 
 # --- feature weights and Welch tests on the labelled feature table ---------
@@ -240,9 +270,9 @@ def m09(spark, sf_dir):
     return ev.welch_table(long_features(spark, sf_dir), group_col="label")
 
 
-@query("m09_welch_pvalue")
+@query("m09_welch_pvalue", "SELECT *, round(" + P.t_two_sided("t", "df") + ", 6) AS p_value FROM (" + ORACLE["m09_welch_table"] + ")")
 def m09p(spark, sf_dir):
-    return ev.with_t_pvalue(m09(spark, sf_dir))
+    return ev.with_t_pvalue(m09(spark, sf_dir)).withColumn("p_value", F.round("p_value", 6))
 
 
 BLOCKS = ["joint", "source", "target"]
@@ -305,12 +335,43 @@ def m08(spark, sf_dir):
     return ev.averaged_weights(weights.select("fold", "block", "feature", F.coalesce("t", F.lit(0.0)).alias("weight")))
 
 
+def _fitted_table(spark, sf_dir):
+    t = ev.group_kfold(FT.labelled_table(spark, sf_dir), K)
+    return cut_lineage(t.withColumn("features", F.array(*[F.col(c) for c in FT.FEATURES])))
+
+
+def _fitted(spark, t):
+    """(fold, coefficients): standardised weights of the augmented logistic
+    model, trained on the source and the other target folds."""
+    rows = [(k, [float(x) for x in w]) for k, w in xp.fitted_weights(t, len(FT.FEATURES))]
+    return spark.createDataFrame(rows, "fold int, coefficients array<double>")
+
+
+def _named(coefs):
+    """(fold, block, feature, weight) of every coefficient."""
+    w = ev.pivot_features(coefs, FT.FEATURES, BLOCKS, k=len(FT.FEATURES), by=["fold"])
+    return w.select("fold", "block", "feature", "weight")
+
+
+@query("m07_fitted_pivot_features")
+def m07_fitted(spark, sf_dir):
+    """Ten highest and lowest weights per block of every fold's augmented
+    model."""
+    return ev.pivot_features(_fitted(spark, _fitted_table(spark, sf_dir)), FT.FEATURES, BLOCKS, k=10, by=["fold"])
+
+
+@query("m08_fitted_weights")
+def m08_fitted(spark, sf_dir):
+    return ev.averaged_weights(_named(_fitted(spark, _fitted_table(spark, sf_dir))))
+
+
 @query("m13_ranked_significance")
 def m13(spark, sf_dir):
-    """Joint-block weights joined with Welch p-values, by weight."""
-    w = ev.pivot_features(block_weights(spark, sf_dir), FT.FEATURES, BLOCKS, k=len(FT.FEATURES))
-    w = w.filter("block = 'joint'").select("feature", "weight")
-    p = m09p(spark, sf_dir).select("feature", "p_value")
+    """Joint-block weights of the augmented models, averaged over the folds,
+    joined with the features' Welch p-values, by weight."""
+    t = _fitted_table(spark, sf_dir)
+    w = ev.averaged_weights(_named(_fitted(spark, t))).filter("block = 'joint'").select("feature", F.col("avg_weight").alias("weight"))
+    p = ev.with_t_pvalue(ev.welch_table(long_features(spark, sf_dir, t), group_col="label")).select("feature", F.round("p_value", 6).alias("p_value"))
     return ev.ranked_significance(w, p)
 
 

@@ -15,15 +15,17 @@ packed separately. An empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hub, join_side, partition_bases
-from .tokens import encoder, slices
+from .tokens import CALL_CHARS, CALL_ROWS, encoder, slices
 
-PIECE = ("doc_id long, start long, length long, ids binary, doc_tokens long, "
+PIECE = ("doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, "
          "part int, local_id long, offset long")
 
 
@@ -87,12 +89,15 @@ def _packer(tokenizer: str, end_id: int, window: int, run_docs: int):
         names = [c.split()[0] for c in PIECE.split(", ")]
         types = pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]]) for c in PIECE.split(", ")])
 
+        def digest(ids):
+            return zlib.crc32(ids.astype("<u4").tobytes())
+
         def close(bin_):
             nonlocal local
             at = 0
             for key, start, length in bin_:
                 doc_id, base, ids, total, left = held[key]
-                rows.append((doc_id, base + start, length, ids[start:start + length].tobytes(), total, part, local, at))
+                rows.append((doc_id, base + start, length, ids[start:start + length].tobytes(), digest(ids[start:start + length]), total, part, local, at))
                 at += length
                 left -= length
                 if left:
@@ -108,13 +113,13 @@ def _packer(tokenizer: str, end_id: int, window: int, run_docs: int):
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, CALL_ROWS, CALL_CHARS):
                 for doc_id, ids in zip(keys[a:b], enc.encode(texts[a:b])):
                     ids = np.append(ids, enc.dtype.type(end_id))
                     total = len(ids)
                     full = total - total % window
                     for s in range(0, full, window):
-                        rows.append((doc_id, s, window, ids[s:s + window].tobytes(), total, part, local, 0))
+                        rows.append((doc_id, s, window, ids[s:s + window].tobytes(), digest(ids[s:s + window]), total, part, local, 0))
                         local += 1
                     docs += 1
                     if total > full:
@@ -136,9 +141,11 @@ def _packer(tokenizer: str, end_id: int, window: int, run_docs: int):
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 1024, run_docs: int = 8192,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset);
-    ``ids`` are the piece's token ids as little-endian bytes, 16 bits each
-    where the vocabulary fits (see ``id_width``), else 32.
+    """Pieces (doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id,
+    offset); ``ids`` are the piece's token ids as little-endian bytes, 16 bits
+    each where the vocabulary fits (see ``id_width``), else 32, and
+    ``ids_crc32`` is the crc32 of the ids as 32-bit integers, taken where they
+    are packed, so that a digest of the pieces does not read all ids again.
 
     No shuffle of texts: each input partition is packed where it is read, the
     pieces are written once, and sequence ids get their partition's base from

@@ -83,9 +83,8 @@ def op6(spark, sf_dir):
 
 
 def packed(docs):
-    path = default_tokenizer()
-    pieces = packing.pack(docs, path, end_id=0, window=1024)
-    return pieces.select("doc_id", "start", "length", ids_crc32(F.col("ids"), packing.id_width(path)).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    pieces = packing.pack(docs, default_tokenizer(), end_id=0, window=1024)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 @query("op7_packing")

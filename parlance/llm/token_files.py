@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import filesystem, hub, local_path, partition_bases
-from .tokens import encoder, slices
+from .tokens import CALL_CHARS, CALL_ROWS, encoder, slices
 
 NULL_ID = -(1 << 63)
 SHARD = "shard long, path string, dtype string, n_docs long, n_tokens long"
@@ -43,7 +43,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         for batch in batches:
             texts, keys = batch.column(1).to_pylist(), batch.column(0)
             ids.append(keys.fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8"))
-            for a, b in slices(texts):
+            for a, b in slices(texts, CALL_ROWS, CALL_CHARS):
                 if sink is None:
                     sink = fs.open_output_stream(f"{root}/{name}.bin")
                 for arr in enc.encode(texts[a:b]):

@@ -2,6 +2,7 @@
 defined results for nulls, empty and long texts, ties, repeated rows, empty
 tables and clashing column names."""
 
+import functools
 import math
 import os
 import zlib
@@ -37,8 +38,31 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA).withColumns({c: F.lit("x") for c in CLASH})
 
 
+@functools.cache
+def fresh_tokenizer():
+    """The tokenizer as its file gives it."""
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(default_tokenizer())
+
+
 def whole_ids(text):
-    return encoder(default_tokenizer()).tok.encode(text or "", add_special_tokens=False).ids
+    return fresh_tokenizer().encode(text or "", add_special_tokens=False).ids
+
+
+def test_special_tokens_keep_their_id():
+    assert whole_ids("end <|endoftext|> of text").count(50256) == 1
+    texts = ["end <|endoftext|> of text", "<|endoftext|>", "a<|endoftext|><|endoftext|>b c", "<|endoftext| >", "end of text"]
+    assert [g.tolist() for g in encoder(default_tokenizer()).encode(texts)] == [whole_ids(t) for t in texts]
+
+
+def test_small_caches_change_nothing(monkeypatch):
+    from parlance.llm import tokens
+    monkeypatch.setattr(tokens, "CACHE", 20)
+    rng = np.random.default_rng(8)
+    enc = tokens.Encoder(default_tokenizer())
+    for _ in range(30):
+        texts = [" ".join(f"w{int(x)}{'.,!'[int(x) % 3]}" for x in rng.integers(0, 60, 15)) for _ in range(4)]
+        assert [g.tolist() for g in enc.encode(texts)] == [whole_ids(t) for t in texts]
 
 
 def test_chunked_encoding_equals_whole_text():
@@ -80,7 +104,7 @@ def test_packing(spark, docs, none):
     for r in got:
         ids = [*whole_ids(text[r["doc_id"]]), 0]
         assert r["doc_tokens"] == len(ids)
-        assert r["crc"] == zlib.crc32(np.array(ids[r["start"]:r["start"] + r["length"]], "<u4").tobytes())
+        assert r["crc"] == r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"]:r["start"] + r["length"]], "<u4").tobytes())
         covered[r["doc_id"]] += r["length"]
     assert all(covered[r[0]] == (len(whole_ids(r[1])) + 1) * (2 if r[0] == 5 else 1) for r in ROWS)
     assert packing.pack(none, path, 0).count() == 0

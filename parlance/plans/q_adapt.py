@@ -422,9 +422,9 @@ def l10(spark, sf_dir):
     mixes (J13) of source and target, summarised across folds. All settings
     are flags of one table, so their fits share passes."""
     from ..operators import assemble as asm
-    t = _grid_table(spark, sf_dir)
+    t = table = _grid_table(spark, sf_dir)
+    src, tgt = [table.filter(F.col("domain") == k).select("filename", "group_id", "label") for k in (0, 1)]
     for name in SOURCE_MIXES:
-        src, tgt = t.filter("domain = 0").select("filename", "group_id", "label"), t.filter("domain = 1").select("filename", "group_id", "label")
         mix = asm.biased_cohort(src, "label", *SOURCE_MIXES[name]).unionByName(
             asm.biased_cohort(tgt, "label", *TARGET_MIXES[name]) if TARGET_MIXES[name] else tgt)
         flag = mix.select("filename", F.lit(1).alias(name)).distinct()

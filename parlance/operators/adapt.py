@@ -226,7 +226,7 @@ def logistic(C: float, n: int, max_iter: int = 3000, features_col="features", we
                                            withStd=True), lr])
 
 
-def margin_classifier(C: float, n: int, features_col="features", weight_col: str | None = None, max_iter=100):
+def margin_classifier(C: float, n: int, features_col="features", weight_col: str | None = None, max_iter=3000):
     """K22 (re-aimed): standardise + linear SVM; class balance comes from the
     weight column (n / (2·n_class) per row, see ``class_balance_weights``)."""
     svc = LinearSVC(featuresCol="scaled", labelCol="label", regParam=1.0 / (C * max(n, 1)), maxIter=max_iter,

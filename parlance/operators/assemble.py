@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.frames import global_rank, permuted
 
 
 def join_features(families: list[DataFrame], key: str = "filename", how: str = "inner") -> DataFrame:
@@ -82,6 +83,22 @@ def seeded_shuffle(df: DataFrame, seed: int = 20) -> DataFrame:
     return df.orderBy(F.rand(seed))
 
 
+def seeded_permutation(df: DataFrame, key, seed: int = 20, out_col: str = "position") -> DataFrame:
+    """Every row's place in a random order that only the keys' order and
+    the seed decide. Two tables with the same keys get the same order (the
+    paired shuffle). The rank is a range shuffle of the rows; the permutation
+    of the ranks needs none."""
+    n = df.count()
+    ranked = global_rank(df, key, out_col="_rank")
+    return ranked.withColumn(out_col, permuted(F.col("_rank"), max(n, 1), seed)).drop("_rank")
+
+
+def concat_and_shuffle(parts: list[DataFrame], key: str = "filename", seed: int = 1, out_col: str = "position") -> DataFrame:
+    """Labelled sets stacked (``part`` numbers them) and shuffled as one."""
+    stacked = concat(*[p.withColumn("part", F.lit(i)) for i, p in enumerate(parts)])
+    return seeded_permutation(stacked, ["part", key], seed, out_col)
+
+
 def participant_first(df: DataFrame, k: int, group_col: str = "group_id", order_col: str = "filename") -> DataFrame:
     """K rows, one per participant first (in input order), topped up with
     the participants' further rows in input order — a top-k, not a sample.
@@ -141,3 +158,34 @@ def composition_shares(df: DataFrame, domain_col: str = "domain", label_col: str
                                    tx.round6(F.avg(F.col(label_col).cast("double"))).alias("positive_share"))
     return tx.attach_scalar(g, total).select(
         domain_col, "n", tx.round6(F.col("n") / F.col("total")).alias("row_share"), "positive_share")
+
+
+def chosen_features(families: dict[str, list[str]], flags, weights: DataFrame | None = None, k: int | None = None) -> list[str]:
+    """The feature names of the families whose flag is set, in their order;
+    with ``k``, only those among the first k of a ranked weight table (J16)."""
+    names = [c for (_, cols), on in zip(families.items(), flags) if on for c in cols]
+    if k is None:
+        return names
+    top = {r["feature"] for r in top_k_features(weights.filter(F.col("feature").isin(names)), k).collect()}
+    return [c for c in names if c in top]
+
+
+def target_source(table: DataFrame, sources: list, target, features: list[str], source_bias=None, target_bias=None,
+                  exclude: DataFrame | None = None, key: str = "filename") -> DataFrame:
+    """One training table from several corpora of a labelled feature
+    table. ``sources`` and ``target`` are conditions; a bias is (positive,
+    negative) rows per corpus, participants first (J13); ``exclude`` is a table
+    of keys to leave out (J03). Returns the key, group_id, label, ``corpus``
+    (0 .. n-1 the sources, n the target), ``domain`` and the ``features``
+    array, zero where null (J10)."""
+    if exclude is not None:
+        table = drop_listed(table, exclude, key)
+    parts = []
+    for i, cond in enumerate([*sources, target]):
+        last = i == len(sources)
+        part, bias = table.filter(cond), target_bias if last else source_bias
+        if bias:
+            part = biased_cohort(part, "label", *bias)
+        parts.append(part.withColumn("corpus", F.lit(i)).withColumn("domain", F.lit(int(last))))
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
+    return concat(*parts).select(key, "group_id", "label", "corpus", "domain", x.alias("features"))

@@ -127,7 +127,7 @@ def leave_pairs_out(df: DataFrame, group_col: str = "group_id", label_col: str =
     per_label = g.groupBy("_l").agg(F.count("*").alias("_c"))
     offs = per_label.withColumn("_off", F.coalesce(F.sum("_c").over(
         Window.orderBy("_l").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    r = ranked.join(F.broadcast(offs), "_l").withColumn("_i", F.col("_g") - F.col("_off")).drop("_g", "_off")
+    r = ranked.join(offs, "_l").withColumn("_i", F.col("_g") - F.col("_off")).drop("_g", "_off")
     pairs = r.groupBy("_i").agg(F.count("*").alias("_n")).filter("_n = 2").select("_i")
     fold = r.join(pairs, "_i", "left_semi").select(group_col, F.col("_i").cast("int").alias("fold"))
     return df.join(fold, group_col, "left")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
 from ..functions import text as tx
+from ..functions.frames import running
 
 
 # --- utterance tables ------------------------------------------------------
@@ -173,24 +174,22 @@ def chat_tiers(lines: DataFrame, key: str = "filename") -> DataFrame:
     tiers and tab-indented continuation lines until the next speaker or
     ``@End``. One row per utterance: speaker, text, mor, gra.
 
-    Group ids are a running sum of group starts over each file's lines; the
-    per-group strings are ordered (line_no, text) lists — bounded by one
-    utterance.
+    Group ids are a running sum of group starts over each file's lines, and a
+    continuation line has the kind of the last tagged line: one segmented scan
+    over range partitions of (file, line), so a file of a third of all lines
+    is read by many tasks. The per-group strings are ordered (line_no, text)
+    lists — bounded by one utterance.
     """
-    w = Window.partitionBy(key).orderBy("line_no")
     ln = F.col("line")
     speaker = ln.rlike(r"^\*[A-Za-z]+:")
     end = ln.startswith("@End")
     # ``@End`` ends the file: later lines are ignored.
-    ended = F.max(end.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    t = lines.withColumn("_ended", ended).filter(F.col("_ended") == 0).drop("_ended")
-    t = t.withColumn("start", (speaker | end).cast("int"))
-    t = t.withColumn("grp", F.sum("start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    last = lines.filter(end).groupBy(F.col(key).alias("_f")).agg(F.min("line_no").alias("_end"))
+    t = lines.join(last, F.col(key).eqNullSafe(F.col("_f")), "left").filter(F.col("_end").isNull() | (F.col("line_no") < F.col("_end")))
     kind = (F.when(speaker, "text").when(ln.startswith("%mor:"), "mor").when(ln.startswith("%gra:"), "gra")
-            .when(end, "end").when(ln.startswith("@") | ln.startswith("%"), "other"))
-    t = t.withColumn("kind0", kind)
-    t = t.withColumn("kind", F.coalesce("kind0", F.last("kind0", ignorenulls=True).over(
-        w.rowsBetween(Window.unboundedPreceding, 0))))
+            .when(ln.startswith("@") | ln.startswith("%"), "other"))
+    t = t.select(key, "line_no", "line", speaker.cast("int").alias("start"), kind.alias("kind0"))
+    t = running(t, ["line_no"], key, sums={"grp": "start"}, lasts={"kind": "kind0"})
     body = F.regexp_replace(F.regexp_replace(ln, r"^[*%][A-Za-z]+:", ""), r"^\s+|\s+$", "")
     t = t.withColumn("body", body).withColumn("spk", F.regexp_extract(ln, r"^\*([A-Za-z]+):", 1))
     t = t.filter(F.col("grp") > 0)

@@ -8,11 +8,12 @@ discovery pass is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
 from ..functions import text as tx
+from ..functions.frames import running
 
 
 def norm_lexicon(source: DataFrame, text_col: str = "text", id_col: str = "item_id") -> DataFrame:
@@ -138,7 +139,7 @@ def side_switches(spark: SparkSession, words_pos: DataFrame) -> DataFrame:
     sides counts as right). Needs ``pos`` (transcript order)."""
     sides = lx.table(spark, lx.side_rows(), ["word", "side"])
     s = words_pos.select("filename", "pos", "word").join(sides, "word", "inner")
-    prev = F.lag("side").over(Window.partitionBy("filename").orderBy("pos"))
-    sw = s.withColumn("prev", prev).groupBy("filename").agg(
+    s = running(s, ["pos"], "filename", earlier={"prev": "side"})
+    sw = s.groupBy("filename").agg(
         F.count_if(F.col("prev").isNotNull() & (F.col("prev") != F.col("side"))).alias("ls_rs_switches"))
     return words_pos.select("filename").distinct().join(sw, "filename", "left").fillna(0, ["ls_rs_switches"])

@@ -58,6 +58,14 @@ def recording_length_summary(seg: DataFrame, by: str = "kind") -> DataFrame:
                                tx.round6(F.stddev_pop("seconds")).alias("std"))
 
 
+def recording_lengths(seg: DataFrame, labels: DataFrame, by: str = "label") -> DataFrame:
+    """Number, mean and population std of the recordings' lengths per
+    label; ``labels`` holds (filename, label). Recordings without a label are
+    left out."""
+    length = seg.groupBy("filename").agg(F.sum("seconds").alias("seconds"))
+    return recording_length_summary(length.join(labels, "filename"), by)
+
+
 def duration_statistics(seg: DataFrame) -> DataFrame:
     """Avg, std, skewness, kurtosis, max, min of durations per kind
     (18 columns; population moments, null when the variance is 0)."""

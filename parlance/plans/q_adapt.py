@@ -19,6 +19,7 @@ from ..operators import experiment as xp
 from ..operators import linear as lin
 from ..sources.tables import read
 from . import boostsql as B
+from . import distsql as DS
 from . import featuretable as FT
 from . import sqlparts as S
 from .registry import query
@@ -346,9 +347,13 @@ def _scalar(spark, name, value):
     return spark.createDataFrame([(float(value),)], f"{name} double")
 
 
-@query("n02_frechet_distance")
+def _six(value, name):
+    return f"SELECT round(value, 6) AS {name} FROM ({value})"
+
+
+@query("n02_frechet_distance", _six(DS.frechet(EMB, False), "frechet_distance"))
 def n02(spark, sf_dir):
-    return _scalar(spark, "frechet_distance", dist.frechet_distance(emb(spark, sf_dir)))
+    return _scalar(spark, "frechet_distance", round(dist.frechet_distance(emb(spark, sf_dir)), 6))
 
 
 @query("n03_linear_discrepancy")
@@ -358,14 +363,25 @@ def n03(spark, sf_dir):
                                  "eigen double, power_method double")
 
 
+@query("n03_power_method", _six(DS.power(EMB, False), "linear_discrepancy"))
+def n03_power(spark, sf_dir):
+    return _scalar(spark, "linear_discrepancy", round(dist.linear_discrepancy(emb(spark, sf_dir), power_method=True), 6))
+
+
 @query("n04_normalized_linear_discrepancy")
 def n04(spark, sf_dir):
     return _scalar(spark, "normalized_linear_discrepancy", dist.normalized_linear_discrepancy(emb(spark, sf_dir)))
 
 
-@query("n05_normalized_frechet_distance")
+@query("n04_normalized_power_method", _six(DS.power(EMB, True), "normalized_linear_discrepancy"))
+def n04_power(spark, sf_dir):
+    v = dist.normalized_linear_discrepancy(emb(spark, sf_dir), power_method=True)
+    return _scalar(spark, "normalized_linear_discrepancy", round(v, 6))
+
+
+@query("n05_normalized_frechet_distance", _six(DS.frechet(EMB, True), "normalized_frechet_distance"))
 def n05(spark, sf_dir):
-    return _scalar(spark, "normalized_frechet_distance", dist.normalized_frechet_distance(emb(spark, sf_dir)))
+    return _scalar(spark, "normalized_frechet_distance", round(dist.normalized_frechet_distance(emb(spark, sf_dir)), 6))
 
 
 @query("n06_neg_j_score")

@@ -90,6 +90,30 @@ def j13(spark, sf_dir):
     return asm.biased_cohort(FT.labelled_table(spark, sf_dir), "label", 20, 20).select("filename", "group_id", "label")
 
 
+FAMILIES = {"linguistic": FT.FEATURES[:-2], "semantic": FT.FEATURES[-2:]}
+
+
+def _mix_sql(cond, corpus, domain, pos, neg):
+    picks = [f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY filename) AS rn FROM lt WHERE {cond} AND label = {lab}) "
+             f"ORDER BY (rn > 1)::INTEGER, filename LIMIT {n})" for lab, n in ((1, pos), (0, neg))]
+    return f"SELECT *, {corpus} AS corpus, {domain} AS dom FROM ({' UNION ALL '.join(picks)})"
+
+
+@query("j18_target_source", S.with_(LT) + ", u AS (" + _mix_sql("domain = 0 AND filename % 2 = 0", 0, 0, 12, 9) + " UNION ALL "
+       + _mix_sql("domain = 0 AND filename % 2 = 1", 1, 0, 12, 9) + " UNION ALL " + _mix_sql("domain = 1", 2, 1, 15, 15) + f""")
+SELECT filename, group_id, label, corpus, dom AS domain, {len(FAMILIES['linguistic'])} AS n_features,
+  {r6(' + '.join(FAMILIES['linguistic']))} AS total FROM u""")
+def j18(spark, sf_dir):
+    """Two source corpora and a target, linguistic features only, biased
+    cohorts of each."""
+    t = FT.labelled_table(spark, sf_dir)
+    source = F.col("domain") == 0
+    even = F.col("filename") % 2 == 0
+    got = asm.target_source(t, [source & even, source & ~even], ~source, asm.chosen_features(FAMILIES, (1, 0)), (12, 9), (15, 15))
+    return got.select("filename", "group_id", "label", "corpus", "domain", F.size("features").alias("n_features"),
+                      F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
 @query("j14_two_partitions", S.with_(LT) + """
 SELECT 'control' AS part, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives FROM lt WHERE domain = 0
 UNION ALL SELECT 'other', count(*), CAST(sum(label) AS BIGINT) FROM lt WHERE NOT (domain = 0)""")
@@ -125,6 +149,42 @@ def j17(spark, sf_dir):
     return asm.concat(a, b).select("corpus", "filename", "n_tokens")
 
 
+def _permuted_sql(ranked: str, seed: int) -> str:
+    """(id, position) of ``ranked`` (id, r): six rounds on the cells of an
+    a × b grid, again while the place lies beyond n."""
+    def once(source):
+        out = f"SELECT id, x // b AS l, x % b AS r, n, a, b FROM ({source})"
+        for k in range(6):
+            x, size = ("l", "b") if k % 2 else ("r", "a")
+            mixed = f"CAST(('0x' || substr(md5('{seed}:{k}:' || CAST({x} AS VARCHAR)), 1, 13)) AS BIGINT) % {size}"
+            new = f"l, (r + {mixed}) % b AS r" if k % 2 else f"(l + {mixed}) % a AS l, r"
+            out = f"SELECT id, {new}, n, a, b FROM ({out})"
+        return f"SELECT id, l * b + r AS x, n, a, b FROM ({out})"
+    return f"""(WITH RECURSIVE s AS (SELECT count(*) AS n, greatest(1, CAST(floor(sqrt(count(*))) AS BIGINT)) AS a FROM {ranked}),
+    g AS (SELECT k.id, k.r AS x, s.n, s.a, CAST(ceil(s.n / s.a) AS BIGINT) AS b FROM {ranked} k, s),
+    walk AS ({once('SELECT * FROM g')} UNION ALL {once('SELECT * FROM walk WHERE x >= n')})
+  SELECT id, CASE WHEN n = 1 THEN 0 ELSE x END AS position FROM walk WHERE x < n OR n = 1)"""
+
+
+@query("j11_seeded_permutation", """WITH k AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents)
+SELECT id AS filename, position FROM """ + _permuted_sql("k", 20))
+def j11(spark, sf_dir):
+    """Every document's place in a random order keyed by seed 20."""
+    d = read(spark, sf_dir, "documents", "doc_id").withColumnRenamed("doc_id", "filename")
+    return asm.seeded_permutation(d, "filename", 20).select("filename", "position")
+
+
+@query("j17_concat_and_shuffle", """WITH u AS (SELECT 0 AS part, conv_id AS filename FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL SELECT 1, doc_id FROM labels),
+k AS (SELECT (part, filename) AS id, row_number() OVER (ORDER BY part, filename) - 1 AS r FROM u)
+SELECT id[1] AS part, id[2] AS filename, position FROM """ + _permuted_sql("k", 1))
+def j17_shuffle(spark, sf_dir):
+    """Transcripts and labelled documents stacked and shuffled as one set."""
+    a = read(spark, sf_dir, "conversations", "conv_id").select(F.col("conv_id").alias("filename")).distinct()
+    b = read(spark, sf_dir, "labels", "doc_id").select(F.col("doc_id").alias("filename"))
+    return asm.concat_and_shuffle([a, b]).select("part", "filename", "position")
+
+
 @query("a09_dedup_keep_first", """
 WITH u AS (SELECT doc_id AS filename, 1 AS src_order, CAST(toxic AS VARCHAR) AS tag FROM labels
            UNION ALL SELECT doc_id, 2, lang FROM documents)

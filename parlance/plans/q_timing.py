@@ -46,6 +46,17 @@ def i01(spark, sf_dir):
     return tm.recording_length_summary(_segments(spark, sf_dir))
 
 
+@query("i01_recording_lengths", S.with_(SEG) + f"""
+, len AS (SELECT filename, sum(seconds) AS seconds FROM seg GROUP BY filename)
+SELECT c_mktsegment AS label, count(*) AS n, {r6('avg(seconds)')} AS mean, {r6('stddev_pop(seconds)')} AS std
+FROM len JOIN customer ON c_custkey = filename GROUP BY c_mktsegment""")
+def i01_lengths(spark, sf_dir):
+    """I01 per recording and label (a customer's segment stands for the
+    folder)."""
+    c = read(spark, sf_dir, "customer", "c_custkey", "c_mktsegment").toDF("filename", "label")
+    return tm.recording_lengths(_segments(spark, sf_dir), c)
+
+
 _cols, _joins = _stats_select()
 
 

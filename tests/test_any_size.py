@@ -9,8 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.functions.frames import carry_last
-from parlance.operators import adapt, evaluate, mtld
+from parlance.functions.frames import carry_last, running
+from parlance.operators import adapt, assemble, distance, evaluate, mtld
 from parlance.operators import similarity as sim
 
 from .test_features import mtld_ref
@@ -196,3 +196,68 @@ def test_no_join_key_of_a_hot_term_makes_all_pairs(spark):
     terms = spark.createDataFrame([(0, u, "hot", 1) for u in range(900)], "filename int, utt_idx int, term string, tf long")
     assert sim.pair_cosine(terms, postings=256).count() == 900 * 899 // 2
     assert sim.matched_sums(terms).first()["m"] == 900 * 899 // 2
+
+
+# --- B01, G11, J11, J17, N06 ----------------------------------------------------
+
+def test_running_sums_and_earlier_values(spark):
+    rng = np.random.default_rng(12)
+    rows = [("ab"[int(rng.integers(0, 2))], i, int(rng.integers(1, 9)), int(rng.integers(0, 9)) if rng.random() < 0.05 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, i int, x int, v int")
+    got = {r["i"]: (r["t"], r["e"]) for r in running(df, ["i"], "g", sums={"t": "x"}, earlier={"e": "v"}, partitions=9).collect()}
+    total, held, want = Counter(), {}, {}
+    for g, i, x, v in rows:
+        total[g] += x
+        want[i] = (total[g], held.get(g))
+        held[g] = v if v is not None else held.get(g)
+    assert got == want
+
+
+def test_side_switches_and_tiers_have_no_window_over_a_transcript(spark):
+    from parlance.operators import prep, psych
+    words = spark.createDataFrame([(0, i, "x") for i in range(50)], "filename int, pos long, word string")
+    files = spark.createDataFrame([("f", "@Begin\n*PAR:\thello\n\tyou\n%mor:\tco\n*INV:\tand\n@End\n*PAR:\tlate"),
+                                   ("g", "*PAR:\tno end\n%com:\tnote\n\tmore\n%gra:\t1|0"), ("h", "@End")], "filename string, text string")
+    tiers = prep.chat_tiers(prep.chat_lines(files))
+    got = {(r["filename"], r["utt_idx"]): (r["speaker"], r["text"], r["mor"], r["gra"]) for r in tiers.collect()}
+    assert got == {("f", 1): ("PAR", "hello you", "co", ""), ("f", 2): ("INV", "and", "", ""), ("g", 1): ("PAR", "no end", "", "1|0")}
+    for df in (tiers, psych.side_switches(spark, words)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert all("_pid" in line for line in plan.splitlines() if "Window [" in line or "Window " in line and "windowspec" in line), plan
+
+
+def test_permutation_is_a_bijection_and_does_not_depend_on_partitions(spark):
+    for n in (1, 2, 3, 7, 50, 401):
+        df = spark.createDataFrame([(i * 3, f"x{i}") for i in range(n)], "filename int, extra string")
+        got = [{r["filename"]: r["position"] for r in assemble.seeded_permutation(df.repartition(p), "filename", 5).collect()} for p in (1, 5)]
+        assert got[0] == got[1] and sorted(got[0].values()) == list(range(n))
+    other = {r["filename"]: r["position"] for r in assemble.seeded_permutation(df, "filename", 6).collect()}
+    same = sum(other[k] == got[0][k] for k in other)
+    assert same < 20
+    assert abs(np.corrcoef(sorted(got[0]), [got[0][k] for k in sorted(got[0])])[0, 1]) < 0.2
+    both = assemble.concat_and_shuffle([df, df.limit(3)]).collect()
+    assert sorted(r["position"] for r in both) == list(range(404)) and Counter(r["part"] for r in both) == {0: 401, 1: 3}
+    assert assemble.seeded_permutation(df.limit(0), "filename").count() == 0
+
+
+def test_density_ratio_ascent_matches_numpy_over_stages(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(60, 3)) + (np.arange(60) >= 30)[:, None] * 0.8
+    df = spark.createDataFrame([(i, int(i >= 30), [float(v) for v in x[i]]) for i in range(60)], "vec_id int, domain int, features array<double>")
+    jobs = []
+    ascend = distance._ascend
+    monkeypatch.setattr(distance, "_ascend", lambda *a: jobs.append(1) or ascend(*a, steps=7))
+    got = distance.neg_j_score(df.repartition(3), max_centers=100, max_iter=40, tol=1e-9, gamma=0.3)
+    k = np.exp(-0.3 * ((x[:, None] - x[None, 30:]) ** 2).sum(-1))
+    b, a, eps = k[:30].mean(0), k[30:], np.finfo(float).eps
+    alpha, prev = np.ones(30) / 30, -np.inf
+    score = np.mean(np.log(a @ alpha + eps))
+    for _ in range(40):
+        if not score - prev > 1e-9:
+            break
+        prev = score
+        alpha = alpha + 1e-4 * (a / (a @ alpha + eps)[:, None]).sum(0)
+        alpha = np.maximum(0, alpha + b * ((1 - b @ alpha) / (b @ b + eps)))
+        alpha = alpha / (b @ alpha + eps)
+        score = np.mean(np.log(a @ alpha + eps))
+    assert got == pytest.approx(-score, abs=1e-9) and len(jobs) == 6

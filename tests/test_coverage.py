@@ -37,12 +37,12 @@ ORACLE = {
     "G11": "g11_side_switches", "G12": "g12_info_unit_rollup",
     "H01": "h01_pair_cosine", "H02": "h02_h05_distance_features", "H03": "h02_h05_distance_features",
     "H04": "h02_h05_distance_features", "H05": "h02_h05_distance_features",
-    "I01": "i01_recording_length_summary", "I02": "i02_duration_statistics", "I03": "i03_rate_ratios", "I04": "i04_attach_ids",
+    "I01": "i01_recording_lengths", "I02": "i02_duration_statistics", "I03": "i03_rate_ratios", "I04": "i04_attach_ids",
     "J01": "j01_feature_join", "J02": "j02_j10_labelled_feature_table", "J03": "j03_exclusion_list", "J04": "j04_cohort_filters",
     "J05": "j05_label_rule", "J06": "j06_group_key", "J07": "j07_domain_flag", "J08": "j08_prune_columns",
     "J09": "j09_named_column_slice", "J10": "j02_j10_labelled_feature_table", "J12": "j12_participant_first",
     "J13": "j13_biased_cohort", "J14": "j14_two_partitions", "J15": "j15_polynomial_terms", "J16": "j16_top_k_features",
-    "J17": "j17_concat_a08_union", "J18": "j02_j10_labelled_feature_table", "J19": "j19_long_to_wide", "J20": "j20_composition_shares",
+    "J17": "j17_concat_a08_union", "J18": "j18_target_source", "J19": "j19_long_to_wide", "J20": "j20_composition_shares",
     "K01": "k01_joint_training_set", "K02": "k02_source_target_only", "K03": "k03_feature_augmentation",
     "K04": "k04_two_source_augmentation", "K05": "k05_n_source_augmentation", "K07": "k07_fmmd_weights", "K08": "k08_fmmd_threshold",
     "K16": "k16_target_slices", "K19": "k19_check_sample_weight", "K24": "k24_dense_domains",
@@ -50,7 +50,11 @@ ORACLE = {
     "L05": "l05_paired_folds", "L06": "l06_leave_pairs_out", "L07": "l07_majority_baseline",
     "M01": "m01_m03_fold_scores", "M02": "m01_m03_fold_scores", "M03": "m01_m03_fold_scores", "M04": "m04_classification_report",
     "M05": "m05_regression_scores", "M06": "m06_fold_summary", "M07": "m07_pivot_features", "M08": "m08_fold_averaged_weights",
-    "M09": "m09_welch_table", "M10": "m10_paired_t", "M12": "m12_mcnemar", "N01": "n01_cov_distance",
+    "M09": "m09_welch_pvalue", "M10": "m10_paired_t_pvalue", "M11": "m11_wilcoxon", "M12": "m12_mcnemar_pvalue", "N01": "n01_cov_distance",
+    "N02": "n02_frechet_distance", "N03": "n03_power_method", "N04": "n04_normalized_power_method", "N05": "n05_normalized_frechet_distance",
+    "J11": "j11_seeded_permutation", "K09": "k09_k10_tradaboost_one_feature", "K10": "k09_k10_tradaboost_one_feature",
+    "K11": "k11_k12_r2_one_feature", "K12": "k11_k12_r2_one_feature", "K13": "k13_fixed_source_one_feature",
+    "K17": "k17_sample_weights_one_feature", "K18": "k18_weighted_bootstrap", "K21": "k21_logistic_one_feature",
 }
 
 # Operator -> test (readers and sinks need files, model fits need small data
@@ -58,24 +62,18 @@ ORACLE = {
 TESTED = {
     "A01": "test_sources.test_feature_csv_and_sink", "A02": "test_sources.test_nested_and_glob",
     "A03": "test_sources.test_feature_csv_and_sink", "A04": "test_sources.test_text_folders",
-    "A06": "test_sources.test_wav_headers", "A10": "test_sources.test_feature_csv_and_sink",
-    "J11": "test_regressions.test_seeded_shuffle_keeps_rows",
-    "K06": "test_invariants.test_coral_aligns_covariance", "K09": "test_boosting.test_tradaboost_matches_numpy",
-    "K10": "test_boosting.test_tradaboost_matches_numpy", "K11": "test_boosting.test_tradaboost_r2_matches_numpy",
-    "K12": "test_boosting.test_tradaboost_r2_matches_numpy", "K13": "test_boosting.test_fixed_source_r2_matches_numpy",
-    "K14": "test_boosting.test_two_stage_matches_numpy", "K15": "test_regressions.test_find_beta_is_exact",
-    "K17": "test_boosting.test_two_stage_matches_numpy", "K18": "test_regressions.test_bootstrap_draws_large_rates",
-    "K20": "test_invariants.test_adapted_estimator_dispatch",
-    "M11": "test_stats.test_wilcoxon_exact", "N02": "test_invariants.test_frechet_matches_numpy",
-    "N03": "test_regressions.test_discrepancies_match_numpy", "N04": "test_regressions.test_discrepancies_match_numpy",
-    "N05": "test_regressions.test_discrepancies_match_numpy",
+    "A06": "test_files.test_wav_headers_of_a_folder", "A10": "test_sources.test_feature_csv_and_sink",
+    "K06": "test_invariants.test_coral_aligns_covariance", "K14": "test_linear.test_two_stage_matches_numpy",
+    "K15": "test_regressions.test_find_beta_is_exact", "K20": "test_any_size.test_bootstrap_branch_fits_on_the_sample",
+    "L08": "test_grid.test_every_cell_of_the_grid_matches_numpy", "L09": "test_grid.test_every_cell_of_the_grid_matches_numpy",
+    "L10": "test_grid.test_every_cell_of_the_grid_matches_numpy", "M13": "test_grid.test_fitted_weights_per_block",
+    "N06": "test_any_size.test_density_ratio_ascent_matches_numpy_over_stages",
 }
 
 # Operator -> registered query whose rows nothing checks exactly.
 ROWS_ONLY = {
-    "K21": "k21_logistic_target_only", "K22": "k22_balanced_linear_svm", "K23": "k23_coral_regression",
-    "L08": "l08_l09_cv_grid", "L09": "l08_l09_cv_grid", "L10": "l10_bias_settings", "M13": "m13_ranked_significance",
-    "N06": "n06_neg_j_score", "N07": "n07_domain_classifier", "N08": "n08_reverse_validation", "N09": "n09_adapted_distance",
+    "K22": "k22_balanced_linear_svm", "K23": "k23_coral_regression",
+    "N07": "n07_domain_classifier", "N08": "n08_reverse_validation", "N09": "n09_adapted_distance",
 }
 
 

@@ -3,8 +3,8 @@
 Moment-based distances (N01–N05) need per-domain means and covariances —
 distributed tree aggregates returning d and d×d arrays — then small dense
 linear algebra on the driver (d×d, bounded by the feature count). N06 keeps
-the kernel rows in a table and runs its ascent in barrier stages, whose tasks
-exchange ≤ max_centers numbers a step. N07/N08 are Spark ML fits.
+the kernel rows in a DataFrame and runs one aggregate per ascent step over a
+≤ max_centers vector. N07/N08 are Spark ML fits.
 """
 
 from __future__ import annotations
@@ -21,8 +21,7 @@ from ..functions.frames import cut_lineage
 from .adapt import _sym_pow, domain_moments, logistic
 
 EPS = np.finfo(float).eps
-PARTIALS = 512  # tasks of a barrier stage at most
-STEPS = 500  # ascent steps of one stage
+PARTIALS = 512
 
 
 def cov_distance(df: DataFrame, features_col="features", domain_col="domain") -> float:
@@ -93,8 +92,8 @@ def neg_j_score(df: DataFrame, features_col="features", domain_col="domain", key
     Centres = the ``max_centers`` target rows with the smallest seeded hash
     of their key (a repeatable random draw). Kernel exp(−γ‖x − c‖²); by default γ = 1 / the mean
     squared target distance (computed from moments, no pair enumeration).
-    The kernel rows (≤ max_centers wide) are written once; the ascent runs on
-    them in barrier stages (``_ascend``).
+    The kernel rows (≤ max_centers wide) are checkpointed once; each ascent
+    step is one aggregate over them.
     """
     tgt = df.filter(F.col(domain_col) != 0)
     centers = [np.asarray(r[0], dtype=float) for r in
@@ -111,56 +110,45 @@ def neg_j_score(df: DataFrame, features_col="features", domain_col="domain", key
     rows = cut_lineage(df.select(domain_col, kern.alias("k")))
     b = np.asarray(rows.filter(F.col(domain_col) == 0).select(
         Summarizer.mean(array_to_vector("k")).alias("m")).first()["m"].toArray())
-    state = (np.ones(len(C)) / len(C), -np.inf, 0, False)
-    while not state[3]:
-        state = _ascend(rows.filter(F.col(domain_col) != 0).select("k"), b, state, max_iter, tol)
-    return -state[1]
-
-
-def _ascend(rows: DataFrame, b: np.ndarray, state: tuple, max_iter: int, tol: float, steps: int = STEPS) -> tuple:
-    """Up to ``steps`` projected ascent steps in one job: (alpha, objective,
-    steps so far, done), from such a state.
-
-    The tasks of a barrier stage hold their kernel rows and exchange a gradient
-    and a sum per step (as wide as there are centres), so a step is no job.
-    All of them move alpha alike from the same sums. A lost task starts the
-    stage again, that is at most ``steps`` steps: the driver keeps the state
-    between stages."""
-    alpha0, objective0, k0, _ = state
-    spark = rows.sparkSession
-    # A barrier stage starts only when all its tasks can run at once.
-    parts = rows.coalesce(max(1, min(PARTIALS, spark.sparkContext.defaultParallelism)))
-
-    def run(batches):
-        from pyspark import BarrierTaskContext
-        held = [np.vstack(pdf["k"].to_numpy()) for pdf in batches if len(pdf)]
-        kernel = np.vstack(held) if held else np.zeros((0, len(b)))
-        task = BarrierTaskContext.get()
-
-        def gathered(alpha):
-            dot = kernel @ alpha + EPS
-            mine = np.concatenate([(kernel / dot[:, None]).sum(0), [np.log(dot).sum(), len(dot)]])
-            all_ = np.sum([np.frombuffer(bytes.fromhex(x)) for x in task.allGather(mine.tobytes().hex())], axis=0)
-            return all_[:-2], all_[-2] / all_[-1]
-        alpha, prev, k = np.array(alpha0), objective0, k0
-        grad, objective = gathered(alpha)
-        for _ in range(steps):
-            # The state's objective is alpha's own: it ends nothing at the start of a stage.
-            if k >= max_iter or k > k0 and not objective - prev > tol:
-                break
-            prev = objective
-            alpha = alpha + 1e-4 * grad
-            alpha = alpha + b * ((1 - b @ alpha) / (b @ b + EPS))
-            alpha = np.maximum(0, alpha)
-            alpha = alpha / (b @ alpha + EPS)
-            grad, objective = gathered(alpha)
-            k += 1
-        done = k >= max_iter or k > k0 and not objective - prev > tol
-        if task.partitionId() == 0:
-            yield pd.DataFrame({"alpha": [alpha.tolist()], "objective": [objective], "k": [k], "done": [bool(done)]})
-
-    r = parts.mapInPandas(run, "alpha array<double>, objective double, k long, done boolean", barrier=True).collect()[0]
-    return np.array(r["alpha"]), r["objective"], r["k"], r["done"]
+    # At most PARTIALS tasks a step, so what a step sends back is bounded.
+    A = rows.filter(F.col(domain_col) != 0).select("k").coalesce(PARTIALS)
+    m = len(C)
+
+    def step(alpha):
+        # One pass over the target kernel rows per step: each Arrow batch
+        # returns its partial gradient and log-sum; the plan is the same
+        # every step (alpha travels in the closure), so nothing recompiles.
+        a = np.asarray(alpha, dtype=float)
+
+        def partial(batches):
+            g, o, n = np.zeros(m), 0.0, 0
+            for pdf in batches:
+                if len(pdf) == 0:
+                    continue
+                K = np.vstack(pdf["k"].to_numpy())
+                dot = K @ a + EPS
+                g += (K / dot[:, None]).sum(axis=0)
+                o += float(np.log(dot).sum())
+                n += len(pdf)
+            yield pd.DataFrame({"g": [g.tolist()], "o": [o], "n": [n]})
+
+        parts = A.mapInPandas(partial, "g array<double>, o double, n long").collect()
+        n = sum(r["n"] for r in parts)
+        return np.sum([np.asarray(r["g"]) for r in parts], axis=0), sum(r["o"] for r in parts) / n
+
+    alpha = np.ones(m) / m
+    grad, objective = step(alpha)
+    prev = -np.inf
+    k = 0
+    while k < max_iter and objective - prev > tol:
+        prev = objective
+        alpha = alpha + 1e-4 * grad
+        alpha = alpha + b * ((1 - b @ alpha) / (b @ b + EPS))
+        alpha = np.maximum(0, alpha)
+        alpha = alpha / (b @ alpha + EPS)
+        grad, objective = step(alpha)
+        k += 1
+    return -objective
 
 
 def domain_classifier(df: DataFrame, features_col="features", domain_col="domain", seed: int = 0) -> float:

@@ -9,8 +9,8 @@ raw tf and L2 norms, for a pair (a, b) with shared terms S:
 
 so everything a pair needs are three sums over the terms both texts hold.
 
-The features H02-H05 need no pairs as rows. The utterances of a transcript are
-dealt into blocks, and every pair of blocks is a group of bounded size: its
+The features H02-H05 need no pairs as rows, but for transcripts of at most one
+block. The utterances of a longer transcript are dealt into blocks, and every pair of blocks is a group of bounded size: its
 task has both blocks' term counts as matrices, gets the three sums of all its
 pairs by matrix products, and returns their number, sum, minimum and counts
 under the thresholds. A transcript of a third of all utterances is spread over
@@ -134,11 +134,24 @@ def _block_pair(a: pd.DataFrame, b: pd.DataFrame | None, thresholds) -> tuple:
     return len(s), float(s.sum()), float(s.min()) if len(s) else None, [int((s <= t).sum()) for t in thresholds]
 
 
+def _pair_sums(pairs: DataFrame, thresholds) -> DataFrame:
+    return pairs.groupBy("filename").agg(
+        F.count("*").alias("m"), F.sum("cosine").alias("s"), F.min("cosine").alias("mn"),
+        *[F.count_if(F.col("cosine") <= t).alias(f"le{i}") for i, t in enumerate(thresholds)])
+
+
 def matched_sums(terms: DataFrame, thresholds=(0.0, 0.3, 0.5), block: int = BLOCK) -> DataFrame:
     """(filename, m, s, mn, le0, le1, ...): over the pairs of a transcript's
     utterances that share a term, their number, sum, minimum and counts."""
     names = [f"le{k}" for k in range(len(thresholds))]
-    terms = cut_lineage(terms)  # read once to list the blocks, once to send them
+    terms = cut_lineage(terms)  # read to list the blocks, and to send them
+    # Transcripts of one block have few pairs: those are summed as rows, which
+    # costs less than a group each.
+    large = cut_lineage(terms.groupBy("filename").agg(F.max("utt_idx").alias("_top")).filter(F.col("_top") >= block).select("filename"))
+    if large.isEmpty():
+        return _pair_sums(pair_cosine(terms, materialize=False), thresholds)
+    small = _pair_sums(pair_cosine(terms.join(large, "filename", "left_anti"), materialize=False), thresholds)
+    terms = terms.join(large, "filename", "left_semi")
     dealt = terms.withColumn("_b", F.floor(F.col("utt_idx") / block).cast("int"))
     own = dealt.groupBy("filename", "_b").agg(F.lit(1)).select("filename", "_b")
     # A block goes to the group of every block pair that it is part of.
@@ -155,8 +168,8 @@ def matched_sums(terms: DataFrame, thresholds=(0.0, 0.3, 0.5), block: int = BLOC
     kind = terms.schema["filename"].dataType.simpleString()
     parts = sent.groupBy("filename", "_i", "_j").applyInPandas(
         run, f"filename {kind}, m long, s double, mn double, " + ", ".join(f"{n} long" for n in names))
-    return parts.groupBy("filename").agg(F.sum("m").alias("m"), F.sum("s").alias("s"), F.min("mn").alias("mn"),
-                                         *[F.sum(n).alias(n) for n in names])
+    return small.unionByName(parts.groupBy("filename").agg(F.sum("m").alias("m"), F.sum("s").alias("s"), F.min("mn").alias("mn"),
+                                                           *[F.sum(n).alias(n) for n in names]))
 
 
 def distance_features(utts: DataFrame, found: DataFrame, thresholds=(0.0, 0.3, 0.5),
@@ -167,9 +180,7 @@ def distance_features(utts: DataFrame, found: DataFrame, thresholds=(0.0, 0.3, 0
     only with ``include_zero``). ``found`` holds the utterances' terms, or
     the pairs of ``pair_cosine`` where these are there anyway."""
     n = utts.groupBy("filename").agg(F.count("*").alias("n"))
-    s = matched_sums(found, thresholds) if "term" in found.columns else found.groupBy("filename").agg(
-        F.sum("cosine").alias("s"), F.min("cosine").alias("mn"), F.count("*").alias("m"),
-        *[F.count_if(F.col("cosine") <= t).alias(f"le{i}") for i, t in enumerate(thresholds)])
+    s = (matched_sums if "term" in found.columns else _pair_sums)(found, thresholds)
     j = n.join(s, "filename", "left").fillna(0, ["m"]).fillna(0.0, ["s"])
     P = (F.col("n") * (F.col("n") - 1) / 2).cast("long")
     total = P + 1 if include_zero else P

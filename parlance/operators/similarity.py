@@ -9,12 +9,15 @@ raw tf and L2 norms, for a pair (a, b) with shared terms S:
 
 so everything a pair needs are three sums over the terms both texts hold.
 
-The features H02-H05 need no pairs as rows, but for transcripts of at most one
-block. The utterances of a longer transcript are dealt into blocks, and every pair of blocks is a group of bounded size: its
-task has both blocks' term counts as matrices, gets the three sums of all its
-pairs by matrix products, and returns their number, sum, minimum and counts
-under the thresholds. A transcript of a third of all utterances is spread over
-as many tasks as it has block pairs.
+The features H02-H05 need no pairs as rows. The utterances of a transcript are
+dealt into blocks. The texts of a block are shuffled together and its words
+made where they are used; one task after the other block has the term counts
+as a matrix, gets the three sums of all its pairs by matrix products, and
+returns their number, sum, minimum and counts under the thresholds. So what is
+shuffled grows with the texts, not with their pairs. Only a transcript of
+several blocks also meets across them: every pair of its blocks is a group of
+bounded size, and a transcript of a third of all utterances is spread over as
+many tasks as it has block pairs.
 
 H01 returns the pairs that share a term, from an equi-join of the (filename,
 term) posting lists. The postings of a term that many utterances of one
@@ -29,7 +32,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,24 +44,42 @@ from ..functions.frames import cut_lineage
 C_ONE_SIDED = 1.0 + math.log(1.5)  # idf of a term present in one text of the pair
 POSTINGS = 256  # postings of one (transcript, term) in a join key
 BLOCK = 256  # utterances of one transcript in a block
+BROADCAST_ROWS = 500_000  # transcripts of several blocks, listed to the tasks
 CELLS = 4_000_000  # entries of a dense term matrix held at once
 
 
-def utterance_terms(spark: SparkSession, utts: DataFrame) -> DataFrame:
+def utterance_terms(spark: SparkSession, utts: DataFrame, block: int | None = None) -> DataFrame:
     """B14 normalisation for similarity: strip punctuation, lower-case,
     tokenise, stem; stop words removed. Returns (filename, utt_idx, term, tf).
 
     Explode + stem + broadcast anti join + partial-aggregated count, all in
     whole-stage codegen (measured faster than counting inside each row with
     higher-order functions, which Spark evaluates without codegen).
+
+    With ``block``, for ``matched_sums`` of that block size: (filename, block,
+    utt_idx, term), a row an utterance with the array of its terms, uncounted.
+    The texts, not the terms, are shuffled, and a term costs no row on the way
+    to Python.
     """
     norm = F.lower(F.regexp_replace("text", tx.PUNCT_RE, ""))
+    if block:
+        term = F.filter(F.transform(tx.tokens(norm), tx.light_stem), lambda w: ~w.isin(list(lx.STOP_WORDS)))
+        dealt = _dealt(utts.select("filename", "utt_idx", "text"), block)
+        return dealt.select("filename", "block", "utt_idx", term.alias("term")).filter(F.size("term") > 0)
     t = utts.select("filename", "utt_idx", F.explode(tx.tokens(norm)).alias("w"))
     t = t.select("filename", "utt_idx", tx.light_stem("w").alias("word"))
     t = t.join(lx.stop_words_df(spark), "word", "left_anti")
     return t.groupBy("filename", "utt_idx", F.col("word").alias("term")).agg(F.count("*").alias("tf"))
 
 
+def _dealt(rows: DataFrame, block: int) -> DataFrame:
+    """Rows of a transcript's utterances with their ``block``; those of one
+    block lie in one partition, one after the other."""
+    rows = rows.filter(F.col("filename").isNotNull() & F.col("utt_idx").isNotNull())
+    return (rows.withColumn("block", F.floor(F.col("utt_idx") / block).cast("long"))
+            .repartition("filename", "block").sortWithinPartitions("filename", "block"))
+
+
 def pair_cosine(terms: DataFrame, materialize: bool = True, postings: int = POSTINGS) -> DataFrame:
     """H01 for every pair (a < b) of one transcript sharing at least one term.
 
@@ -98,42 +120,107 @@ def pair_cosine(terms: DataFrame, materialize: bool = True, postings: int = POST
     return p.select("filename", "utt_a", "utt_b", (F.col("dot") / (na * nb)).alias("cosine"))
 
 
-def _block_pair(a: pd.DataFrame, b: pd.DataFrame | None, thresholds) -> tuple:
+def _matched(x: tuple, y: tuple | None, thresholds) -> tuple:
     """(pairs sharing a term, sum, minimum, counts at or below each
     threshold) over the pairs of two blocks' utterances, or of one block's
-    own. Terms are taken in runs, so the dense matrices stay bounded."""
-    both = a if b is None else pd.concat([a, b])
-    term, utt = pd.factorize(both["term"])[0], both["utt_idx"].to_numpy()
-    tf = both["tf"].to_numpy(float)
-    n = len(a)
-    rows, ra = np.unique(utt[:n], return_inverse=True)
-    cols, rb = (rows, ra) if b is None else np.unique(utt[n:], return_inverse=True)
-    ta, tb = term[:n], term[:n] if b is None else term[n:]
-    fa, fb = tf[:n], tf[:n] if b is None else tf[n:]
-    dot, sa, sb = (np.zeros((len(rows), len(cols))) for _ in range(3))
-    # Terms of one side only add to the norms, not to what the pair shares.
-    common = np.intersect1d(ta, tb)
-    step = max(1, CELLS // max(len(rows), len(cols), 1))
+    own. A block is (utterances, term codes, counts) of its rows; a term that
+    stands in several rows of an utterance counts their sum. Terms are taken
+    in runs, so the dense matrices stay bounded."""
+    blocks = []
+    for utt, term, tf in (x,) if y is None else (x, y):
+        key = utt.astype(np.int64) << 32 | term
+        if (key[1:] <= key[:-1]).any():  # else each term once, in order
+            key, at = np.unique(key, return_inverse=True)
+            tf = np.bincount(at, tf, len(key))
+        rows, r = np.unique(key >> 32, return_inverse=True)
+        blocks.append((len(rows), r, key & 0xFFFFFFFF, tf, np.bincount(r, tf * tf, len(rows))))
+    a, b = blocks[0], blocks[-1]
+    if y is None:  # terms of one utterance only add to the norms, not to what a pair shares
+        held, n = np.unique(a[2], return_counts=True)
+        common = held[n > 1]
+    else:
+        common = np.intersect1d(a[2], b[2])
+    if not len(common):
+        return 0, 0.0, None, [0] * len(thresholds)
+    dot, sa, sb = (np.zeros((a[0], b[0])) for _ in range(3))
+    step = max(1, CELLS // max(a[0], b[0], 1))
     for lo in range(0, len(common), step):
         run = common[lo:lo + step]
-        x, y = np.zeros((len(rows), len(run))), np.zeros((len(cols), len(run)))
-        for m, t, r, f in ((x, ta, ra, fa), (y, tb, rb, fb)):
+        dense = []
+        for size, r, t, f, _ in blocks:
             at = np.minimum(np.searchsorted(run, t), len(run) - 1)
             hit = run[at] == t
+            m = np.zeros((size, len(run)))
             m[r[hit], at[hit]] = f[hit]
-        dot += x @ y.T
-        sa += (x * x) @ (y > 0).T
-        sb += (x > 0).astype(float) @ (y * y).T
+            dense.append(m)
+        u, v = dense[0], dense[-1]
+        both = u @ v.T
+        dot += both
+        if u.max() <= 1 and v.max() <= 1:
+            sa += both
+            sb += both
+        elif y is None:
+            one = (u * u) @ (u > 0).astype(float).T
+            sa += one
+            sb += one.T
+        else:
+            sa += (u * u) @ (v > 0).astype(float).T
+            sb += (u > 0).astype(float) @ (v * v).T
     c2 = C_ONE_SIDED * C_ONE_SIDED
-    qa, qb = np.bincount(ra, fa * fa, len(rows)), np.bincount(rb, fb * fb, len(cols))
-    keep = dot > 0
-    if b is None:
-        keep &= np.triu(np.ones_like(keep), 1)
-    i, j = np.nonzero(keep)
-    s = dot[i, j] / (np.sqrt(c2 * qa[i] - (c2 - 1) * sa[i, j]) * np.sqrt(c2 * qb[j] - (c2 - 1) * sb[i, j]))
+    i, j = np.nonzero(np.triu(dot > 0, 1) if y is None else dot > 0)
+    s = dot[i, j] / (np.sqrt(c2 * a[4][i] - (c2 - 1) * sa[i, j]) * np.sqrt(c2 * b[4][j] - (c2 - 1) * sb[i, j]))
     return len(s), float(s.sum()), float(s.min()) if len(s) else None, [int((s <= t).sum()) for t in thresholds]
 
 
+def _terms(t: pa.Table) -> tuple:
+    """(utterances, term codes, counts, the place of each row's first term):
+    of rows with a term and its ``tf``, or with an array of terms."""
+    utt, term = t.column("utt_idx").to_numpy().astype(np.int64), t.column("term").combine_chunks()
+    if pa.types.is_list(term.type):
+        n = pc.list_value_length(term).to_numpy()
+        utt, start, term, tf = np.repeat(utt, n), np.append(0, np.cumsum(n)), term.flatten(), np.ones(n.sum())
+    else:
+        start, tf = np.arange(len(utt) + 1), t.column("tf").to_numpy().astype(float)
+    return utt, term.dictionary_encode().indices.to_numpy().astype(np.int64), tf, start
+
+
+def _own_sums(batches, thresholds):
+    """A row for every block of batches that hold a block's rows one after the
+    other."""
+    def table(parts):
+        t = pa.Table.from_batches(parts)
+        key = [t.column(c).combine_chunks() for c in ("filename", "block")]
+        new = pc.or_(*[pc.not_equal(k.slice(1), k.slice(0, len(k) - 1)) for k in key])
+        return t, [0, *(np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1).tolist(), len(t)]
+
+    def sums(t, at):
+        utt, code, tf, start = _terms(t)
+        names, blocks = (t.column(c).take(pa.array(at[:-1], pa.int64())) for c in ("filename", "block"))
+        found = []
+        for lo, hi in zip(start[at[:-1]], start[at[1:]]):
+            u = utt[lo:hi]
+            found.append(_matched((u - u.min(), code[lo:hi], tf[lo:hi]), None, thresholds))
+        cols = [names.combine_chunks(), blocks.combine_chunks(), *[[f[k] for f in found] for k in range(3)],
+                *[[f[3][k] for f in found] for k in range(len(thresholds))]]
+        kinds = [names.type, blocks.type, pa.int64(), pa.float64(), pa.float64(), *[pa.int64()] * len(thresholds)]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) if isinstance(c, list) else c for c, k in zip(cols, kinds)],
+                                          names=["filename", "block", "m", "s", "mn", *[f"le{k}" for k in range(len(thresholds))]])
+
+    held: list = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held and all(held[-1].column(c)[-1] == b.column(c)[i] for c in (0, 1) for i in (0, b.num_rows - 1)):
+            held.append(b)  # no block ends here
+            continue
+        t, at = table([*held, b])
+        if len(at) > 2:
+            yield sums(t.slice(0, at[-2]), at[:-1])
+        held = t.slice(at[-2]).combine_chunks().to_batches()
+    if held:
+        yield sums(*table(held))
+
+
 def _pair_sums(pairs: DataFrame, thresholds) -> DataFrame:
     return pairs.groupBy("filename").agg(
         F.count("*").alias("m"), F.sum("cosine").alias("s"), F.min("cosine").alias("mn"),
@@ -142,34 +229,35 @@ def _pair_sums(pairs: DataFrame, thresholds) -> DataFrame:
 
 def matched_sums(terms: DataFrame, thresholds=(0.0, 0.3, 0.5), block: int = BLOCK) -> DataFrame:
     """(filename, m, s, mn, le0, le1, ...): over the pairs of a transcript's
-    utterances that share a term, their number, sum, minimum and counts."""
+    utterances that share a term, their number, sum, minimum and counts.
+    ``terms`` are those of ``utterance_terms``, at best with this ``block``;
+    a term of an utterance may come more than once."""
     names = [f"le{k}" for k in range(len(thresholds))]
-    terms = cut_lineage(terms)  # read to list the blocks, and to send them
-    # Transcripts of one block have few pairs: those are summed as rows, which
-    # costs less than a group each.
-    large = cut_lineage(terms.groupBy("filename").agg(F.max("utt_idx").alias("_top")).filter(F.col("_top") >= block).select("filename"))
-    if large.isEmpty():
-        return _pair_sums(pair_cosine(terms, materialize=False), thresholds)
-    small = _pair_sums(pair_cosine(terms.join(large, "filename", "left_anti"), materialize=False), thresholds)
-    terms = terms.join(large, "filename", "left_semi")
-    dealt = terms.withColumn("_b", F.floor(F.col("utt_idx") / block).cast("int"))
-    own = dealt.groupBy("filename", "_b").agg(F.lit(1)).select("filename", "_b")
-    # A block goes to the group of every block pair that it is part of.
-    other = own.select("filename", F.col("_b").alias("_o"))
-    mates = own.join(other, "filename").select("filename", "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
-    sent = dealt.join(mates, ["filename", "_b"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["_i"].iloc[0], pdf["_j"].iloc[0]
-        a = pdf[pdf["_b"] == i]
-        m, s, mn, le = _block_pair(a, None if i == j else pdf[pdf["_b"] == j], thresholds)
-        return pd.DataFrame([[pdf["filename"].iloc[0], m, s, mn, *le]], columns=["filename", "m", "s", "mn", *names])
-
+    dealt = terms if "block" in terms.columns else _dealt(terms, block)
+    dealt = dealt.select("filename", "block", "utt_idx", "term", *(["tf"] if "tf" in dealt.columns else []))
     kind = terms.schema["filename"].dataType.simpleString()
-    parts = sent.groupBy("filename", "_i", "_j").applyInPandas(
-        run, f"filename {kind}, m long, s double, mn double, " + ", ".join(f"{n} long" for n in names))
-    return small.unionByName(parts.groupBy("filename").agg(F.sum("m").alias("m"), F.sum("s").alias("s"), F.min("mn").alias("mn"),
-                                                           *[F.sum(n).alias(n) for n in names]))
+    found = "m long, s double, mn double, " + ", ".join(f"{n} long" for n in names)
+    # A row a block, read below to list the blocks.
+    own = cut_lineage(dealt.mapInArrow(lambda b: _own_sums(b, thresholds), f"filename {kind}, block long, {found}"))
+    sums = own.drop("block")
+    large = cut_lineage(own.groupBy("filename").agg(F.count("*").alias("_n")).filter("_n > 1").select("filename"))
+    several = large.count()
+    if several:
+        large = F.broadcast(large) if several <= BROADCAST_ROWS else large
+        blocks = own.join(large, "filename", "left_semi").select("filename", F.col("block").alias("_b"))
+        # A block goes to the group of every block pair that it is part of.
+        mates = blocks.join(blocks.withColumnRenamed("_b", "_o"), "filename").filter("_b <> _o").select(
+            "filename", F.col("_b").alias("block"), F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
+        sent = dealt.join(large, "filename", "left_semi").join(mates, ["filename", "block"])
+
+        def run(t: pa.Table) -> pa.Table:
+            utt, code, tf, start = _terms(t)
+            first = np.repeat(pc.equal(t.column("block"), t.column("_i")).to_numpy(), np.diff(start))
+            m, s, mn, le = _matched(*[(utt[k] - utt[k].min(), code[k], tf[k]) for k in (first, ~first)], thresholds)
+            return pa.table({"filename": t.column("filename").slice(0, 1), "m": pa.array([m], pa.int64()), "s": [s], "mn": pa.array([mn], pa.float64()),
+                             **{n: pa.array([k], pa.int64()) for n, k in zip(names, le)}})
+        sums = sums.unionByName(sent.groupBy("filename", "_i", "_j").applyInArrow(run, f"filename {kind}, {found}"))
+    return sums.groupBy("filename").agg(F.sum("m").alias("m"), F.sum("s").alias("s"), F.min("mn").alias("mn"), *[F.sum(n).alias(n) for n in names])
 
 
 def distance_features(utts: DataFrame, found: DataFrame, thresholds=(0.0, 0.3, 0.5),

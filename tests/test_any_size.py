@@ -261,3 +261,49 @@ def test_density_ratio_ascent_matches_numpy(spark):
         alpha = alpha / (b @ alpha + eps)
         score = np.mean(np.log(a @ alpha + eps))
     assert got == pytest.approx(-score, abs=1e-9)
+
+
+# --- H02-H05 without pair rows, types tagged once, bounded sums --------------------
+
+@pytest.mark.parametrize("size", [4, 1000])
+def test_sums_of_texts_need_no_pair_rows(spark, monkeypatch, size):
+    """Texts dealt by block give the features of the pairs, and the pairs are
+    made as rows for no transcript, however short."""
+    rng = np.random.default_rng(2)
+    rows = [(f, u, " ".join(rng.choice(["Hot", "hot,", "boys", "the", "singing", "x1", "été"], int(rng.integers(0, 9)))))
+            for f, n in ((1, 30), (2, 6), (3, 1), (4, 2)) for u in rng.permutation(n).tolist()]
+    rows += [(5, 0, None), (5, 1, "hot hot"), (5, 1 << 40, "hot"), (None, 0, "hot"), (6, 0, "one row"), (6, 0, "row one")]
+    utts = spark.createDataFrame(rows, "filename int, utt_idx long, text string")
+    want = {tuple(r) for r in sim.distance_features(utts, sim.pair_cosine(sim.utterance_terms(spark, utts))).collect()}
+    monkeypatch.setattr(sim, "pair_cosine", None)
+    terms = sim.utterance_terms(spark, utts, block=size)
+    assert terms.count() <= len(rows)
+    monkeypatch.setattr(sim, "BLOCK", size)
+    sums = {r["filename"]: r["m"] for r in sim.matched_sums(terms, block=size).collect()}
+    assert sums[5] == 1 and sums[6] == 0 and None not in sums
+    assert {tuple(r) for r in sim.distance_features(utts, terms).collect()} == want
+
+
+def test_own_sums_of_blocks_over_many_batches(spark):
+    import pyarrow as pa
+    t = pa.table({"filename": ["a"] * 6 + ["b"] * 2, "block": [0] * 4 + [1] * 2 + [0] * 2, "utt_idx": [0, 1, 2, 3, 4, 5, 0, 1],
+                  "term": [["x"], ["x", "x"], ["y"], ["x"], ["z"], ["z"], ["q"], ["r"]]})
+    for size in (1, 2, 3, 8):
+        got = [r for b in sim._own_sums(t.to_batches(max_chunksize=size), (0.3,)) for r in b.to_pylist()]
+        assert [(r["filename"], r["block"], r["m"]) for r in got] == [("a", 0, 3), ("a", 1, 1), ("b", 0, 0)]
+
+
+@pytest.mark.parametrize("bound", [0, 1000])
+def test_types_are_tagged_once(spark, monkeypatch, bound):
+    from parlance.operators import lexical as lex, prep
+    toks = spark.createDataFrame([(f, 0, i, w) for f in (1, 2) for i, w in enumerate("The boys were singing , and the Boys sang 12 the".split()[:11 - f])],
+                                 "filename int, utt_idx int, tok_idx int, token string")
+    types = lex.token_types(toks)
+    want = {tuple(r) for r in lex.token_profile(prep.tag_tokens(spark, toks)).collect()}
+    rich = {tuple(r) for r in lex.richness_scalar(lex.rich_terms(toks)).collect()}
+    whole, seen = prep.tag_tokens, []
+    monkeypatch.setattr(prep, "tag_tokens", lambda s, t: seen.append(t.count()) or whole(s, t))
+    assert {tuple(r) for r in lex.token_profile(prep.tag_types(spark, types, bound)).collect()} == want
+    rows, vocabulary = types.count(), toks.select("token").distinct().count()
+    assert seen == ([0, rows] if bound == 0 else [vocabulary, 0])
+    assert {tuple(r) for r in lex.richness_scalar(lex.rich_terms(types)).collect()} == rich

@@ -19,10 +19,18 @@ from ..functions import text as tx
 from ..functions.frames import grouped_prefix_sum
 
 
+def token_types(toks: DataFrame) -> DataFrame:
+    """(filename, token, f): every distinct token of a transcript once, with
+    its frequency — what the order-free measures need of the tokens."""
+    return toks.groupBy("filename", "token").agg(F.count("*").alias("f"))
+
+
 def rich_terms(toks: DataFrame) -> DataFrame:
     """Lower-cased tokens without one-character punctuation (B11), without
-    positions — enough for the order-free measures (Maas, HD-D)."""
-    return toks.filter(~tx.is_punct_token("token")).select("filename", F.lower("token").alias("term"))
+    positions — enough for the order-free measures (Maas, HD-D). The
+    frequency of ``token_types`` is kept."""
+    f = ["f"] if "f" in toks.columns else []
+    return toks.filter(~tx.is_punct_token("token")).select("filename", F.lower("token").alias("term"), *f)
 
 
 def rich_tokens(toks: DataFrame) -> DataFrame:
@@ -60,8 +68,9 @@ def token_profile(tagged: DataFrame) -> DataFrame:
     """C01 + C02 + D10 + C04 in one two-level aggregate over tagged tokens:
     per (filename, token, upos) — the tag is a function of the token — then
     per filename. Same values as ``token_counts`` + ``pos_shares`` with one
-    pass over the tokens instead of two."""
-    per_type = tagged.groupBy("filename", "token", "upos").agg(F.count("*").alias("f"))
+    pass over the tokens instead of two. Tagged ``token_types`` have the first
+    level behind them."""
+    per_type = tagged if "f" in tagged.columns else tagged.groupBy("filename", "token", "upos").agg(F.count("*").alias("f"))
     g = per_type.groupBy("filename").agg(
         F.sum("f").alias("n_tokens"), F.count("*").alias("n_unique_tokens"),
         F.sum(F.col("f") * F.length("token")).alias("chars"),
@@ -180,7 +189,7 @@ def cohort_summary(df: DataFrame, label_col: str, value_col: str) -> DataFrame:
 
 def type_counts(rich: DataFrame) -> DataFrame:
     """Per (filename, term) frequency — the first level of the richness aggregates."""
-    return rich.groupBy("filename", "term").agg(F.count("*").alias("f"))
+    return rich.groupBy("filename", "term").agg((F.sum("f") if "f" in rich.columns else F.count("*")).alias("f"))
 
 
 def richness_scalar(rich: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
 from ..functions import text as tx
-from ..functions.frames import running
+from ..functions.frames import cut_lineage, running
 
 
 # --- utterance tables ------------------------------------------------------
@@ -97,6 +97,23 @@ def tag_tokens(spark: SparkSession, toks: DataFrame) -> DataFrame:
     return t.withColumn("upos", u).drop("lex_tag", "lex_lemma", "upos0")
 
 
+def tag_types(spark: SparkSession, types: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
+    """``types``, a table with a ``token`` column, with B16's columns. The tag
+    is a function of the token: ``tag_tokens`` is run once for each token of
+    many rows (the commonest, at most ``broadcast_rows``), which are joined
+    back by broadcast, and on the rows of the others where they are."""
+    often = cut_lineage(types.groupBy("token").agg(F.floor(F.log2(F.count("*"))).cast("int").alias("_k")))
+    least, held = 64, 0
+    for r in often.groupBy("_k").agg(F.count("*").alias("n")).orderBy(F.desc("_k")).collect():  # a row a power of two
+        held += r["n"]
+        if held > broadcast_rows:
+            break
+        least = r["_k"]
+    common = F.broadcast(cut_lineage(tag_tokens(spark, often.filter(F.col("_k") >= least).select("token"))))
+    tagged = types.join(common, "token")
+    return tagged.unionByName(tag_tokens(spark, types.join(common.select("token"), "token", "left_anti")).select(tagged.columns))
+
+
 def words(toks: DataFrame) -> DataFrame:
     """Lower-cased alphabetic tokens."""
     return toks.filter(tx.is_word("token")).withColumn("word", F.lower("token"))

@@ -32,11 +32,11 @@ def doc_features(spark: SparkSession, sf_dir: str, only: DataFrame | None = None
     if only is not None:
         docs = docs.join(only.select("doc_id").distinct(), "doc_id", "left_semi")
     utts = prep.utterances_from_documents(docs)
-    toks = cut_lineage(prep.token_table(utts))
-    tagged = prep.tag_tokens(spark, toks)
+    types = cut_lineage(lex.token_types(prep.token_table(utts)))
+    tagged = prep.tag_types(spark, types)
     f12 = lex.token_profile(tagged)  # C01, C02, D10 and C04 in one pass
-    f3 = lex.richness_scalar(lex.rich_terms(toks)).select("filename", "maas", "hdd")
-    f4 = sim.distance_features(utts, sim.utterance_terms(spark, utts)).select(
+    f3 = lex.richness_scalar(lex.rich_terms(types)).select("filename", "maas", "hdd")
+    f4 = sim.distance_features(utts, sim.utterance_terms(spark, utts, block=sim.BLOCK)).select(
         "filename", "avg_cos_dist", "proportion_below_threshold_0_3")
     return asm.join_features([f12, f3, f4]).select("filename", *FEATURES)
 

@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 EPS = np.finfo(float).eps
 FAN = 64  # partial sums added by one task, or by the driver
+AT_ONCE = 1 << 18  # bytes of partial sums that the driver adds; more are added by a task first
 ROWS_PER_TASK = 2000  # a fit is many short passes: smaller partitions are merged
 
 
@@ -95,7 +96,7 @@ class Rows:
             yield out(total)
 
         parts, n = self.df.mapInArrow(run, "v array<double>"), self.parts
-        while n > FAN:
+        while n > FAN or (n > 1 and 8 * n * size > AT_ONCE):
             n = math.ceil(n / FAN)
             parts = parts.repartition(n).mapInArrow(add, "v array<double>")
         total = start()

@@ -162,3 +162,17 @@ def test_newton_reports_a_fit_that_does_not_settle():
         yield
     with pytest.raises(RuntimeError, match="settle"):
         list(linear.newton(runaway, np.zeros(1), np.zeros(1)))
+
+
+def test_wide_sums_reach_the_driver_as_one(data, monkeypatch):
+    """Many partial sums are added by tasks once they are wide together."""
+    df, x, *_ = data
+    monkeypatch.setattr(linear, "ROWS_PER_TASK", 5)
+    monkeypatch.setattr(linear, "AT_ONCE", 100)
+    merged = []
+    whole = linear._merge
+    with linear.Rows(df) as rows:
+        assert rows.parts == 7
+        monkeypatch.setattr(linear, "_merge", lambda *a: merged.append(1) or whole(*a))
+        assert np.allclose(rows.sums(lambda r: r["features"].sum(0), x.shape[1]), x.sum(0))
+    assert len(merged) == 1

@@ -35,6 +35,7 @@ EPS = np.finfo(float).eps
 FAN = 64  # partial sums added by one task, or by the driver
 AT_ONCE = 1 << 18  # bytes of partial sums that the driver adds; more are added by a task first
 ROWS_PER_TASK = 2000  # a fit is many short passes: smaller partitions are merged
+MOST_PER_TASK = 200_000  # and larger ones too, up to this, while every core has one
 
 
 def _numpy(column: pa.Array) -> np.ndarray:
@@ -63,7 +64,9 @@ class Rows:
         cols = [F.col(features).alias("features"), F.col("label").cast("double").alias("label")]
         cols += [F.col(c) for c in ("domain", *extra) if c in df.columns]
         n = df.count()
-        self.df = df.select(*cols).coalesce(max(1, math.ceil(n / ROWS_PER_TASK))).persist(StorageLevel.MEMORY_AND_DISK)
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        tasks = min(math.ceil(n / ROWS_PER_TASK), max(cores, math.ceil(n / MOST_PER_TASK)))
+        self.df = df.select(*cols).coalesce(max(1, tasks)).persist(StorageLevel.MEMORY_AND_DISK)
         self.n, self.parts = n, self.df.rdd.getNumPartitions()
 
     def __enter__(self) -> "Rows":

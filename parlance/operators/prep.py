@@ -97,11 +97,15 @@ def tag_tokens(spark: SparkSession, toks: DataFrame) -> DataFrame:
     return t.withColumn("upos", u).drop("lex_tag", "lex_lemma", "upos0")
 
 
-def tag_types(spark: SparkSession, types: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
+def tag_types(spark: SparkSession, types: DataFrame, broadcast_rows: int | None = None) -> DataFrame:
     """``types``, a table with a ``token`` column, with B16's columns. The tag
-    is a function of the token: ``tag_tokens`` is run once for each token of
-    many rows (the commonest, at most ``broadcast_rows``), which are joined
-    back by broadcast, and on the rows of the others where they are."""
+    is a function of the token. With ``broadcast_rows``, ``tag_tokens`` is run
+    once for each token of many rows (the commonest, at most that many), which
+    are joined back by broadcast, and on the rows of the others where they
+    are: for rows that are cheap to read twice. By default every row is tagged
+    in place, in one pass and without an exchange."""
+    if broadcast_rows is None:
+        return tag_tokens(spark, types)
     often = cut_lineage(types.groupBy("token").agg(F.floor(F.log2(F.count("*"))).cast("int").alias("_k")))
     least, held = 64, 0
     for r in often.groupBy("_k").agg(F.count("*").alias("n")).orderBy(F.desc("_k")).collect():  # a row a power of two

@@ -30,6 +30,7 @@ All pairs are kept: no sampling, no cap.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -227,14 +228,21 @@ def _pair_sums(pairs: DataFrame, thresholds) -> DataFrame:
         *[F.count_if(F.col("cosine") <= t).alias(f"le{i}") for i, t in enumerate(thresholds)])
 
 
-def matched_sums(terms: DataFrame, thresholds=(0.0, 0.3, 0.5), block: int = BLOCK) -> DataFrame:
+def matched_sums(terms: DataFrame, thresholds=(0.0, 0.3, 0.5), block: int = BLOCK,
+                 again: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(filename, m, s, mn, le0, le1, ...): over the pairs of a transcript's
     utterances that share a term, their number, sum, minimum and counts.
     ``terms`` are those of ``utterance_terms``, at best with this ``block``;
-    a term of an utterance may come more than once."""
+    a term of an utterance may come more than once. ``again`` gives the
+    ``terms`` of the transcripts of a table (``filename``): those of several
+    blocks are needed a second time, and the others' texts need no second
+    shuffle for it."""
     names = [f"le{k}" for k in range(len(thresholds))]
-    dealt = terms if "block" in terms.columns else _dealt(terms, block)
-    dealt = dealt.select("filename", "block", "utt_idx", "term", *(["tf"] if "tf" in dealt.columns else []))
+    def blocks_of(t):
+        t = t if "block" in t.columns else _dealt(t, block)
+        return t.select("filename", "block", "utt_idx", "term", *(["tf"] if "tf" in t.columns else []))
+
+    dealt = blocks_of(terms)
     kind = terms.schema["filename"].dataType.simpleString()
     found = "m long, s double, mn double, " + ", ".join(f"{n} long" for n in names)
     # A row a block, read below to list the blocks.
@@ -248,7 +256,8 @@ def matched_sums(terms: DataFrame, thresholds=(0.0, 0.3, 0.5), block: int = BLOC
         # A block goes to the group of every block pair that it is part of.
         mates = blocks.join(blocks.withColumnRenamed("_b", "_o"), "filename").filter("_b <> _o").select(
             "filename", F.col("_b").alias("block"), F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
-        sent = dealt.join(large, "filename", "left_semi").join(mates, ["filename", "block"])
+        second = blocks_of(again(large)) if again else dealt.join(large, "filename", "left_semi")
+        sent = second.join(mates, ["filename", "block"])
 
         def run(t: pa.Table) -> pa.Table:
             utt, code, tf, start = _terms(t)
@@ -261,14 +270,15 @@ def matched_sums(terms: DataFrame, thresholds=(0.0, 0.3, 0.5), block: int = BLOC
 
 
 def distance_features(utts: DataFrame, found: DataFrame, thresholds=(0.0, 0.3, 0.5),
-                      include_zero: bool = False) -> DataFrame:
+                      include_zero: bool = False, again: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Mean, minimum and share of pair similarities <= t over all
     n(n-1)/2 utterance pairs of each transcript (Quirk 20 fixed: every
     utterance, not only the first list; the reference's leading 0 is kept
     only with ``include_zero``). ``found`` holds the utterances' terms, or
-    the pairs of ``pair_cosine`` where these are there anyway."""
+    the pairs of ``pair_cosine`` where these are there anyway; ``again`` as in
+    ``matched_sums``."""
     n = utts.groupBy("filename").agg(F.count("*").alias("n"))
-    s = (matched_sums if "term" in found.columns else _pair_sums)(found, thresholds)
+    s = matched_sums(found, thresholds, again=again) if "term" in found.columns else _pair_sums(found, thresholds)
     j = n.join(s, "filename", "left").fillna(0, ["m"]).fillna(0.0, ["s"])
     P = (F.col("n") * (F.col("n") - 1) / 2).cast("long")
     total = P + 1 if include_zero else P
@@ -280,3 +290,13 @@ def distance_features(utts: DataFrame, found: DataFrame, thresholds=(0.0, 0.3, 0
         name = f"proportion_below_threshold_{t:g}".replace(".", "_")
         cols.append(tx.round6(tx.safe_div(F.coalesce(F.col(f"le{i}"), F.lit(0)) + zeros, total)).alias(name))
     return j.select("filename", P.alias("n_pairs"), *cols)
+
+
+def utterance_distances(spark: SparkSession, utts: DataFrame, thresholds=(0.0, 0.3, 0.5)) -> DataFrame:
+    """``distance_features`` of the utterances' own terms by block. The texts
+    of transcripts of several blocks are taken from ``utts`` a second time,
+    before any shuffle."""
+    def terms(u):
+        return utterance_terms(spark, u, block=BLOCK)
+
+    return distance_features(utts, terms(utts), thresholds, again=lambda large: terms(utts.join(large, "filename", "left_semi")))

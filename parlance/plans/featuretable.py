@@ -28,16 +28,16 @@ def doc_features(spark: SparkSession, sf_dir: str, only: DataFrame | None = None
     (a ``doc_id`` table) restricts the documents *before* any feature work —
     the join that follows in ``labelled_table`` would drop the rest anyway,
     and Catalyst cannot push a join below the aggregates by itself."""
-    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    docs = read(spark, sf_dir, "documents", "doc_id", "text").filter("doc_id IS NOT NULL")  # the joins drop those without a key
     if only is not None:
-        docs = docs.join(only.select("doc_id").distinct(), "doc_id", "left_semi")
+        docs = cut_lineage(docs.join(only.select("doc_id").distinct(), "doc_id", "left_semi"))
     utts = prep.utterances_from_documents(docs)
-    types = cut_lineage(lex.token_types(prep.token_table(utts)))
-    tagged = prep.tag_types(spark, types)
-    f12 = lex.token_profile(tagged)  # C01, C02, D10 and C04 in one pass
+    # The texts are shuffled by document once. Tokens, types and all sums by
+    # document then follow where a document lies, without an exchange.
+    types = lex.token_types(prep.token_table(prep.utterances_from_documents(docs.repartition("doc_id"))))
+    f12 = lex.token_profile(prep.tag_types(spark, types))  # C01, C02, D10 and C04 in one pass
     f3 = lex.richness_scalar(lex.rich_terms(types)).select("filename", "maas", "hdd")
-    f4 = sim.distance_features(utts, sim.utterance_terms(spark, utts, block=sim.BLOCK)).select(
-        "filename", "avg_cos_dist", "proportion_below_threshold_0_3")
+    f4 = sim.utterance_distances(spark, utts).select("filename", "avg_cos_dist", "proportion_below_threshold_0_3")
     return asm.join_features([f12, f3, f4]).select("filename", *FEATURES)
 
 

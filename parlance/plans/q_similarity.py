@@ -70,13 +70,11 @@ def S_round(c):
 
 @query("h02_h05_distance_features", _features_sql(S.UTT_CONV))
 def h02(spark, sf_dir):
-    utts = T.conv_utterances(spark, sf_dir)
-    return sim.distance_features(utts, sim.utterance_terms(spark, utts, block=sim.BLOCK))
+    return sim.utterance_distances(spark, T.conv_utterances(spark, sf_dir))
 
 
 @query("h02_h05_distance_features_documents", _features_sql(S.UTT_DOCS))
 def h02_docs(spark, sf_dir):
     """The same roll-up with every line of a document as an utterance (long
     transcripts with repeated and near-copied lines)."""
-    utts = T.doc_utterances(spark, sf_dir).select("filename", "utt_idx", "text")
-    return sim.distance_features(utts, sim.utterance_terms(spark, utts, block=sim.BLOCK))
+    return sim.utterance_distances(spark, T.doc_utterances(spark, sf_dir).select("filename", "utt_idx", "text"))

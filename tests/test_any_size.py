@@ -307,3 +307,47 @@ def test_types_are_tagged_once(spark, monkeypatch, bound):
     rows, vocabulary = types.count(), toks.select("token").distinct().count()
     assert seen == ([0, rows] if bound == 0 else [vocabulary, 0])
     assert {tuple(r) for r in lex.richness_scalar(lex.rich_terms(types)).collect()} == rich
+
+
+# --- the feature table: one shuffle of the texts, one of long transcripts --------
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_types_of_dealt_texts_need_no_exchange(spark):
+    """Tokens, types, tags and sums by document follow the shuffle of the
+    texts; every type is tagged in one pass."""
+    from parlance.operators import lexical as lex, prep
+    docs = spark.createDataFrame([(1, "The boys sang.\nthe Boys sing"), (1, "twice, the"), (2, "one"), (3, None), (4, " \n")], "doc_id long, text string")
+    types = lex.token_types(prep.token_table(prep.utterances_from_documents(docs.repartition("doc_id"))))
+    tagged = prep.tag_types(spark, types)
+    profile, rich = lex.token_profile(tagged), lex.richness_scalar(lex.rich_terms(types))
+    assert _exchanges(profile) == 1 and _exchanges(rich) == 1
+    toks = prep.token_table(prep.utterances_from_documents(docs))
+    assert {tuple(r) for r in profile.collect()} == {tuple(r) for r in lex.token_profile(prep.tag_tokens(spark, toks)).collect()}
+    assert {tuple(r) for r in rich.collect()} == {tuple(r) for r in lex.richness_scalar(lex.rich_terms(toks)).collect()}
+
+
+def test_texts_of_one_block_are_not_dealt_twice(spark, monkeypatch):
+    rows = [(1, u, f"hot w{u % 3}") for u in range(20)] + [(2, u, "hot x") for u in range(3)] + [(2, 3, None)]
+    utts = spark.createDataFrame(rows, "filename long, utt_idx long, text string")
+    want = {tuple(r) for r in sim.distance_features(utts, sim.utterance_terms(spark, utts)).collect()}
+    monkeypatch.setattr(sim, "BLOCK", 4)
+    dealt, whole = [], sim._dealt
+    monkeypatch.setattr(sim, "_dealt", lambda r, b: dealt.append({x["filename"] for x in r.collect()}) or whole(r, b))
+    assert {tuple(r) for r in sim.utterance_distances(spark, utts).collect()} == want
+    assert dealt == [{1, 2}, {1}]
+
+
+def test_a_pass_has_no_more_tasks_than_cores(spark, monkeypatch):
+    from parlance.operators import linear as lin
+    monkeypatch.setattr(lin, "ROWS_PER_TASK", 1)
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.range(400, numPartitions=4 * cores).selectExpr("array(double(id)) AS features", "double(id % 2) AS label")
+    with lin.Rows(df) as rows:
+        assert rows.parts == cores
+        assert rows.sums(lambda r: r["features"].sum(0), 1)[0] == 399 * 200
+    monkeypatch.setattr(lin, "MOST_PER_TASK", 1)
+    with lin.Rows(df) as rows:
+        assert rows.parts == 4 * cores

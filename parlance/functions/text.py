@@ -34,8 +34,9 @@ def is_word(tok) -> Column:
 
 
 def is_punct_token(tok) -> Column:
-    """B11 predicate: a one-character token that is neither letter nor digit."""
-    return col(tok).rlike(r"^[^\p{L}\p{N}]$")
+    """B11 predicate: a one-character token that is neither letter nor digit.
+    Longer ones (the expression allows a line end behind it) need no match."""
+    return (F.length(col(tok)) <= 3) & col(tok).rlike(r"^[^\p{L}\p{N}]$")
 
 
 def remove_non_ascii(text) -> Column:
@@ -93,29 +94,31 @@ def light_stem(word) -> Column:
     """B14 stand-in for a stemmer: strip one regular inflection suffix."""
     w = col(word)
     n = F.length(w)
-    return (F.when((n > 4) & w.endswith("ing"), w.substr(F.lit(1), n - 3))
-            .when((n > 3) & w.endswith("ed"), w.substr(F.lit(1), n - 2))
-            .when((n > 3) & w.endswith("s") & ~w.endswith("ss"), w.substr(F.lit(1), n - 1))
+    return (F.when(w.endswith("ing") & (n > 4), w.substr(F.lit(1), n - 3))
+            .when(w.endswith("ed") & (n > 3), w.substr(F.lit(1), n - 2))
+            .when(w.endswith("s") & ~w.endswith("ss") & (n > 3), w.substr(F.lit(1), n - 1))
             .otherwise(w))
 
 
-def fallback_tag(tok) -> Column:
+def fallback_tag(tok, lw=None) -> Column:
     """Penn tag for tokens missing from the closed-class table.
 
-    Word tokens (the vast majority) are tested first, so they pay for two
-    regular expressions; the digit and punctuation rules only run for the
+    Word tokens (the vast majority) are tested first, so they pay for one
+    regular expression; the digit and punctuation rules only run for the
     rest. The result equals the flat rule order CD, ., ,, :, SYM, FW, suffixes.
+    ``lw`` is a column that holds the token in lower case: without it every
+    rule that a token reaches makes it anew.
     """
     t = col(tok)
-    lw = F.lower(t)
+    lw = F.lower(t) if lw is None else col(lw)
     n = F.length(lw)
-    word = (F.when(t.rlike(NON_ASCII_RE), "FW")
-            .when((n > 4) & lw.endswith("ing"), "VBG")
-            .when((n > 3) & lw.endswith("ed"), "VBD")
-            .when((n > 3) & lw.endswith("ly"), "RB")
-            .when((n > 4) & (lw.endswith("ous") | lw.endswith("ful") | lw.endswith("ive")
-                             | lw.endswith("able")), "JJ")
-            .when((n > 3) & lw.endswith("s") & ~lw.endswith("ss"), "NNS")
+    word = (F.when(F.octet_length(t) > F.length(t), "FW")  # NON_ASCII_RE
+            .when(lw.endswith("ing") & (n > 4), "VBG")
+            .when(lw.endswith("ed") & (n > 3), "VBD")
+            .when(lw.endswith("ly") & (n > 3), "RB")
+            .when((lw.endswith("ous") | lw.endswith("ful") | lw.endswith("ive")
+                   | lw.endswith("able")) & (n > 4), "JJ")
+            .when(lw.endswith("s") & ~lw.endswith("ss") & (n > 3), "NNS")
             .otherwise("NN"))
     other = (F.when(t.rlike(r"^\p{N}+$"), "CD")
              .when(t.rlike(r"^[.!?]$"), ".")

@@ -65,15 +65,16 @@ def token_counts(toks: DataFrame) -> DataFrame:
 
 
 def token_profile(tagged: DataFrame) -> DataFrame:
-    """C01 + C02 + D10 + C04 in one two-level aggregate over tagged tokens:
-    per (filename, token, upos) — the tag is a function of the token — then
-    per filename. Same values as ``token_counts`` + ``pos_shares`` with one
+    """C01 + C02 + D10 + C04 in one aggregate over tagged tokens: per
+    (filename, token, upos) — the tag is a function of the token — then per
+    (filename, upos), then per filename. Same values as ``token_counts`` + ``pos_shares`` with one
     pass over the tokens instead of two. Tagged ``token_types`` have the first
     level behind them."""
     per_type = tagged if "f" in tagged.columns else tagged.groupBy("filename", "token", "upos").agg(F.count("*").alias("f"))
-    g = per_type.groupBy("filename").agg(
-        F.sum("f").alias("n_tokens"), F.count("*").alias("n_unique_tokens"),
-        F.sum(F.col("f") * F.length("token")).alias("chars"),
+    # A row a tag, before the tags become columns: three sums a type, not 20.
+    tags = per_type.groupBy("filename", "upos").agg(F.sum("f").alias("f"), F.count("*").alias("v"), F.sum(F.col("f") * F.length("token")).alias("ch"))
+    g = tags.groupBy("filename").agg(
+        F.sum("f").alias("n_tokens"), F.sum("v").alias("n_unique_tokens"), F.sum("ch").alias("chars"),
         *[F.sum(F.when(F.col("upos") == t, F.col("f")).otherwise(0)).alias(f"c_{t}") for t in lx.UNIVERSAL_TAGS])
     n = F.col("n_tokens")
     return g.select("filename", "n_tokens", "n_unique_tokens",

@@ -88,7 +88,7 @@ def tag_tokens(spark: SparkSession, toks: DataFrame) -> DataFrame:
     upos = lx.table(spark, lx.PENN_TO_UNIVERSAL, ["pos", "upos0"])
     t = toks.withColumn("lw", F.lower("token"))
     t = t.join(tags, "lw", "left").join(lemmas, "lw", "left")
-    t = t.withColumn("pos", F.coalesce("lex_tag", tx.fallback_tag("token")))
+    t = t.withColumn("pos", F.coalesce("lex_tag", tx.fallback_tag("token", "lw")))
     t = t.withColumn("lemma", F.coalesce("lex_lemma", tx.rule_lemma("lw", "pos")))
     t = t.join(upos, "pos", "left")
     u = (F.when((F.col("pos") == "IN") & F.col("lw").isin(lx.SUBORDINATORS), "SCONJ")

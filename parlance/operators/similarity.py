@@ -60,13 +60,14 @@ def utterance_terms(spark: SparkSession, utts: DataFrame, block: int | None = No
     With ``block``, for ``matched_sums`` of that block size: (filename, block,
     utt_idx, term), a row an utterance with the array of its terms, uncounted.
     The texts, not the terms, are shuffled, and a term costs no row on the way
-    to Python.
+    to Python. Rows without a term are left in (Python drops them): a filter
+    here is pushed below the shuffle and makes all terms a second time.
     """
     norm = F.lower(F.regexp_replace("text", tx.PUNCT_RE, ""))
     if block:
         term = F.filter(F.transform(tx.tokens(norm), tx.light_stem), lambda w: ~w.isin(list(lx.STOP_WORDS)))
         dealt = _dealt(utts.select("filename", "utt_idx", "text"), block)
-        return dealt.select("filename", "block", "utt_idx", term.alias("term")).filter(F.size("term") > 0)
+        return dealt.select("filename", "block", "utt_idx", term.alias("term"))
     t = utts.select("filename", "utt_idx", F.explode(tx.tokens(norm)).alias("w"))
     t = t.select("filename", "utt_idx", tx.light_stem("w").alias("word"))
     t = t.join(lx.stop_words_df(spark), "word", "left_anti")
@@ -173,6 +174,12 @@ def _matched(x: tuple, y: tuple | None, thresholds) -> tuple:
     return len(s), float(s.sum()), float(s.min()) if len(s) else None, [int((s <= t).sum()) for t in thresholds]
 
 
+def _with_terms(t):
+    """The rows (of a batch or table) that hold a term."""
+    term = t.column("term")
+    return t.filter(pc.greater(pc.list_value_length(term), 0)) if pa.types.is_list(term.type) else t
+
+
 def _terms(t: pa.Table) -> tuple:
     """(utterances, term codes, counts, the place of each row's first term):
     of rows with a term and its ``tf``, or with an array of terms."""
@@ -208,7 +215,7 @@ def _own_sums(batches, thresholds):
                                           names=["filename", "block", "m", "s", "mn", *[f"le{k}" for k in range(len(thresholds))]])
 
     held: list = []
-    for b in batches:
+    for b in map(_with_terms, batches):
         if not b.num_rows:
             continue
         if held and all(held[-1].column(c)[-1] == b.column(c)[i] for c in (0, 1) for i in (0, b.num_rows - 1)):
@@ -260,6 +267,7 @@ def matched_sums(terms: DataFrame, thresholds=(0.0, 0.3, 0.5), block: int = BLOC
         sent = second.join(mates, ["filename", "block"])
 
         def run(t: pa.Table) -> pa.Table:
+            t = _with_terms(t)  # both blocks hold some: only such blocks are listed
             utt, code, tf, start = _terms(t)
             first = np.repeat(pc.equal(t.column("block"), t.column("_i")).to_numpy(), np.diff(start))
             m, s, mn, le = _matched(*[(utt[k] - utt[k].min(), code[k], tf[k]) for k in (first, ~first)], thresholds)

@@ -34,9 +34,9 @@ def doc_features(spark: SparkSession, sf_dir: str, only: DataFrame | None = None
     utts = prep.utterances_from_documents(docs)
     # The texts are shuffled by document once. Tokens, types and all sums by
     # document then follow where a document lies, without an exchange.
-    types = lex.token_types(prep.token_table(prep.utterances_from_documents(docs.repartition("doc_id"))))
-    f12 = lex.token_profile(prep.tag_types(spark, types))  # C01, C02, D10 and C04 in one pass
-    f3 = lex.richness_scalar(lex.rich_terms(types)).select("filename", "maas", "hdd")
+    toks = prep.token_table(prep.utterances_from_documents(docs.repartition("doc_id")))
+    f12 = lex.token_profile(prep.tag_types(spark, lex.token_types(toks)))  # C01, C02, D10 and C04 in one pass
+    f3 = lex.richness_scalar(lex.rich_terms(toks)).select("filename", "maas", "hdd")
     f4 = sim.utterance_distances(spark, utts).select("filename", "avg_cos_dist", "proportion_below_threshold_0_3")
     return asm.join_features([f12, f3, f4]).select("filename", *FEATURES)
 

@@ -351,3 +351,21 @@ def test_a_pass_has_no_more_tasks_than_cores(spark, monkeypatch):
     monkeypatch.setattr(lin, "MOST_PER_TASK", 1)
     with lin.Rows(df) as rows:
         assert rows.parts == 4 * cores
+
+
+def test_terms_are_made_behind_the_shuffle_only(spark):
+    utts = spark.createDataFrame([(1, 0, "hot cold"), (1, 1, "the"), (1, 2, None), (1, 3, "hot")], "filename long, utt_idx long, text string")
+    plan = sim.utterance_terms(spark, utts, block=4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    assert [tuple(r) for r in sim.utterance_distances(spark, utts).select("n_pairs", "min_cos_dist").collect()] == [(6, 0.0)]
+
+
+def test_cheap_tests_of_a_token_equal_their_expressions(spark):
+    from parlance.functions import text as tx
+    words = ["a", "-", "\u2014", "\U0001f600", "-\n", "-\r\n", "--", "", None, "\u00e9t\u00e9", "K\u212a", "\u212a", "word", "7", "Sing", "singing", "SINGING", "fully", "famous", "boss", "boys", "red", "\U0001d400b", "...."]
+    t = spark.createDataFrame([(w,) for w in words], "t string")
+    rules = [tx.fallback_tag("t").alias("a"), tx.fallback_tag("t", "lw").alias("b")]
+    assert all(r["a"] == r["b"] for r in t.withColumn("lw", F.lower("t")).select(*rules).collect())
+    got = t.select("t", tx.is_punct_token("t").alias("p"), F.expr(r"t rlike '^[^\\p{L}\\p{N}]$'").alias("q"),
+                   (tx.fallback_tag("t") == "FW").alias("w"), (F.col("t").rlike(tx.NON_ASCII_RE) & F.col("t").rlike(tx.WORD_RE)).alias("v")).collect()
+    assert all(r["p"] == r["q"] and (r["t"] is None or r["w"] == r["v"]) for r in got), got

@@ -24,7 +24,7 @@ FEATURES = (["n_tokens", "n_unique_tokens", "ttr", "mean_token_length"] + SHARES
 
 
 def doc_features(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
-    """Four feature families joined on the transcript key. ``only``
+    """The feature families joined on the transcript key. ``only``
     (a ``doc_id`` table) restricts the documents *before* any feature work —
     the join that follows in ``labelled_table`` would drop the rest anyway,
     and Catalyst cannot push a join below the aggregates by itself."""
@@ -32,13 +32,9 @@ def doc_features(spark: SparkSession, sf_dir: str, only: DataFrame | None = None
     if only is not None:
         docs = cut_lineage(docs.join(only.select("doc_id").distinct(), "doc_id", "left_semi"))
     utts = prep.utterances_from_documents(docs)
-    # The texts are shuffled by document once. Tokens, types and all sums by
-    # document then follow where a document lies, without an exchange.
-    toks = prep.token_table(prep.utterances_from_documents(docs.repartition("doc_id")))
-    f12 = lex.token_profile(prep.tag_types(spark, lex.token_types(toks)))  # C01, C02, D10 and C04 in one pass
-    f3 = lex.richness_scalar(lex.rich_terms(toks)).select("filename", "maas", "hdd")
+    f123 = lex.text_profile(spark, utts)  # C01, C02, D10, C04 and D05, D07 in one pass
     f4 = sim.utterance_distances(spark, utts).select("filename", "avg_cos_dist", "proportion_below_threshold_0_3")
-    return asm.join_features([f12, f3, f4]).select("filename", *FEATURES)
+    return asm.join_features([f123, f4]).select("filename", *FEATURES)
 
 
 def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,13 @@ def tokens(text) -> Column:
     return F.regexp_extract_all(col(text), F.lit(TOKEN_RE), 0)
 
 
+def spaced_tokens(text) -> Column:
+    """``tokens`` of a column of texts that mostly hold letters and spaces
+    only, as without punctuation: those are split at the spaces, without a
+    match a token. (An end of input: ``$`` allows a line end, a token, behind it.)"""
+    return F.when(col(text).rlike(r"^[\p{L} ]*\z"), F.array_remove(F.split(col(text), " "), "")).otherwise(tokens(text))
+
+
 def is_word(tok) -> Column:
     """B12 predicate: purely alphabetic token."""
     return col(tok).rlike(WORD_RE)

@@ -65,8 +65,8 @@ def utterance_terms(spark: SparkSession, utts: DataFrame, block: int | None = No
     """
     norm = F.lower(F.regexp_replace("text", tx.PUNCT_RE, ""))
     if block:
-        term = F.filter(F.transform(tx.tokens(norm), tx.light_stem), lambda w: ~w.isin(list(lx.STOP_WORDS)))
-        dealt = _dealt(utts.select("filename", "utt_idx", "text"), block)
+        term = F.filter(F.transform(tx.spaced_tokens("norm"), tx.light_stem), lambda w: ~w.isin(list(lx.STOP_WORDS)))
+        dealt = _dealt(utts.select("filename", "utt_idx", "text"), block).withColumn("norm", norm)
         return dealt.select("filename", "block", "utt_idx", term.alias("term"))
     t = utts.select("filename", "utt_idx", F.explode(tx.tokens(norm)).alias("w"))
     t = t.select("filename", "utt_idx", tx.light_stem("w").alias("word"))

@@ -44,3 +44,17 @@ def test_feature_table_makes_tokens_for_the_profile_once(spark, tmp_path):
     t = ft.doc_features(spark, str(tmp_path))
     assert t._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1  # the similarity's are made before
     assert t.count() == 2
+
+
+def test_spaced_tokens_are_the_tokens(spark):
+    from pyspark.sql import functions as F
+    from parlance.functions import text as tx
+    odd = LINES + ["plain words only", "  two  spaces ", "end\u0085", "end ", "end\r", "end\n", "tab\tbed", "no break", None, "a1", "\U0001d400b c"]
+    got = spark.createDataFrame([(t,) for t in odd], "text string").select(tx.tokens("text").alias("a"), tx.spaced_tokens("text").alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got]
+
+
+def test_similarity_terms_split_plain_texts(spark):
+    from parlance.operators import similarity as sim
+    utts = spark.createDataFrame(ROWS, "filename long, utt_idx int, text string")
+    assert "split(" in sim.utterance_terms(spark, utts, block=256)._jdf.queryExecution().optimizedPlan().toString()

@@ -11,9 +11,10 @@ so everything a pair needs are three sums over the terms both texts hold.
 
 The features H02-H05 need no pairs as rows. The utterances of a transcript are
 dealt into blocks. The texts of a block are shuffled together and its words
-made where they are used; one task after the other block has the term counts
-as a matrix, gets the three sums of all its pairs by matrix products, and
-returns their number, sum, minimum and counts under the thresholds. So what is
+made where they are used; one task gets the three sums of all pairs of its
+blocks, of many small blocks together from the postings of their terms, of a
+block of many common terms by products of its count matrix, and returns for
+every block their number, sum, minimum and counts under the thresholds. What is
 shuffled grows with the texts, not with their pairs. Only a transcript of
 several blocks also meets across them: every pair of its blocks is a group of
 bounded size, and a transcript of a third of all utterances is spread over as
@@ -47,6 +48,7 @@ POSTINGS = 256  # postings of one (transcript, term) in a join key
 BLOCK = 256  # utterances of one transcript in a block
 BROADCAST_ROWS = 500_000  # transcripts of several blocks, listed to the tasks
 CELLS = 4_000_000  # entries of a dense term matrix held at once
+PAIRS = 2_000_000  # pairs of postings held at once
 
 
 def utterance_terms(spark: SparkSession, utts: DataFrame, block: int | None = None) -> DataFrame:
@@ -192,6 +194,83 @@ def _terms(t: pa.Table) -> tuple:
     return utt, term.dictionary_encode().indices.to_numpy().astype(np.int64), tf, start
 
 
+def _run_sums(block, utts, row, term, tf, thresholds):
+    """(pairs sharing a term, sum, minimum, counts) as ``_matched``, as arrays
+    over the blocks 0, 1, ...; the minimum is nan without a pair. A row is of
+    an utterance (``utts``) of a ``block``, which ascend; (row, term, tf) are
+    the terms of the rows, which may repeat."""
+    order = np.lexsort((utts, block))
+    b, x = block[order], utts[order]
+    utt = np.empty(len(order), np.int64)  # utterances, numbered; rows may share one
+    utt[order] = np.cumsum(np.append(False, (b[1:] != b[:-1]) | (x[1:] != x[:-1])))
+    of = np.zeros(utt.max() + 1, np.int64)
+    of[utt] = block
+    m, t = int(block[-1]) + 1, int(term.max()) + 1
+    first = np.searchsorted(of, np.arange(m + 1))
+    size = np.diff(first)
+    wide = int(size.max())
+    # The postings, a term of a block after the other.
+    key = (block[row] * t + term) * wide + (utt[row] - first[block[row]])
+    if tf.max() == 1:
+        key, tf = np.unique(key, return_counts=True)
+    else:
+        key, at = np.unique(key, return_inverse=True)
+        tf = np.bincount(at, tf, len(key))
+    group, loc = np.divmod(key, wide)
+    blk, trm = np.divmod(group, t)
+    u = first[blk] + loc
+    q = np.bincount(u, tf * tf, len(of))
+    start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    n = np.diff(np.append(start, len(group)))
+    found = np.bincount(blk[start], n * (n - 1) // 2, m).astype(np.int64)  # pairs of postings
+    shared = np.bincount(blk[start], n > 1, m)
+    # ns: a pair of postings 60, a block in products 200,000 and 0.3 a cell and term.
+    dense = (found > PAIRS) | (60 * found > 200_000 + 0.3 * size * size * shared)
+    out_m, out_s, out_mn = np.zeros(m, np.int64), np.zeros(m), np.full(m, np.nan)
+    out_le = [np.zeros(m, np.int64) for _ in thresholds]
+    edge = np.searchsorted(blk, np.arange(m + 1))
+    for k in np.flatnonzero(dense).tolist():
+        lo, hi = edge[k], edge[k + 1]
+        out_m[k], out_s[k], mn, le = _matched((loc[lo:hi], trm[lo:hi], tf[lo:hi]), None, thresholds)
+        out_mn[k] = np.nan if mn is None else mn
+        for o, v in zip(out_le, le):
+            o[k] = v
+    c2 = C_ONE_SIDED * C_ONE_SIDED
+    # A posting's later ones of its group; the others are in no pair.
+    rest = np.repeat(start + n, n) - np.arange(len(group)) - 1
+    cells = np.where(dense, 0, size * size)
+    load = np.maximum(np.cumsum(cells) // CELLS, np.cumsum(np.where(dense, 0, found)) // PAIRS)
+    for lo, hi in zip(cut := np.flatnonzero(np.append(True, load[1:] != load[:-1])), [*cut[1:], m]):
+        p = np.arange(edge[lo], edge[hi])
+        p = p[(rest[p] > 0) & ~dense[blk[p]]]
+        if not len(p):
+            continue
+        k = rest[p]
+        a = np.repeat(p, k)
+        z = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
+        # A cell a pair of utterances of a block.
+        own = of[first[lo]:first[hi]]
+        base = np.append(0, np.cumsum(np.where(dense[own], 0, size[own])))
+        cell = base[u[a] - first[lo]] + loc[z]
+        dot = np.bincount(cell, tf[a] * tf[z], base[-1])
+        at = np.flatnonzero(dot)
+        if tf[p].max() == 1 and tf[z].max() == 1:
+            dot = sa = sb = dot[at]
+        else:
+            dot, sa, sb = dot[at], np.bincount(cell, tf[a] * tf[a], base[-1])[at], np.bincount(cell, tf[z] * tf[z], base[-1])[at]
+        x = np.searchsorted(base, at, "right") - 1
+        home = own[x]
+        y = first[home] + at - base[x]
+        s = dot / (np.sqrt(c2 * q[x + first[lo]] - (c2 - 1) * sa) * np.sqrt(c2 * q[y] - (c2 - 1) * sb))
+        new = np.flatnonzero(np.append(True, home[1:] != home[:-1]))
+        out_m += np.bincount(home, minlength=m)
+        out_s += np.bincount(home, s, m)
+        out_mn[home[new]] = np.minimum.reduceat(s, new)
+        for o, v in zip(out_le, thresholds):
+            o += np.bincount(home[s <= v], minlength=m)
+    return out_m, out_s, out_mn, out_le
+
+
 def _own_sums(batches, thresholds):
     """A row for every block of batches that hold a block's rows one after the
     other."""
@@ -202,17 +281,12 @@ def _own_sums(batches, thresholds):
         return t, [0, *(np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1).tolist(), len(t)]
 
     def sums(t, at):
-        utt, code, tf, start = _terms(t)
-        names, blocks = (t.column(c).take(pa.array(at[:-1], pa.int64())) for c in ("filename", "block"))
-        found = []
-        for lo, hi in zip(start[at[:-1]], start[at[1:]]):
-            u = utt[lo:hi]
-            found.append(_matched((u - u.min(), code[lo:hi], tf[lo:hi]), None, thresholds))
-        cols = [names.combine_chunks(), blocks.combine_chunks(), *[[f[k] for f in found] for k in range(3)],
-                *[[f[3][k] for f in found] for k in range(len(thresholds))]]
-        kinds = [names.type, blocks.type, pa.int64(), pa.float64(), pa.float64(), *[pa.int64()] * len(thresholds)]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) if isinstance(c, list) else c for c, k in zip(cols, kinds)],
-                                          names=["filename", "block", "m", "s", "mn", *[f"le{k}" for k in range(len(thresholds))]])
+        _, code, tf, start = _terms(t)
+        names, blocks = (t.column(c).take(pa.array(at[:-1], pa.int64())).combine_chunks() for c in ("filename", "block"))
+        block, row = np.repeat(np.arange(len(blocks)), np.diff(at)), np.repeat(np.arange(len(t)), np.diff(start))
+        m, s, mn, le = _run_sums(block, t.column("utt_idx").to_numpy().astype(np.int64), row, code, tf, thresholds)
+        return pa.RecordBatch.from_arrays([names, blocks, pa.array(m), pa.array(s), pa.array(mn, mask=m == 0), *map(pa.array, le)],
+                                          names=["filename", "block", "m", "s", "mn", *[f"le{k}" for k in range(len(le))]])
 
     held: list = []
     for b in map(_with_terms, batches):

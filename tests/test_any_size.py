@@ -369,3 +369,26 @@ def test_cheap_tests_of_a_token_equal_their_expressions(spark):
     got = t.select("t", tx.is_punct_token("t").alias("p"), F.expr(r"t rlike '^[^\\p{L}\\p{N}]$'").alias("q"),
                    (tx.fallback_tag("t") == "FW").alias("w"), (F.col("t").rlike(tx.NON_ASCII_RE) & F.col("t").rlike(tx.WORD_RE)).alias("v")).collect()
     assert all(r["p"] == r["q"] and (r["t"] is None or r["w"] == r["v"]) for r in got), got
+
+
+@pytest.mark.parametrize("cells, pairs", [(4_000_000, 2_000_000), (50, 30), (200, 2_000_000)])
+def test_many_small_blocks_are_summed_together(monkeypatch, cells, pairs):
+    """The sums of each block's pairs, whatever the runs of blocks, and no
+    small block costs a call of its own."""
+    rng = np.random.default_rng(3)
+    n = np.append(rng.integers(1, 40, 30), [1, 2])
+    block, utts = np.repeat(np.arange(len(n)), n), np.concatenate([np.append(rng.permutation(k - 1), 0) for k in n])
+    row = np.repeat(np.arange(len(block)), rng.integers(1, 8, len(block)))
+    term, tf = rng.integers(0, 25, len(row)), rng.integers(1, 3, len(row)).astype(float)
+    whole, calls = sim._matched, []
+    monkeypatch.setattr(sim, "CELLS", cells)
+    monkeypatch.setattr(sim, "PAIRS", pairs)
+    monkeypatch.setattr(sim, "_matched", lambda *a: calls.append(a) or whole(*a))
+    for f in (tf, np.ones(len(row))):
+        m, s, mn, le = sim._run_sums(block, utts, row, term, f, (0.0, 0.3, 0.5))
+        for b in range(len(n)):
+            k = block[row] == b
+            want = whole((utts[row[k]], term[k], f[k]), None, (0.0, 0.3, 0.5))
+            assert (m[b], [x[b] for x in le]) == (want[0], want[3]) and s[b] == pytest.approx(want[1])
+            assert np.isnan(mn[b]) if want[2] is None else mn[b] == want[2]
+    assert pairs == 30 or not calls
